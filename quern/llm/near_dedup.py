@@ -8,8 +8,8 @@ likelihood, which rules out far pairs; the rest are confirmed on full sets.
 
 Work is kept linear in a group's size. Equal sets are one class from the start. In a bucket, each class is first
 compared with the bucket's smallest member only; buckets whose members are then all connected are done. Buckets that
-aren't get two more such rounds with other members as centres, and only pairs that still lie in different components
-are compared one by one. A pair at the threshold shares no band with probability (1 - 0.85^8)^32 = 4e-5.
+aren't get another such round around the member with the fewest shingles of its own; then pairs that still lie in
+different components, and that a bound from such shingles allows to link, are compared one by one. A pair at the threshold shares no band with probability (1 - 0.85^8)^32 = 4e-5.
 
 Defined cases: a null or blank text has an empty set, and is linked with nothing; fewer than five words are one shingle;
 rows without id are never linked and have no component, but are kept; rows that repeat an id are one document for
@@ -36,7 +36,6 @@ REGISTERS, BAND = 256, 8
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 2
 #: Standard errors of the estimate that a pair may lie under the threshold before it is ruled out without a full look.
 MARGIN = 5.0
-STAR_ROUNDS = 3
 #: Words whose hashes a Python worker remembers.
 CACHE_WORDS = 400_000
 
@@ -227,17 +226,18 @@ def _join_classes(texts: DataFrame, classes: DataFrame, percent: int) -> DataFra
         "near-known",
     )
     pairs = materialise(members.where("rep != pivot").select(*_ordered("rep", "pivot")).distinct(), "near-pairs")
-    tested, links = pairs, materialise(_verify(pairs, known, sets, percent), "near-links")
-    for round_ in range(STAR_ROUNDS):
+    links = materialise(_verify(pairs, known, sets, percent), "near-links")
+    slack = None
+    for later in (_next_star, _cross_pairs):
         labels = components(links)
         open_ = _open_members(members, labels)
         if open_.isEmpty():
             return labels
-        last = round_ == STAR_ROUNDS - 1
-        found = _cross_pairs(open_, percent) if last else _next_star(open_)
-        pairs = materialise(found.distinct().join(tested, ["a", "b"], "left_anti"), "near-pairs")
-        tested = tested.unionByName(pairs)
-        links = materialise(links.unionByName(_verify(pairs, known, sets, percent)), "near-links")
+        slack = _slack(open_, sets, percent) if slack is None else slack
+        found = later(open_.join(slack, "rep"), percent)
+        fresh_pairs = materialise(found.distinct().join(pairs, ["a", "b"], "left_anti"), "near-pairs")
+        pairs = pairs.unionByName(fresh_pairs)
+        links = materialise(links.unionByName(_verify(fresh_pairs, known, sets, percent)), "near-links")
     return components(links)
 
 
@@ -253,20 +253,54 @@ def _open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
     return materialise(labelled.join(materialise(several, "near-several"), "key"), "near-open")
 
 
-def _next_star(open_: DataFrame) -> DataFrame:
-    """In each open bucket, the smallest member outside its first component meets all members of other components."""
-    centre = open_.where("component != low").groupBy("key").agg(F.min(F.struct("rep", "component")).alias("centre"))
+def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i, held in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            items = np.frombuffer(held.as_py(), np.int64)
+            yield pa.record_batch([pa.array(np.full(len(items), i, np.int64)), pa.array(items)], names=["id", "item"])
+
+
+def _slack(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(rep, slack): what a member's set may still differ by, times a factor. Two members with a negative sum can't link.
+
+    A shingle that only one of all open members has lies outside every intersection. Similarity of at least percent / 100
+    means that two sets differ in at most (100 - percent) / (100 + percent) of their summed sizes.
+    """
+    own = sets.join(open_.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+    single = (
+        own.select("id", "items")
+        .mapInArrow(_items, "id long, item long")
+        .groupBy("item")
+        .agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("holders"))
+        .where("holders = 1")
+        .groupBy("id")
+        .agg(F.count(F.lit(1)).alias("alone"))
+    )
+    sizes = own.select("id", (F.octet_length("items") / 8).cast("long").alias("n"))
+    slack = (100 - percent) * F.col("n") - (100 + percent) * F.coalesce("alone", F.lit(0))
+    return materialise(sizes.join(single, "id", "left").select(F.col("id").alias("rep"), slack.alias("slack")), "near-slack")
+
+
+def _next_star(open_: DataFrame, percent: int) -> DataFrame:
+    """In each open bucket, the member with the most slack, the centre of its copies, meets all of other components."""
+    centre = open_.groupBy("key").agg(F.max(F.struct("slack", "rep", "component")).alias("centre"))
     met = open_.join(materialise(centre, "near-centres"), "key")
-    return met.where(F.col("component") != F.col("centre.component")).select(*_ordered("rep", "centre.rep"))
+    can = F.col("slack") + F.col("centre.slack") >= 0
+    return met.where((F.col("component") != F.col("centre.component")) & can).select(*_ordered("rep", "centre.rep"))
 
 
 def _cross_pairs(open_: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a bucket that lie in different components and whose sizes allow a link."""
-    a = open_.select("key", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
-    b = open_.select("key", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"))
-    near = (F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy"))
-    fits = 100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")
-    return a.join(b, "key").where(near & fits).select(*_ordered("x", "y"))
+    """Pairs of a bucket in different components that sizes and slack allow to link.
+
+    Members that can't link with the bucket's member of most slack can link with none, and go first.
+    """
+    most = materialise(open_.groupBy("key").agg(F.max("slack").alias("most")), "near-most")
+    able = materialise(open_.join(most, "key").where("slack + most >= 0").drop("most"), "near-able")
+    side = lambda x: able.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("rep", "n", "component", "slack")])
+    near = (F.col("rep_a") < F.col("rep_b")) & (F.col("component_a") != F.col("component_b"))
+    fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    joined = side("a").join(side("b"), ["key"]).where(near & fits & (F.col("slack_a") + F.col("slack_b") >= 0))
+    return joined.select(*_ordered("rep_a", "rep_b"))
 
 
 def near_dedup(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
