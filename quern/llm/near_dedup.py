@@ -36,6 +36,8 @@ REGISTERS, BAND = 256, 8
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 2
 #: Standard errors of the estimate that a pair may lie under the threshold before it is ruled out without a full look.
 MARGIN = 5.0
+#: A shingle is rare if it has at most so many holders among the members of open buckets.
+RARE = 8
 #: Words whose hashes a Python worker remembers.
 CACHE_WORDS = 400_000
 
@@ -233,8 +235,11 @@ def _join_classes(texts: DataFrame, classes: DataFrame, percent: int) -> DataFra
         open_ = _open_members(members, labels)
         if open_.isEmpty():
             return labels
-        slack = _slack(open_, sets, percent) if slack is None else slack
-        found = later(open_.join(slack, "rep"), percent)
+        if slack is None:
+            slack, shared = _slack(open_, sets, percent)
+            found = later(open_.join(slack, "rep"), percent).unionByName(shared)
+        else:
+            found = later(open_.join(slack, "rep"), percent)
         fresh_pairs = materialise(found.distinct().join(pairs, ["a", "b"], "left_anti"), "near-pairs")
         pairs = pairs.unionByName(fresh_pairs)
         links = materialise(links.unionByName(_verify(fresh_pairs, known, sets, percent)), "near-links")
@@ -260,25 +265,38 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(np.full(len(items), i, np.int64)), pa.array(items)], names=["id", "item"])
 
 
-def _slack(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(rep, slack): what a member's set may still differ by, times a factor. Two members with a negative sum can't link.
+def _slack(open_: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(rep, slack), and the pairs (a, b) of members that share a rare shingle, one that at most RARE open members have.
 
-    A shingle that only one of all open members has lies outside every intersection. Similarity of at least percent / 100
-    means that two sets differ in at most (100 - percent) / (100 + percent) of their summed sizes.
+    Two members that share no rare shingle differ in all their rare ones, and similarity of at least percent / 100 means
+    that two sets differ in at most (100 - percent) / (100 + percent) of their summed sizes. So of such pairs, those with
+    a negative sum of slack can't link. Pairs that do share a rare shingle are few: each shingle has RARE holders at most.
     """
     own = sets.join(open_.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
-    single = (
+    rare = materialise(
         own.select("id", "items")
         .mapInArrow(_items, "id long, item long")
         .groupBy("item")
-        .agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("holders"))
-        .where("holders = 1")
-        .groupBy("id")
-        .agg(F.count(F.lit(1)).alias("alone"))
+        .agg(F.count(F.lit(1)).alias("holders"), F.min("id").alias("low"), F.max("id").alias("high"))
+        .where(f"holders <= {RARE}"),
+        "near-rare",
     )
+    several = rare.where("holders > 2").select("item")
+    held = own.select("id", "items").mapInArrow(_items, "id long, item long").join(several, "item")
+    lists = held.groupBy("item").agg(F.sort_array(F.collect_list("id")).alias("ids"))  # RARE ids at most
+    shared = (
+        lists.select(F.explode("ids").alias("a"), "ids")
+        .select("a", F.explode("ids").alias("b"))
+        .where("a < b")
+        .unionByName(rare.where("holders = 2").select(F.col("low").alias("a"), F.col("high").alias("b")))
+        .distinct()
+    )
+    ones = rare.where("holders <= 2").select(F.explode(F.array_distinct(F.array("low", "high"))).alias("id"))
+    counts = ones.unionByName(lists.select(F.explode("ids").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("rare"))
     sizes = own.select("id", (F.octet_length("items") / 8).cast("long").alias("n"))
-    slack = (100 - percent) * F.col("n") - (100 + percent) * F.coalesce("alone", F.lit(0))
-    return materialise(sizes.join(single, "id", "left").select(F.col("id").alias("rep"), slack.alias("slack")), "near-slack")
+    slack = (100 - percent) * F.col("n") - (100 + percent) * F.coalesce("rare", F.lit(0))
+    slacks = sizes.join(counts, "id", "left").select(F.col("id").alias("rep"), slack.alias("slack"))
+    return materialise(slacks, "near-slack"), materialise(shared, "near-shared")
 
 
 def _next_star(open_: DataFrame, percent: int) -> DataFrame:
