@@ -53,15 +53,18 @@ class _WordHashes(dict):
         return value
 
 
-def shingles(text: str | None, hashes: dict | None = None) -> np.ndarray:
+#: One for all tasks of a Python worker.
+_HASHES = _WordHashes()
+
+
+def shingles(text: str | None) -> np.ndarray:
     """The sorted distinct 64-bit hashes of the shingles of a text."""
     words = (text or "").encode().lower().split()  # bytes: A-Z alone are lowered, ASCII white space alone splits
     if not words:
         return np.empty(0, np.uint64)
     if len(words) < SHINGLE:
         return np.array([xxhash.xxh64_intdigest(b" ".join(words), seed=len(words))], np.uint64)
-    hashes = _WordHashes() if hashes is None else hashes
-    h = np.array([hashes[w] for w in words], np.uint64)
+    h = np.array([*map(_HASHES.__getitem__, words)], np.uint64)
     n = len(h) - SHINGLE + 1
     mixed = h[:n].copy()
     for k in range(1, SHINGLE):
@@ -110,11 +113,10 @@ def jaccard_estimate(ra: np.ndarray, rb: np.ndarray, na: np.ndarray, nb: np.ndar
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = _WordHashes()
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
-            sets = [shingles(t, hashes) for t in part.column(1).to_pylist()]
+            sets = [shingles(t) for t in part.column(1).to_pylist()]
             rows = registers(np.stack([minima(s) for s in sets])) if sets else []
             yield pa.record_batch(
                 [
@@ -128,11 +130,10 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = _WordHashes()
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
-            held = [shingles(t, hashes).tobytes() for t in part.column(1).to_pylist()]
+            held = [shingles(t).tobytes() for t in part.column(1).to_pylist()]
             yield pa.record_batch([part.column(0), pa.array(held, pa.binary())], names=["id", "items"])
 
 
