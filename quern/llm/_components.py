@@ -15,11 +15,12 @@ from quern.session import materialise
 MAX_ROUNDS = 60
 
 
-def _star(edges: DataFrame, total: int) -> DataFrame:
-    """Edges (u, v) to (v, least) and (u, least), least being the smallest of u and its v's; rows of u = least go."""
-    least = edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("least"), F.count(F.lit(1)).alias("degree"))
-    joined = attach(edges, least, "u", "degree", F.col("v"), total)
-    return joined
+def _settled(edges: DataFrame) -> bool:
+    """Whether each u has one v, and no v is a u: then every edge leads to a component's smallest node."""
+    counts = edges.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("u").alias("nodes")).first()
+    if counts["rows"] != counts["nodes"]:
+        return False
+    return edges.select(F.col("v").alias("u")).distinct().join(edges.select("u"), "u", "left_semi").isEmpty()
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -27,16 +28,17 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     a, b = edges.columns
     pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct()
     now = materialise(pairs, name)
-    seen = None
     for _ in range(MAX_ROUNDS):
-        mark = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if seen == mark or not mark["n"]:
+        if _settled(now):
             break
-        seen = mark
-        n = mark["n"]
+        # large star: the larger neighbours of each node go to the least of all; a node may have very many
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star(both, 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v"))
-        small = _star(large.distinct(), n)
+        least = F.least(F.min("v"), F.col("u")).alias("least")
+        around = both.groupBy("u").agg(least, F.count(F.lit(1)).alias("degree"))
+        large = attach(both, around, "u", "degree", F.col("v"), 2 * now.count())
+        large = large.where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v"))
+        # small star: a node and its smaller neighbours, now few, go to the least of these
+        small = large.join(large.groupBy("u").agg(F.min("v").alias("least")), "u")
         linked = small.select(F.explode(F.array("u", "v")).alias("u"), F.col("least").alias("v"))
         now = materialise(linked.where("u != v").distinct(), name)
     else:

@@ -8,8 +8,8 @@ likelihood, which rules out far pairs; the rest are confirmed on full sets.
 
 Work is kept linear in a group's size. Equal sets are one class from the start. In a bucket, each class is first
 compared with the bucket's smallest member only; buckets whose members are then all connected are done. Buckets that
-aren't get another such round around the member with the fewest shingles of its own; then pairs that still lie in
-different components, and that a bound from such shingles allows to link, are compared one by one. A pair at the threshold shares no band with probability (1 - 0.85^8)^32 = 4e-5.
+aren't have those pairs compared that still lie in different components and that a bound from their rare shingles allows
+to link. A pair at the threshold shares no band with probability (1 - 0.85^8)^32 = 4e-5.
 
 Defined cases: a null or blank text has an empty set, and is linked with nothing; fewer than five words are one shingle;
 rows without id are never linked and have no component, but are kept; rows that repeat an id are one document for
@@ -221,30 +221,17 @@ def _join_classes(texts: DataFrame, classes: DataFrame, percent: int) -> DataFra
     if involved.isEmpty():
         return None
     maybe = bloom_flag(texts, "id", member_bloom(involved, "id"), "maybe").where("maybe").drop("maybe")
-    sets = materialise(
-        maybe.join(involved, "id", "left_semi").mapInArrow(_sets, "id long, items binary").dropDuplicates(["id"]), "near-sets"
-    )
-    known = materialise(
-        classes.join(involved.withColumnRenamed("id", "rep"), "rep", "left_semi").select("rep", "n", "regs").dropDuplicates(["rep"]),
-        "near-known",
-    )
+    sets = materialise(maybe.join(involved, "id", "left_semi").mapInArrow(_sets, "id long, items binary"), "near-sets")
     pairs = materialise(members.where("rep != pivot").select(*_ordered("rep", "pivot")).distinct(), "near-pairs")
-    links = materialise(_verify(pairs, known, sets, percent), "near-links")
-    slack = None
-    for later in (_next_star, _cross_pairs):
-        labels = components(links)
-        open_ = _open_members(members, labels)
-        if open_.isEmpty():
-            return labels
-        if slack is None:
-            slack, shared = _slack(open_, sets, percent)
-            found = later(open_.join(slack, "rep"), percent).unionByName(shared)
-        else:
-            found = later(open_.join(slack, "rep"), percent)
-        fresh_pairs = materialise(found.distinct().join(pairs, ["a", "b"], "left_anti"), "near-pairs")
-        pairs = pairs.unionByName(fresh_pairs)
-        links = materialise(links.unionByName(_verify(fresh_pairs, known, sets, percent)), "near-links")
-    return components(links)
+    links = materialise(_verify(pairs, classes, sets, percent), "near-links")
+    labels = components(links)
+    open_ = _open_members(members, labels)
+    if open_.isEmpty():
+        return labels
+    slack, shared = _slack(open_, sets, percent)
+    found = _cross_pairs(open_.join(slack, "rep"), percent).unionByName(shared).distinct()
+    found = materialise(found.join(pairs, ["a", "b"], "left_anti"), "near-pairs")
+    return components(links.unionByName(_verify(found, classes, sets, percent)))
 
 
 def _open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -256,7 +243,7 @@ def _open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
         "near-labelled",
     )
     several = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
-    return materialise(labelled.join(materialise(several, "near-several"), "key"), "near-open")
+    return materialise(labelled.join(several.select("key"), "key"), "near-open")
 
 
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,20 +287,12 @@ def _slack(open_: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame,
     return materialise(slacks, "near-slack"), materialise(shared, "near-shared")
 
 
-def _next_star(open_: DataFrame, percent: int) -> DataFrame:
-    """In each open bucket, the member with the most slack, the centre of its copies, meets all of other components."""
-    centre = open_.groupBy("key").agg(F.max(F.struct("slack", "rep", "component")).alias("centre"))
-    met = open_.join(materialise(centre, "near-centres"), "key")
-    can = F.col("slack") + F.col("centre.slack") >= 0
-    return met.where((F.col("component") != F.col("centre.component")) & can).select(*_ordered("rep", "centre.rep"))
-
-
 def _cross_pairs(open_: DataFrame, percent: int) -> DataFrame:
     """Pairs of a bucket in different components that sizes and slack allow to link.
 
     Members that can't link with the bucket's member of most slack can link with none, and go first.
     """
-    most = materialise(open_.groupBy("key").agg(F.max("slack").alias("most")), "near-most")
+    most = open_.groupBy("key").agg(F.max("slack").alias("most"))
     able = materialise(open_.join(most, "key").where("slack + most >= 0").drop("most"), "near-able")
     side = lambda x: able.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("rep", "n", "component", "slack")])
     near = (F.col("rep_a") < F.col("rep_b")) & (F.col("component_a") != F.col("component_b"))
