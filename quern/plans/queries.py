@@ -464,7 +464,7 @@ def _text(name: str, column, sql: str) -> None:
 _text("STR-22", S.opener, "CASE WHEN ltrim(lower(coalesce(text, '')), E' \\t\\n') LIKE 'alright%' THEN 'alright' WHEN ltrim(lower(coalesce(text, '')), E' \\t\\n') LIKE 'to %' THEN 'to' ELSE 'others' END")
 _text("STR-29", S.choice_letter, r"""upper(coalesce(CASE WHEN regexp_matches(text, 'answer is\s+\(?([A-J])\)?', 'i') THEN regexp_extract(text, 'answer is\s+\(?([A-J])\)?', 1, 'i') END,
   CASE WHEN regexp_matches(text, '[aA]nswer:\s*([A-J])') THEN regexp_extract(text, '.*[aA]nswer:\s*([A-J])', 1) END, list_extract(regexp_extract_all(regexp_replace(text, '[^\x00-\x7F]', 'x', 'g'), '\b([A-J])\b', 1), -1)))""")
-_text("STR-08", S.squad, r"""array_to_string(list_filter(string_split_regex(regexp_replace(lower(text), '[!-/:-@\[-`{-~]', '', 'g'), '\s+'), w -> w NOT IN ('', 'a', 'an', 'the')), ' ')""")
+_text("STR-08", S.squad, r"""array_to_string(list_filter(string_split_regex(regexp_replace(lower(text), '[!-/:-@\[-`{-~]', '', 'g'), '\s+'), lambda w: w NOT IN ('', 'a', 'an', 'the')), ' ')""")
 _text("STR-11", lambda t: S.grade_school_answer(F.concat(t, F.lit(" #### 1,234")), "strict"), "'1234'")
 _text("STR-21", lambda t: S.canonical_percent(F.concat(t, F.lit(" 50% 5\\%"))), "text || ' 50/100 5/100'")
 _text("DOC-07", S.token_estimate, "greatest(1, length(text) // 4)::INT")
