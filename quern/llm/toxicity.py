@@ -17,6 +17,7 @@ that repeat an id are scored each; without toxic labels all scores are 0; an emp
 
 from __future__ import annotations
 
+import functools
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -49,11 +50,12 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def features(token: str) -> list[str]:
+@functools.lru_cache(1 << 18)
+def features(token: str) -> tuple[str, ...]:
     word = token.lower().strip(_STRIP)
     if not word:
-        return []
-    return [f"w:{word}", *[f"{n}:{word[:n]}" for n in PREFIXES if len(word) > n]]
+        return ()
+    return (f"w:{word}", *[f"{n}:{word[:n]}" for n in PREFIXES if len(word) > n])
 
 
 @dataclass
