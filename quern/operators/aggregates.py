@@ -105,3 +105,53 @@ def bootstrap(df: DataFrame, key: str, value: str, draws: int = 1000, size: int
     drawn = picks.withColumn("_i", (digest % F.col("_n")).cast("int")).join(numbered, [key, "_i"])
     means = drawn.groupBy(key, "_d").agg(F.avg(value).alias("_m"))
     return means.groupBy(key).agg(F.avg("_m").alias("mean"), F.stddev_pop("_m").alias("std"))
+
+
+def group_mean_std(df: DataFrame, key: str, score: str, eps: float = 1e-6) -> DataFrame:
+    """Mean, deviation and count per group from sums; the variance is at least eps, and a single row has (0, 1)."""
+    sums = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum(score).alias("s1"), F.sum(F.col(score) * F.col(score)).alias("s2"))
+    var = (F.col("s2") - F.col("s1") * F.col("s1") / F.col("n")) / F.greatest(F.col("n") - 1, F.lit(1))
+    one = F.col("n") <= 1
+    return sums.select(
+        key,
+        F.when(one, 0.0).otherwise(F.col("s1") / F.col("n")).alias("mean"),
+        F.when(one, 1.0).otherwise(F.sqrt(F.greatest(var, F.lit(eps)))).alias("std"),
+        F.col("n").alias("count"),
+    )
+
+
+def reward_metrics(df: DataFrame, reward: str) -> DataFrame:
+    """One row over rewards: mean, std (population), min, max, median, num_scored, num_positive, frac_positive; 0 if none."""
+    v = F.col(reward)
+    positive = F.count_if(v > 0)
+    figures = {
+        "mean": F.avg(v), "std": F.stddev_pop(v), "min": F.min(v), "max": F.max(v), "median": F.percentile(v, 0.5),
+        "num_scored": F.count(v), "num_positive": positive, "frac_positive": F.try_divide(positive, F.count(v)),
+    }
+    return df.agg(*[F.coalesce(c.cast("double"), F.lit(0.0)).alias(n) for n, c in figures.items()])
+
+
+def question_rollouts(df: DataFrame, doc: str, reason: str) -> DataFrame:
+    """One row: documents, generated, valid (no reject reason) and invalid questions, and counts of the three reasons."""
+    valid = F.count_if(F.col(reason).isNull())
+    total = F.count(F.lit(1))
+    docs = F.count_distinct(doc)
+    named = [F.count_if(F.col(reason) == r).alias(n) for r, n in (("failed_parse", "num_failed_parses"), ("empty_question", "num_empty_questions"), ("invalid_ground_truth", "num_invalid_ground_truth"))]
+    return df.agg(
+        docs.alias("num_documents"), total.alias("num_generated"), valid.alias("num_valid"), (total - valid).alias("num_invalid"),
+        F.coalesce(F.try_divide(valid, total), F.lit(0.0)).alias("frac_valid"),
+        F.coalesce(F.try_divide(valid, docs), F.lit(0.0)).alias("valid_per_doc"), *named,
+    )
+
+
+def flatten(df: DataFrame, prefix: str) -> DataFrame:
+    """Columns of figures to rows (name, value), the name under a prefix."""
+    pairs = [F.struct(F.lit(f"{prefix}/{c}").alias("name"), F.col(c).cast("double").alias("value")) for c in df.columns]
+    return df.select(F.explode(F.array(*pairs)).alias("x")).select("x.*")
+
+
+def sub_summaries(df: DataFrame, group: str, score: str) -> DataFrame:
+    """Per group: rows and mean score; empty if there is one group at most."""
+    each = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.avg(score).alias("mean"))
+    several = each.agg(F.count(F.lit(1)).alias("_groups"))  # one row
+    return each.join(F.broadcast(several), F.col("_groups") > 1).drop("_groups")

@@ -124,3 +124,23 @@ def dot(a: Column, b: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+
+
+def structure_ok(question: Column, truth: Column, choices: Column) -> Column:
+    """A question with 4 to 8 choices, or a free-form one: no choices, but text and truth."""
+    n = F.coalesce(F.size(choices), F.lit(0))
+    some = lambda c: F.coalesce(F.btrim(c) != "", F.lit(False))
+    return question.isNotNull() & truth.isNotNull() & F.when(n > 0, n.between(4, 8)).otherwise(some(question) & some(truth))
+
+
+def mid_eos(ids: Column, mask: Column, score: Column, eos: int) -> Column:
+    """No score, and the last valid token ends the text."""
+    valid = F.filter(ids, lambda x, i: F.get(mask, i) == 1)
+    return score.isNull() & F.coalesce(F.try_element_at(valid, F.lit(-1)) == eos, F.lit(False))
+
+
+def drop_flat_groups(df: DataFrame, group: str, components: list[str], least: float = 1e-12) -> DataFrame:
+    """Groups in which no component's population deviation is over ``least`` go."""
+    spread = F.greatest(*[F.coalesce(F.stddev_pop(c), F.lit(0.0)) for c in components]) if len(components) > 1 else F.stddev_pop(components[0])
+    kept = df.groupBy(group).agg(spread.alias("_spread")).where(F.col("_spread") > least).select(group)
+    return df.join(kept, group, "left_semi")

@@ -11,6 +11,7 @@ from quern.operators import advantages as A
 from quern.operators import aggregates as G
 from quern.operators import batch as B
 from quern.operators import filters as L
+from quern.plans import more_queries as _more  # noqa: F401
 from quern.plans import queries as _queries  # noqa: F401
 from quern.plans import registry
 
