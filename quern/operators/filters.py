@@ -126,17 +126,17 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def structure_ok(question: Column, truth: Column, choices: Column) -> Column:
-    """A question with 4 to 8 choices, or a free-form one: no choices, but text and truth."""
+def structure_ok(question: Column, truth: Column, choices: Column, kind: Column) -> Column:
+    """Question and truth are there, with 4 to 8 choices; or with none, if the list is empty or the kind is qa_open."""
     n = F.coalesce(F.size(choices), F.lit(0))
-    some = lambda c: F.coalesce(F.btrim(c) != "", F.lit(False))
-    return question.isNotNull() & truth.isNotNull() & F.when(n > 0, n.between(4, 8)).otherwise(some(question) & some(truth))
+    free = choices.isNotNull() | F.coalesce(F.lower(F.btrim(kind)) == "qa_open", F.lit(False))
+    return question.isNotNull() & truth.isNotNull() & F.when(n > 0, n.between(4, 8)).otherwise(free)
 
 
 def mid_eos(ids: Column, mask: Column, score: Column, eos: int) -> Column:
-    """No score, and the last valid token ends the text."""
-    valid = F.filter(ids, lambda x, i: F.get(mask, i) == 1)
-    return score.isNull() & F.coalesce(F.try_element_at(valid, F.lit(-1)) == eos, F.lit(False))
+    """No score, and the token at the place of the mask's sum (the first at least) is the end."""
+    place = F.greatest(F.aggregate(mask, F.lit(0), lambda a, x: a + x.cast("int")), F.lit(1))
+    return score.isNull() & F.coalesce(F.try_element_at(ids, place) == eos, F.lit(False))
 
 
 def drop_flat_groups(df: DataFrame, group: str, components: list[str], least: float = 1e-12) -> DataFrame:

@@ -120,19 +120,19 @@ def _(spark, d):
 
 @_query(
     "FLT-13",
-    TOKENS + "SELECT row_idx, coalesce(row_idx % 3 = 0 AND arg_max(id, pos) FILTER (mask = 1) = 2, false) AS mid FROM t GROUP BY 1",
+    TOKENS + ", n AS (SELECT row_idx, greatest(sum(mask), 1) AS last FROM t GROUP BY 1) SELECT row_idx, row_idx % 3 = 0 AND id = 2 AS mid FROM t JOIN n USING (row_idx) WHERE pos = last",
 )
 def _(spark, d):
     score = F.when(F.col("row_idx") % 3 != 0, 1.0)
     return _tokens(spark, d).select("row_idx", L.mid_eos(F.col("ids"), F.col("mask"), score, 2).alias("mid"))
 
 
-@_query("FLT-15", "SELECT c_custkey, c_nationkey BETWEEN 4 AND 8 OR (c_nationkey = 0 AND c_mktsegment <> 'BUILDING') AS ok FROM customer")
+@_query("FLT-15", "SELECT c_custkey, c_nationkey BETWEEN 4 AND 8 OR c_nationkey = 0 OR (c_nationkey > 20 AND c_mktsegment = 'BUILDING') AS ok FROM customer")
 def _(spark, d):
     c = spark.read.parquet(f"{d}/customer.parquet")
-    choices = F.when(F.col("c_nationkey") > 0, F.array_repeat(F.lit("x"), F.col("c_nationkey")))
-    truth = F.when(F.col("c_mktsegment") == "BUILDING", " ").otherwise(F.col("c_mktsegment"))
-    return c.select("c_custkey", L.structure_ok(F.col("c_name"), truth, choices).alias("ok"))
+    choices = F.when(F.col("c_nationkey") <= 20, F.array_repeat(F.lit("x"), F.col("c_nationkey")))
+    kind = F.when(F.col("c_mktsegment") == "BUILDING", " QA_open")
+    return c.select("c_custkey", L.structure_ok(F.col("c_name"), F.col("c_mktsegment"), choices, kind).alias("ok"))
 
 
 @_query("JN-06", "SELECT doc_id, source FROM documents WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")

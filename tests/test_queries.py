@@ -94,3 +94,33 @@ def test_strings(spark):
     assert value(S.last_answer_block(F.lit("<answer>a</answer> <answer> b </answer>"))) == "b"
     assert value(S.benchmark_name(F.lit("a/b/c.json"))) == "c"
     assert value(S.noninformative(F.lit("Find x."), F.lit("Find *x*."))) is True
+
+
+def test_question_structure(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(["a"] * 4, None), (["a"] * 8, None), (["a"] * 3, "qa_open"), (["a"] * 9, None), ([], None), (None, "QA_open "), (None, None)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, choices array<string>, kind string").orderBy("i")
+    ok = L.structure_ok(F.lit("q"), F.lit("t"), F.col("choices"), F.col("kind"))
+    assert [r.x for r in df.select(ok.alias("x")).collect()] == [True, True, False, False, True, True, False]
+    no_truth = L.structure_ok(F.lit("q"), F.lit(None), F.col("choices"), F.col("kind"))
+    assert not any(r.x for r in df.select(no_truth.alias("x")).collect())
+
+
+def test_mid_eos(spark):
+    from pyspark.sql import functions as F
+
+    rows = [([5, 2, 0], [1, 1, 0], None), ([5, 2, 0], [1, 1, 0], 1.0), ([5, 6, 2], [1, 1, 0], None), ([5, 2, 7], [1, 0, 1], None), ([2, 5, 5], [0, 0, 0], None)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, ids array<int>, mask array<int>, score double").orderBy("i")
+    got = df.select(L.mid_eos(F.col("ids"), F.col("mask"), F.col("score"), 2).alias("x")).collect()
+    assert [r.x for r in got] == [True, False, False, True, True]
+
+
+def test_fallback_join(spark):
+    from quern.operators import joins as J
+
+    kind = "chapter string, label string, num int, pos int, "
+    problems = spark.createDataFrame([("1", "a", 1, 0, "p0"), ("1", "b", 2, 1, "p1"), ("2", "a", 3, 2, "p2"), ("2", "b", 4, 3, "p3"), ("9", "z", 5, 4, "p4"), ("1", "a", 1, 5, "again")], kind + "body string")
+    answers = spark.createDataFrame([("1", "a", 1, 0, "full"), ("1", "a", 1, 1, "later"), ("1", None, 2, 2, "chapter"), (None, "a", 3, 3, "label"), (None, None, 4, 4, "bare"), ("8", "z", 5, 5, "other")], kind + "answer string")
+    got = {r.body: r.answer for r in J.fallback_join(problems, answers, "answer", "pos").collect()}
+    assert got == {"p0": "full", "p1": "chapter", "p2": "label", "p3": "bare", "p4": None}
