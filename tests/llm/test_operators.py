@@ -133,6 +133,36 @@ def test_lines(spark):
     assert line_dedup.line_groups(docs.limit(0)).count() == 0
 
 
+def test_fuzzy_lines_against_brute_force(spark):
+    vocabulary, rng = _words(5, 3000), np.random.default_rng(5)
+    lines, pairs = [], []
+    for n, changed in ((2, 0), (3, 0), (8, 1), (12, 1), (20, 1), (20, 2), (40, 1), (100, 3)):
+        for _ in range(30):
+            a = [str(w) for w in rng.choice(vocabulary, n)]
+            b = list(a)
+            for i in rng.choice(n, changed, replace=False):
+                b[i] = str(rng.choice(vocabulary))
+            a, b = " ".join(a), " ".join(b)
+            b = b if changed else b[:-2] + "#" + b[-1:]
+            if a != b and _edits(a, b) * 100 <= 20 * max(len(a), len(b)):
+                pairs.append((len(lines), len(lines) + 1))
+                lines += [a, b]
+    assert len(pairs) > 150
+    first = {r.doc_id: r.first_doc_id for r in line_dedup.line_groups(_docs(spark, lines)).collect()}
+    missed = [lines[a] for a, b in pairs if first[a] != first[b]]
+    assert len(missed) <= 0.02 * len(pairs), missed
+    assert not [x for x in missed if len(x) < line_dedup.TINY]
+
+
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
 def test_html():
     page = '<div class="menu">a b</div><article><h1>T &amp; U</h1><p>One <b>tw</b>o, three. <p>Four<div class=comments>x</div></article><footer>f</footer>'
     assert html_text.main_text(page) == "T & U One two, three. Four"
