@@ -42,11 +42,16 @@ SKIPPED = frozenset(
 RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe")
 ARTICLE = frozenset("article main".split())
 MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar|side|aside|footer|foot|header|"
+    r"ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar|side|aside|footer|foot|header|"
     r"masthead|comments?|replies|reply|disqus|cookies?|consent|notices?|alert|popup|modal|overlay|share|sharing|social|related|"
-    r"recommend\w*|newsletter|subscribe|subscription|login|signup|search|widget|toolbar|pagination|pager|tags?|legal|copyright)(?:$|[\s_-])",
+    r"recommend\w*|newsletter|subscribe|subscription|login|signup|search|widget|toolbar|pagination|pager|tags?|legal|copyright",
     re.I,
 )
+#: Words of layout that a marking class may have besides: site-footer is marked, but not has-sidebar or category-news.
+LAYOUT = frozenset(
+    "area bar block bottom box buttons column container content global group inner item items left links list main mobile outer "
+    "panel primary right row secondary section site sticky top unit wrap wrapper".split()
+)
 MARKED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
 _TOKEN = re.compile(
@@ -69,29 +74,43 @@ _SCOPES = frozenset("html body div article main section ul ol dl table td th blo
 _PUNCTUATION = re.compile(r"[.,;:!?、。，；：！？…]")
 
 
-def _marked(tag: str, attributes: str) -> bool:
+def _says_boilerplate(value: str) -> bool:
+    """Whether a class or id has a token all of whose parts mark boilerplate or layout, and one boilerplate."""
+    for token in value.split():
+        parts = [x for x in re.split("[-_]+", token) if x]
+        marking = [MARKED.fullmatch(x) is not None for x in parts]
+        if any(marking) and all(m or x.lower() in LAYOUT for m, x in zip(marking, parts, strict=True)):
+            return True
+    return False
+
+
+def _marked(tag: str, attributes: str) -> str:
+    """'surely' by tag, role or hidden; 'named' by a class or id alone, which never marks an article; else ''."""
     if tag in SKIPPED:
-        return True
+        return "surely"
     if not attributes or "=" not in attributes and "hidden" not in attributes:
-        return False
+        return ""
+    out = ""
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return "surely"
         if name == "role" and value.lower() in MARKED_ROLES:
-            return True
-        if name in ("class", "id") and tag not in ("html", "body") and MARKED.search(value):
-            return True
-    return False
+            return "surely"
+        if name in ("class", "id") and tag not in ("html", "body") and tag not in ARTICLE and _says_boilerplate(value):
+            out = "named"
+    return out
 
 
 def text_nodes(page: str) -> list[tuple[tuple[str, ...], str]]:
     """(path, text) of the blocks of a page in order, without those that lie in marked elements.
 
-    Inline tags aren't part of a path and don't end a block.
+    Inline tags aren't part of a path and don't end a block. An element that only its class or id marks still counts if
+    it holds the page's <main>, or most of its text while no article or main that isn't marked has any.
     """
-    stack: list[tuple[str, bool]] = []
-    out: list[tuple[tuple[str, ...], str]] = []
+    stack: list[tuple[str, bool, int]] = []  # the third is the element's number if it is marked by name, else 0
+    out: list[tuple[tuple[str, ...], str, tuple[int, ...]]] = []
+    named, cleared = 0, {0}
     pending: list[str] = []
     hidden, at, end = 0, 0, len(page)
 
@@ -99,7 +118,7 @@ def text_nodes(page: str) -> list[tuple[tuple[str, ...], str]]:
         if pending:
             text = " ".join(html_entities.unescape("".join(pending)).split())
             if text:
-                out.append((tuple(t for t, _ in stack), text))
+                out.append((tuple(t for t, _, _ in stack), text, tuple(n for _, _, n in stack if n)))
             pending.clear()
 
     def pop_to(k: int) -> None:
@@ -117,7 +136,8 @@ def text_nodes(page: str) -> list[tuple[tuple[str, ...], str]]:
         if not m[2]:
             continue
         tag = m[2].lower()
-        if tag in INLINE and not (not m[1] and _marked(tag, m[3])):
+        mark = "" if m[1] else _marked(tag, m[3])
+        if tag in INLINE and not mark:
             continue
         if tag == "br":
             if not hidden:
@@ -129,7 +149,8 @@ def text_nodes(page: str) -> list[tuple[tuple[str, ...], str]]:
                     flush()
                 continue
             close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = close.end() if close else at
+            if mark == "surely" or not close or 2 * (close.start() - at) < end:
+                at = close.end() if close else at
             continue
         flush()
         if m[1]:
@@ -149,11 +170,20 @@ def text_nodes(page: str) -> list[tuple[tuple[str, ...], str]]:
             continue
         if m[3].rstrip().endswith("/") and tag not in _SCOPES and tag != "p":
             continue
-        mark = _marked(tag, m[3])
-        stack.append((tag, mark))
-        hidden += mark
+        if tag == "main":
+            cleared.update(n for _, _, n in stack)
+        named += mark == "named"
+        stack.append((tag, mark == "surely", named if mark == "named" else 0))
+        hidden += mark == "surely"
     flush()
-    return out
+    held: dict[int, int] = defaultdict(int)
+    for _, text, within in out:
+        for n in within:
+            held[n] += len(text)
+    total = sum(len(text) for _, text, _ in out)
+    if not any(cleared.issuperset(within) and not ARTICLE.isdisjoint(path) for path, _, within in out):
+        cleared.update(n for n, chars in held.items() if 2 * chars > total)
+    return [(path, text) for path, text, within in out if cleared.issuperset(within)]
 
 
 def _smooth(values: list[float]) -> list[float]:

@@ -170,6 +170,19 @@ def test_html():
     assert html_text.main_text("<p>cut <a hre") == "cut"
 
 
+def test_html_class_words():
+    for name in ("post category-news tag-python", "site has-sidebar", "layout no-sidebar", "no-comments post", "article-body social-policy", "legal-news"):
+        for tag in ("div", "article", "section"):
+            assert html_text.main_text(f'<{tag} class="{name}"><p>The text.</p></{tag}>') == "The text.", (tag, name)
+    assert html_text.main_text('<article class="related"><p>The text.</p></article>') == "The text."
+    assert html_text.main_text('<div class="widget"><p>Most of the text of the page.</p></div><p>.</p>').startswith("Most of the text")
+    assert html_text.main_text('<div class="ad">More text than the article has.</div><article><p>Text.</p></article>') == "Text."
+    assert html_text.main_text('<div class="widget"><main><p>Text.</p></main></div><p hidden>x</p>') == "Text."
+    page = '<p>The text of the page, long enough.</p>'
+    for name in ("ad", "x site-footer", "main_menu", "navbar", "social-share"):
+        assert html_text.main_text(f'<div class="{name}">a b</div>{page}') == "The text of the page, long enough.", name
+
+
 def test_warc(spark, tmp_path):
     rows = [(1, "u\n", None), (2, None, "x" * 1000), (3, "h", "x" * 1000), (None, "h", "x" * 1000), (4, "h", "é")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
