@@ -2,8 +2,8 @@
 
 A page's text nodes are grouped by their root-to-leaf tag path. Each path has the ratios of its text length and of its
 punctuation to its number of nodes; both are smoothed along the page, so that a short node among long ones gains, fused
-into one weight per path, and summed per container. The container that gathers most is the article; inside it a path
-stays if its weight reaches a share of the article's mean. What its own tags, classes or roles mark as navigation,
+into one weight per path, and summed per container. The named article that gathers most is the article, or else the whole
+page; inside it a path stays if its weight reaches a share of the article's mean. What its own tags, classes or roles mark as navigation,
 footer, advert, form, comment and so on never counts.
 
 Defined cases: null, empty and white-space pages, and pages without any text, give an empty text; broken markup (tags
@@ -217,17 +217,11 @@ def main_text(page: str | None) -> str:
     for path in weight:
         for k in range(len(path) + 1):
             mass[path[:k]] += weight[path] * chars[path]
-    # the deepest container that still holds most of what the page's named articles, or else all of it, weigh
+    # the named article that weighs most, or else the page: all unmarked paths over the threshold, wherever they lie
     named = [p for p in mass if p and p[-1] in ARTICLE]
     best = max(named, key=lambda p: (mass[p] * NAMED_BONUS, -len(p))) if named else ()
     if named and mass[best] * NAMED_BONUS < mass[()] - mass[best]:
         best = ()
-    while not named or best == ():
-        deeper = [p for p in mass if len(p) == len(best) + 1 and p[: len(best)] == best and p not in weight]
-        top = max(deeper, key=lambda p: mass[p], default=None)
-        if top is None or mass[top] < 0.8 * mass[best]:
-            break
-        best = top
     inside = [p for p in weight if p[: len(best)] == best]
     mean = sum(weight[p] * chars[p] for p in inside) / sum(chars[p] for p in inside)
     kept = {p for p in inside if weight[p] >= LEAST_SHARE * mean}

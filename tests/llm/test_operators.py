@@ -183,6 +183,15 @@ def test_html_class_words():
         assert html_text.main_text(f'<div class="{name}">a b</div>{page}') == "The text of the page, long enough.", name
 
 
+def test_html_without_article():
+    long = "A long text, with signs. " * 40
+    whole = " ".join(f"Title lead {long}".split())
+    assert html_text.main_text(f"<body><h1>Title</h1><p>lead</p><div><p>{long}</p></div></body>") == whole
+    split = f"<body><section><p>{long}</p></section><div><p>A short part.</p></div></body>"
+    assert html_text.main_text(split) == " ".join(f"{long} A short part.".split())
+    assert html_text.main_text(f"<body><nav>x</nav><h1>Title</h1><div><p>lead</p><div><p>{long}</p></div></div></body>") == whole
+
+
 def test_warc(spark, tmp_path):
     rows = [(1, "u\n", None), (2, None, "x" * 1000), (3, "h", "x" * 1000), (None, "h", "x" * 1000), (4, "h", "é")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
