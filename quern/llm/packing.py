@@ -1,10 +1,12 @@
 """Operator 10, packing: mixture-controlled, by deficit round-robin over source queues.
 
-Each source is a queue of tokens (the rarest sources share one). Every window of WINDOW tokens takes its target share
+Each source is a queue of tokens. Every window of WINDOW tokens takes its target share
 from each queue; what rounding owes a queue is its deficit, carried to the next window. The schedule repeats after a
 cycle of windows, so where token number k of a queue goes is arithmetic: partitions know from prefix sums of token counts
 where their documents stand in each queue, place them without seeing each other, and deficits carry across windows and
-partitions alike. When a queue runs dry, its share goes to the others in proportion. Documents are cut wherever a window
+partitions alike. With more than MAX_QUEUES sources, the largest are queues, and groups of the others, of about equal time to
+run dry, are queues whose tokens are dealt by the same arithmetic among their members, so every source has its share and
+its weight; what a member of a group leaves when it runs dry goes to its group first. When a queue runs dry, its share goes to the others in proportion. Documents are cut wherever a window
 ends. Fewer than WINDOW tokens remain in the end; they fill sequences of falling powers of two, so nothing is padded.
 
 Defined cases: a null text is empty, and an empty text still has its end token; a null source is a source of its own;
@@ -33,8 +35,10 @@ WINDOW = 2048
 END_ID = 1
 #: Windows of a full cycle; shares are exact to one in CYCLE * WINDOW.
 CYCLE = 32
-#: Sources with the most rows that get a queue of their own; the others share one more queue.
+#: Queues that one schedule deals; more sources than that are dealt by schedules within schedules.
 MAX_QUEUES = 64
+#: Least tokens of a window of such an inner schedule.
+LEAST_WINDOW = 64
 #: Words whose ids a Python worker remembers.
 CACHE_WORDS = 1_000_000
 TOKENIZER = "byte_bpe_50k.json"
@@ -134,6 +138,7 @@ class Schedule:
     rest: list[int] = field(default_factory=list)
     rest_offset: list[int] = field(default_factory=list)
     rest_starts: list[int] = field(default_factory=list)
+    window: int = WINDOW
 
     def pieces(self, queue: int, at: int, length: int) -> Iterator[tuple[int, int, int]]:
         """(sequence, offset, length) of the pieces of tokens at .. at + length of a queue."""
@@ -154,6 +159,11 @@ class Schedule:
             at += take
             length -= take
 
+    def place(self, sequence: int, offset: int) -> int:
+        """Number of a token in the order of sequences."""
+        k = sequence - self.windows
+        return sequence * self.window + offset if k < 0 else self.windows * self.window + self.rest_starts[k] + offset
+
     def _starts(self, queue: int) -> list[int]:
         cached = self.__dict__.setdefault("_cached", {})
         if queue not in cached:
@@ -172,7 +182,7 @@ def _shares(total: int, weights: list[float]) -> list[int]:
     return out
 
 
-def _cycle(quota: list[int], length: int) -> list[list[int]]:
+def _cycle(quota: list[int], length: int, window: int) -> list[list[int]]:
     """Tokens that each window of a cycle takes from each queue: deficits grow by the quota, a token costs ``length``."""
     deficit, taken, rows = [0] * len(quota), [0] * len(quota), []
     for k in range(length):
@@ -182,7 +192,7 @@ def _cycle(quota: list[int], length: int) -> list[list[int]]:
             take = [q - t for q, t in zip(quota, taken, strict=True)]
         else:
             order = sorted(range(len(quota)), key=lambda q: (take[q] * length - deficit[q], q))
-            for q in order[: WINDOW - sum(take)]:
+            for q in order[: window - sum(take)]:
                 take[q] += 1
         deficit = [d - t * length for d, t in zip(deficit, take, strict=True)]
         taken = [a + t for a, t in zip(taken, take, strict=True)]
@@ -190,16 +200,16 @@ def _cycle(quota: list[int], length: int) -> list[list[int]]:
     return rows
 
 
-def schedule(totals: list[int], weights: list[float] | None = None) -> Schedule:
+def schedule(totals: list[int], weights: list[float] | None = None, window: int = WINDOW) -> Schedule:
     """The whole plan from the tokens of each queue; weights are target shares of tokens, else the shares held."""
-    left, done, out = list(totals), [0] * len(totals), Schedule()
-    while sum(left) >= WINDOW:
+    left, done, out = list(totals), [0] * len(totals), Schedule(window=window)
+    while sum(left) >= window:
         live = [float(x) if x else 0.0 for x in left]
         if weights is not None and any(w > 0 and x for w, x in zip(weights, left, strict=True)):
             live = [w if x else 0.0 for w, x in zip(weights, left, strict=True)]
         length = CYCLE
         while True:
-            quota = _shares(length * WINDOW, live)
+            quota = _shares(length * window, live)
             cycles = min(x // q for x, q in zip(left, quota, strict=True) if q)
             if cycles or length == 1:
                 break
@@ -207,9 +217,9 @@ def schedule(totals: list[int], weights: list[float] | None = None) -> Schedule:
         if not cycles:  # some queue is about to end: one window takes what it has, and the others make up for it
             quota = [min(q, x) for q, x in zip(quota, left, strict=True)]
             for q in sorted(range(len(left)), key=lambda q: (-live[q], quota[q] - left[q])):
-                quota[q] += min(left[q] - quota[q], WINDOW - sum(quota))
+                quota[q] += min(left[q] - quota[q], window - sum(quota))
             cycles = 1
-        rows = _cycle(quota, length) if length > 1 else [quota]
+        rows = _cycle(quota, length, window) if length > 1 else [quota]
         cum = [[0] * (length + 1) for _ in totals]
         offset = [[0] * length for _ in totals]
         for k, take in enumerate(rows):
@@ -225,12 +235,52 @@ def schedule(totals: list[int], weights: list[float] | None = None) -> Schedule:
     out.rest, rest = done, sum(left)
     out.rest_offset = [sum(left[:q]) for q in range(len(left))]
     out.rest_starts = [0]
-    for bit in range(WINDOW.bit_length(), -1, -1):
+    for bit in range(window.bit_length(), -1, -1):
         if rest >> bit & 1:
             out.rest_starts.append(out.rest_starts[-1] + (1 << bit))
     return out
 
 
+@dataclass
+class Plan:
+    """A schedule whose queues are sources or, at the places in ``inner``, plans of their own."""
+
+    outer: Schedule
+    queue: dict[str, int]
+    inner: dict[int, Plan]
+
+    def pieces(self, source: str, at: int, length: int) -> Iterator[tuple[int, int, int]]:
+        q = self.queue[source]
+        if q not in self.inner:
+            yield from self.outer.pieces(q, at, length)
+            return
+        inner = self.inner[q]
+        for sequence, offset, n in inner.pieces(source, at, length):
+            yield from self.outer.pieces(q, inner.outer.place(sequence, offset), n)
+
+
+def plan(totals: dict[str, int], weights: dict[str, float] | None = None, window: int = WINDOW) -> Plan:
+    """The plan for the tokens of each source; weights of sources that are not given are 0."""
+    weight = lambda s: totals[s] if weights is None else weights.get(s, 0.0)
+    parts = [[s] for s in sorted(totals)]
+    if len(parts) > MAX_QUEUES:
+        half = MAX_QUEUES // 2
+        ranked = sorted(totals, key=lambda s: (-weight(s), -totals[s], s))
+        parts, others = [[s] for s in ranked[:half]], ranked[half:]
+        each = -(-len(others) // (half - 1))
+        weighted = sorted((s for s in others if weight(s) > 0), key=lambda s: (totals[s] / weight(s), s))
+        for some in (weighted, sorted(s for s in others if not weight(s) > 0)):
+            parts += [some[i : i + each] for i in range(0, len(some), each)]
+    shares = [sum(map(weight, x)) for x in parts]
+    scale = sum(shares) or 1
+    inner = {}
+    for q, x in enumerate(parts):
+        if len(x) > 1:
+            inner[q] = plan({s: totals[s] for s in x}, weights, min(window, max(LEAST_WINDOW, round(window * shares[q] / scale))))
+    outer = schedule([sum(totals[s] for s in x) for x in parts], None if weights is None else shares, window)
+    return Plan(outer, {s: q for q, x in enumerate(parts) for s in x}, inner)
+
+
 def _tokenize(tokenizer: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, before = encoder(tokenizer), {}
@@ -251,7 +301,7 @@ def _tokenize(tokenizer: str):
     return run
 
 
-def _cut(plan: Schedule):
+def _cut(plan: Plan):
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,27 +333,23 @@ def pack(
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     key = F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("null"))
-    largest = docs.groupBy(key.alias("key")).count().orderBy(F.desc("count"), "key").limit(MAX_QUEUES).collect()
-    names = sorted(r["key"] for r in largest)
-    queue = F.coalesce(F.array_position(F.array(*[F.lit(n) for n in names] or [F.lit("")]), key) - 1, F.lit(-1))
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.spark_partition_id().cast("long").alias("part"),
-        F.when(queue < 0, len(names)).otherwise(queue).cast("long").alias("queue"),
+        key.alias("queue"),
         F.col(text_col).alias("text"),
     )
-    schema = "doc_id long, part long, queue long, before long, n long, ids binary"
+    schema = "doc_id long, part long, queue string, before long, n long, ids binary"
     tokens = materialise(rows.mapInArrow(_tokenize(tokenizer), schema), "pack-tokens")
     per_part = materialise(tokens.groupBy("queue", "part").agg(F.sum("n").alias("n")), "pack-parts")
-    totals = dict(per_part.groupBy("queue").agg(F.sum("n").alias("n")).collect())  # a row per queue
-    counts = [totals.get(q, 0) for q in range(len(names) + 1)]
-    shares = None if weights is None else [float(weights.get(n[1:], 0.0)) for n in names] + [0.0]
+    totals = dict(per_part.groupBy("queue").agg(F.sum("n").alias("n")).collect())  # a row per source
+    shares = None if weights is None else {f"s{k}": float(w) for k, w in weights.items()}
     earlier = W.partitionBy("queue").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     bases = per_part.select("queue", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
     placed = tokens.join(materialise(bases, "pack-bases"), ["queue", "part"])
     cut = placed.select("doc_id", "queue", (F.col("base") + F.col("before")).alias("at"), "n", "ids")
     return cut.mapInArrow(
-        _cut(schedule(counts, shares)),
+        _cut(plan(totals, shares)),
         "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long",
     )
 

@@ -276,3 +276,45 @@ def test_schedule_fills_windows_to_target():
             if sequence < 20:
                 first[q] += length
     assert abs(first[0] - first[1]) <= 20
+
+
+@pytest.mark.parametrize("weighted", [True, False])
+def test_packing_gives_each_of_many_sources_its_share(spark, weighted):
+    pytest.importorskip("public_tokenizers")
+    docs = _docs(spark, [" ".join(_words(i, 60)) for i in range(1200)]).withColumn("source", F.concat(F.lit("d"), F.col("doc_id") % 150))
+    weights = {f"d{k}": float(1 + k % 2 * 3) for k in range(149)} if weighted else None  # d149 has none
+    rows = packing.pack(docs, weights).collect()
+    assert sum(r.length for r in rows) == sum({r.doc_id: r.doc_tokens for r in rows}.values())
+    spans = defaultdict(list)
+    for r in rows:
+        spans[r.sequence_id].append((r.offset, r.length))
+    for x in spans.values():
+        ends = [0]
+        for offset, length in sorted(x):
+            assert offset == ends[-1]
+            ends.append(offset + length)
+    early, total = Counter(), 0
+    for r in rows:
+        if r.sequence_id < 32:
+            early[f"d{r.doc_id % 150}"] += r.length
+            total += r.length
+    assert total == 32 * packing.WINDOW
+    held = Counter()
+    for d, n in {r.doc_id: r.doc_tokens for r in rows}.items():
+        held[f"d{d % 150}"] += n
+    share = weights or held
+    for k in range(150):
+        want = share.get(f"d{k}", 0) / sum(share.values()) * total
+        assert abs(early[f"d{k}"] - want) <= 12 + 0.03 * want, (k, early[f"d{k}"], want)
+
+
+def test_plan_recurses_and_honours_tail_weights():
+    totals = {f"s{k:05}": 40 + k % 7 for k in range(5000)}
+    made = packing.plan(totals, {"s04999": 1.0})
+    seen = np.zeros(sum(totals.values()), int)
+    for s, n in totals.items():
+        for sequence, offset, length in made.pieces(s, 0, n):
+            at = made.outer.place(sequence, offset)
+            seen[at : at + length] += 1
+    assert (seen == 1).all()
+    assert [x[0] for x in made.pieces("s04999", 0, totals["s04999"])] == [0]
