@@ -284,9 +284,11 @@ def _(spark, d):
 
 @_query("FLT-05", ROLLOUTS + ', g AS (SELECT "group" AS q, avg(score) AS reward FROM r GROUP BY 1 HAVING min(ok) <> max(ok)) SELECT q, round(reward, 5) AS reward FROM g ORDER BY g.reward DESC, q LIMIT 30')
 def _(spark, d):
-    r = L.drop_zero_variance(rollouts(spark, d), "group", "ok", keep_single=False)
+    every = rollouts(spark, d)
+    total = every.select("group").distinct().count()  # before the filter, as the reference counts
+    r = L.drop_zero_variance(every, "group", "ok", keep_single=False)
     g = r.groupBy(F.col("group").alias("q")).agg(F.avg("score").alias("reward"))
-    return L.top_alpha(g, 0.2, 150, "reward", "q").select("q", _r("reward").alias("reward"))
+    return L.top_alpha(g, 0.2, total, "reward", "q").select("q", _r("reward").alias("reward"))
 
 
 @_query("FLT-08", ROLLOUTS + ', s AS (SELECT doc, stddev_pop(score) AS s FROM r GROUP BY 1), t AS (SELECT quantile_cont(s, 0.5) AS tau FROM s) SELECT row_idx, CASE WHEN s <= tau THEN 0 ELSE score END AS masked FROM r JOIN s USING (doc), t')

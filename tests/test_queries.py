@@ -124,3 +124,21 @@ def test_fallback_join(spark):
     answers = spark.createDataFrame([("1", "a", 1, 0, "full"), ("1", "a", 1, 1, "later"), ("1", None, 2, 2, "chapter"), (None, "a", 3, 3, "label"), (None, None, 4, 4, "bare"), ("8", "z", 5, 5, "other")], kind + "answer string")
     got = {r.body: r.answer for r in J.fallback_join(problems, answers, "answer", "pos").collect()}
     assert got == {"p0": "full", "p1": "chapter", "p2": "label", "p3": "bare", "p4": None}
+
+
+def _events(folder, accuracy):
+    """Events of questions with 20 graded rows each, of which so many are right."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    ids = [i for i in range(40 * len(accuracy)) if i % 17][: 20 * len(accuracy)]
+    users = [k // 20 for k in range(len(ids))]
+    values = [20.0 + u if k % 20 < accuracy[u] else 1.0 for k, u in enumerate(users)]
+    pq.write_table(pa.table({"event_id": ids, "user_id": users, "event_type": ["view"] * len(ids), "value": values}), f"{folder}/events.parquet")
+    return str(folder)
+
+
+def test_top_alpha_counts_the_questions_of_the_data(spark, tmp_path):
+    folder = _events(tmp_path, [10] * 10 + [20] * 11)  # 21 questions, 10 of them with variance
+    got = [r.q for r in registry.queries()["FLT-05"](spark, folder).collect()]
+    assert sorted(got) == [5, 6, 7, 8, 9]  # ceil(0.2 * 21) with the best mean
