@@ -85,9 +85,22 @@ def quotas(target: dict[str, float], total: int) -> dict[str, int]:
     return out
 
 
+def redistribute_shortfall(shortfall: int, surplus: dict[str, int]) -> dict[str, int]:
+    """How many more each bucket gives, in proportion to its surplus; the last gives what remains, as far as it can."""
+    out, remaining, total = {}, shortfall, sum(surplus.values())
+    for i, (name, n) in enumerate(surplus.items()):
+        share = remaining if i == len(surplus) - 1 else round(shortfall * n / total)
+        out[name] = min(share, n, remaining)
+        remaining -= out[name]
+    return out
+
+
 def sample_buckets(df: DataFrame, bucket: str, key: str, wanted: dict[str, int], seed: int) -> DataFrame:
-    """Per bucket, the first so many rows in hash order."""
-    limit = F.create_map(*[x for k, v in wanted.items() for x in (F.lit(k), F.lit(v))])
+    """Per bucket, the first so many rows in hash order; what a bucket lacks is taken from those with rows left."""
+    held = dict(df.where(F.col(bucket).isin(*wanted)).groupBy(bucket).count().collect())  # a row per bucket
+    over = {k: held[k] - v for k, v in wanted.items() if held.get(k, 0) > v}
+    extra = redistribute_shortfall(sum(max(0, v - held.get(k, 0)) for k, v in wanted.items()), over)
+    limit = F.create_map(*[x for k, v in wanted.items() for x in (F.lit(k), F.lit(v + extra.get(k, 0)))])
     ranked = W.partitionBy(bucket).orderBy(hash_order(seed, F.col(key)), key)
     return df.withColumn("_k", F.row_number().over(ranked)).where(F.col("_k") <= F.coalesce(limit[F.col(bucket)], F.lit(0))).drop("_k")
 

@@ -142,3 +142,14 @@ def test_top_alpha_counts_the_questions_of_the_data(spark, tmp_path):
     folder = _events(tmp_path, [10] * 10 + [20] * 11)  # 21 questions, 10 of them with variance
     got = [r.q for r in registry.queries()["FLT-05"](spark, folder).collect()]
     assert sorted(got) == [5, 6, 7, 8, 9]  # ceil(0.2 * 21) with the best mean
+
+
+def test_shortfall_goes_to_buckets_with_rows_left(spark):
+    rows = [(i, "easy" if i < 100 else "medium") for i in range(130)]
+    df = spark.createDataFrame(rows, "q long, b string")
+    sample = lambda wanted: L.sample_buckets(df, "b", "q", wanted, 7).groupBy("b").count().collect()
+    # 20 are lacking; surpluses of 90 and 10: 18 and 2
+    assert dict(sample({"easy": 10, "medium": 20, "hard": 20})) == {"easy": 28, "medium": 22}
+    assert dict(sample({"easy": 10, "medium": 20})) == {"easy": 10, "medium": 20}
+    assert dict(sample({"easy": 10, "medium": 20, "hard": 500})) == {"easy": 100, "medium": 30}
+    assert L.redistribute_shortfall(5, {}) == {}
