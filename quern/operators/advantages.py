@@ -146,6 +146,14 @@ def whiten(df: DataFrame, value: str, weight: str) -> DataFrame:
     return _whiten(df, F.col(value), F.col(weight)).select(*df.columns, F.col("_white").alias("advantage"))
 
 
+def gae_advantages(df: DataFrame, key: str, rewards: str, values: str, mask: str, gamma: float, lam: float) -> DataFrame:
+    """A row per token: key, pos from 0, advantage (whitened over all tokens with mask 1) and returns (before that, plus values)."""
+    raw = gae(F.col(rewards), F.col(values), F.col(mask), gamma, lam)
+    zipped = F.arrays_zip(raw.alias("a"), F.col(values).alias("v"), F.col(mask).alias("m"))
+    tokens = df.select(key, F.posexplode(zipped).alias("pos", "t")).select(key, "pos", F.col("t.a").alias("a"), F.col("t.v").alias("v"), F.col("t.m").alias("m"))
+    return _whiten(tokens, F.col("a"), F.col("m")).select(key, "pos", F.col("_white").alias("advantage"), (F.col("a") + F.col("v")).alias("returns"))
+
+
 def discounted_returns(rewards: Column, mask: Column, gamma: float) -> Column:
     """Per token, the reverse discounted sum; the carry is reset where the mask is 0."""
 

@@ -160,6 +160,18 @@ def _(spark, d):
     return _per_token(t, A.gae(F.col("rewards"), F.col("values"), F.col("mask"), 0.9, 0.8))
 
 
+@_query(
+    "ADV-01-whitened",
+    _registry._SQL["ADV-01"].rsplit("SELECT m.row_idx", 1)[0]
+    + """, f AS (SELECT m.row_idx, m.pos, m.mask, m.value, coalesce(g.x, 0) AS x FROM m LEFT JOIN g ON g.row_idx = m.row_idx AND g.k = m.k),
+w AS (SELECT avg(x) FILTER (mask = 1) AS mean, var_samp(x) FILTER (mask = 1) AS var FROM f)
+SELECT row_idx, pos, round((x - mean) / sqrt(var + 1e-8), 5) + 0.0 AS advantage, round(x + value, 5) + 0.0 AS returns FROM f, w""",
+)
+def _(spark, d):
+    x = A.gae_advantages(_tokens(spark, d), "row_idx", "rewards", "values", "mask", 0.9, 0.8)
+    return x.select("row_idx", (F.col("pos") + 1).cast("long").alias("pos"), _r("advantage").alias("advantage"), _r("returns").alias("returns"))
+
+
 @_query("ADV-16", ROLLOUTS + "SELECT row_idx, round(score / 100 - length / 10, 5) + 0.0 AS k1, round(abs(score / 100 - length / 10), 5) AS abs, round(0.5 * (score / 100 - length / 10) ** 2, 5) AS k2, round(least(greatest(exp(length / 10 - score / 100) - (length / 10 - score / 100) - 1, -10), 10), 5) AS k3 FROM r")
 def _(spark, d):
     r = rollouts(spark, d)

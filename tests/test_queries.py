@@ -153,3 +153,16 @@ def test_shortfall_goes_to_buckets_with_rows_left(spark):
     assert dict(sample({"easy": 10, "medium": 20})) == {"easy": 10, "medium": 20}
     assert dict(sample({"easy": 10, "medium": 20, "hard": 500})) == {"easy": 100, "medium": 30}
     assert L.redistribute_shortfall(5, {}) == {}
+
+
+def test_gae_is_whitened_and_has_returns(spark):
+    rows = [(0, [1.0, 2.0, 4.0], [0.5, 1.0, 2.0], [1, 0, 1]), (1, [3.0], [1.0], [1])]
+    df = spark.createDataFrame(rows, "k long, r array<double>, v array<double>, m array<int>")
+    got = {(x.k, x.pos): (x.advantage, x.returns) for x in A.gae_advantages(df, "k", "r", "v", "m", 0.5, 0.5).collect()}
+    raw = {(0, 2): 2.0, (0, 1): 2.0, (0, 0): 1.0 + 0.5 * 2.0 - 0.5 + 0.25 * 2.0, (1, 0): 2.0}
+    valid = [raw[0, 0], raw[0, 2], raw[1, 0]]
+    mean = sum(valid) / 3
+    std = math.sqrt(sum((x - mean) ** 2 for x in valid) / 2 + 1e-8)
+    values = {(0, 0): 0.5, (0, 1): 1.0, (0, 2): 2.0, (1, 0): 1.0}
+    for k, a in raw.items():
+        assert abs(got[k][0] - (a - mean) / std) < 1e-6 and abs(got[k][1] - a - values[k]) < 1e-9
