@@ -28,14 +28,19 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    Only where that setting is absent (tests, one machine) a local folder is set as checkpoint folder.
+    Where it is absent, a folder set by setCheckpointDir() is used; only a local master gets a local folder.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        os.makedirs(_LOCAL_SCRATCH, exist_ok=True)
-        spark.sparkContext.setCheckpointDir(f"file://{_LOCAL_SCRATCH}")
+    context = spark.sparkContext
+    already = context._jsc.sc().getCheckpointDir()
+    if not already.isEmpty():
+        return already.get().rstrip("/")
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    os.makedirs(_LOCAL_SCRATCH, exist_ok=True)
+    context.setCheckpointDir(f"file://{_LOCAL_SCRATCH}")
     return f"file://{_LOCAL_SCRATCH}"
 
 
@@ -53,4 +58,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._scratch = path
+    return table
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete tables that materialise() wrote, once nothing reads them any more; others are left alone."""
+    for table in tables:
+        path = getattr(table, "_scratch", None)
+        if path:
+            context = table.sparkSession.sparkContext
+            hadoop = context._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(context._jsc.hadoopConfiguration()).delete(hadoop, True)
