@@ -91,14 +91,25 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, spread: Colu
     )
 
 
-def without(rows: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
+def packed(docs: DataFrame, **keys: Column) -> DataFrame:
+    """The rows of a caller as one struct ``row``, and key columns beside it: no working column can clash with theirs."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if docs.columns else F.struct(F.lit(0))
+    return docs.select(whole.alias("row"), *[c.alias(name) for name, c in keys.items()])
+
+
+def unpacked(docs: DataFrame, **added: Column) -> list[Column]:
+    """The columns of a caller's rows out of ``row``, and new ones, whose names get underscores where they are taken."""
+    own = [F.col("row").getField(c).alias(c) for c in docs.columns]
+    return own + [value.alias(fresh(docs, name)) for name, value in added.items()]
+
+
+def without(docs: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
     """Rows whose key is not among ``dropped`` (a column of the same name, no nulls); null keys stay.
 
     Rows that a Bloom filter rules out pass straight through; only the others meet the dropped keys in a shuffle.
     """
-    dropped = dropped.select(F.col(key)).distinct()
-    flag = fresh(rows, "maybe")
-    flagged = bloom_flag(rows, key, member_bloom(dropped, key), flag)
-    sure = flagged.where(~F.col(flag)).drop(flag)
-    maybe = flagged.where(F.col(flag)).drop(flag).join(dropped, key, "left_anti").select(*rows.columns)
-    return sure.unionByName(maybe)
+    keys = dropped.select(F.col(key).alias("key")).distinct()
+    flagged = bloom_flag(packed(docs, key=F.col(f"`{key}`")), "key", member_bloom(keys, "key"), "maybe")
+    sure = flagged.where("not maybe").select("row")
+    maybe = flagged.where("maybe").join(keys, "key", "left_anti").select("row")
+    return sure.unionByName(maybe).select(*unpacked(docs))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm._common import attach
-from quern.session import materialise
+from quern.session import materialise, release
 
 MAX_ROUNDS = 60
 
@@ -40,7 +40,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         # small star: a node and its smaller neighbours, now few, go to the least of these
         small = large.join(large.groupBy("u").agg(F.min("v").alias("least")), "u")
         linked = small.select(F.explode(F.array("u", "v")).alias("u"), F.col("least").alias("v"))
-        now = materialise(linked.where("u != v").distinct(), name)
+        before, now = now, materialise(linked.where("u != v").distinct(), name)
+        release(before)
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(

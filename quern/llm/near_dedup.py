@@ -7,9 +7,11 @@ share a key are candidates. Their Jaccard similarity is estimated jointly from b
 likelihood, which rules out far pairs; the rest are confirmed on full sets.
 
 Work is kept linear in a group's size. Equal sets are one class from the start. In a bucket, each class is first
-compared with the bucket's smallest member only; buckets whose members are then all connected are done. Buckets that
-aren't have those pairs compared that still lie in different components and that a bound from their rare shingles allows
-to link. A pair at the threshold shares no band with probability (1 - 0.85^8)^32 = 4e-5.
+compared with the bucket's smallest member only; buckets whose other members are then all connected are done. In the
+rest, each member is compared with the bucket's centre, the member with fewest shingles of its own, which links most of
+what can be linked. Exact overlaps with the centre and the counts of rare shingles then bound from below what either of
+two members has that the other lacks, so that only pairs of different components are looked at that these bounds allow
+to link. The bounds lose no link. A pair at the threshold shares no band with probability (1 - 0.85^8)^32 = 4e-5.
 
 Defined cases: a null or blank text has an empty set, and is linked with nothing; fewer than five words are one shingle;
 rows without id are never linked and have no component, but are kept; rows that repeat an id are one document for
@@ -23,12 +25,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm._common import attach, bloom_flag, fresh, member_bloom, without
+from quern.llm._common import attach, bloom_flag, member_bloom, packed, unpacked, without
 from quern.llm._components import components
-from quern.session import materialise
+from quern.session import materialise, release
 
 SHINGLE = 5
 REGISTERS, BAND = 256, 8
@@ -153,28 +155,44 @@ def _likely(threshold: float):
     return run
 
 
-def _linked(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.record_batch([batch.column(0).filter(pa.array(keep, pa.bool_())), batch.column(1).filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
+def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, size of a's set, of b's, of both's)."""
+    for batch in batches:
+        out = []
+        for x, y in zip(batch.column(2), batch.column(3), strict=True):
+            x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+            out.append((len(x), len(y), len(np.intersect1d(x, y, assume_unique=True))))
+        counts = np.array(out, np.int64).reshape(-1, 3)
+        yield pa.record_batch([batch.column(0), batch.column(1), *map(pa.array, counts.T)], names=["a", "b", "na", "nb", "both"])
+
+
+def _only(table: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """Rows of a table whose key is among the one column of ``wanted``; what a Bloom filter rules out isn't shuffled."""
+    wanted = wanted.distinct().toDF(key)
+    return bloom_flag(table, key, member_bloom(wanted, key), "maybe").where("maybe").drop("maybe").join(wanted, key, "left_semi")
 
-    return run
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("end"))
 
-def _verify(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of class representatives that are linked. Hot representatives are left to the skew join."""
-    side = lambda x: classes.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("regs").alias(f"r{x}"))
+
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, na, nb, both) by the full sets. Hot representatives are left to the skew join."""
+    held = materialise(_only(sets, "id", _ends(pairs)), "near-held")
+    full = lambda x: held.select(F.col("id").alias(x), F.col("items").alias(f"s{x}"))
+    both = pairs.select("a", "b").join(full("a"), "a").join(full("b"), "b").select("a", "b", "sa", "sb")
+    return materialise(both.mapInArrow(_overlaps, "a long, b long, na long, nb long, both long"), "near-compared")
+
+
+def _linked(compared: DataFrame, percent: int) -> DataFrame:
+    return compared.where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
+
+
+def _likely_pairs(pairs: DataFrame, cards: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of class representatives that their sketches don't rule out."""
+    side = lambda x: cards.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("regs").alias(f"r{x}"))
     sketched = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ra", "rb")
-    likely = materialise(sketched.mapInArrow(_likely(percent / 100), "a long, b long"), "near-likely")
-    full = lambda x: sets.select(F.col("id").alias(x), F.col("items").alias(f"s{x}"))
-    return likely.join(full("a"), "a").join(full("b"), "b").select("a", "b", "sa", "sb").mapInArrow(
-        _linked(percent), "a long, b long"
-    )
+    return materialise(sketched.mapInArrow(_likely(percent / 100), "a long, b long").distinct(), "near-likely")
 
 
 def _ordered(x: str, y: str) -> list:
@@ -183,67 +201,72 @@ def _ordered(x: str, y: str) -> list:
 
 def near_components(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component) for the rows of ``docs`` that have an id."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).where("id is not null")
     sketches = materialise(
         texts.mapInArrow(_sketches, "id long, n long, set_key binary, regs binary"), "near-sketches"
     )
+    keyed = sketches.select("id", "n", F.hex("set_key").alias("set_key"))
     classes = materialise(
-        sketches.where("n > 0")
-        .groupBy("set_key")
-        .agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size"), F.first("n").alias("n"), F.first("regs").alias("regs")),
-        "near-classes",
+        keyed.where("n > 0").groupBy("set_key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size")).where("size > 1"), "near-classes"
     )
-    joined = _join_classes(texts, classes, percent)
-    rows = sketches.count()
-    keyed = sketches.select("id", "n", F.hex("set_key").alias("set_key"))
-    light = classes.select(F.hex("set_key").alias("set_key"), "rep", "size")
-    placed = attach(keyed, light, "set_key", "size", F.col("id"), rows)
-    node = placed.select("id", "n", F.coalesce("rep", "id").alias("node"))
+    placed = attach(keyed, classes, "set_key", "size", F.col("id"), sketches.count())
+    node = materialise(placed.select("id", "n", F.coalesce("rep", "id").alias("node")), "near-nodes")
+    cards = without(sketches.where("n > 0"), node.where("id != node").select("id"), "id").select(F.col("id").alias("rep"), "n", "regs")
+    joined = _join_classes(texts, cards, percent)
+    release(sketches, classes)
     if joined is None:
         return node.select("id", F.col("n").alias("n_shingles"), F.col("node").alias("component"))
     # class representatives carry the component; the size of a class tells hot ones
-    labels = joined.join(classes.groupBy(F.col("rep").alias("node")).agg(F.sum("size").alias("size")), "node")
-    return attach(node, materialise(labels, "near-labels"), "node", "size", F.col("id"), rows).select(
+    sizes = _only(node, "node", joined.select("node")).groupBy("node").agg(F.count(F.lit(1)).alias("size"))
+    labels = materialise(joined.join(sizes, "node"), "near-labels")
+    return attach(node, labels, "node", "size", F.col("id"), node.count()).select(
         "id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component")
     )
 
 
-def _join_classes(texts: DataFrame, classes: DataFrame, percent: int) -> DataFrame | None:
+def _join_classes(texts: DataFrame, cards: DataFrame, percent: int) -> DataFrame | None:
     """(node, component) for representatives of linked classes; None without any candidates."""
     places = F.sequence(F.lit(0), F.lit(REGISTERS // BAND - 1))
     band = lambda i: F.xxhash64(i, F.substring("regs", i * (2 * BAND) + 1, F.lit(2 * BAND)))
-    bands = classes.select("rep", "n", F.explode(F.transform(places, band)).alias("key"))
+    bands = cards.select("rep", F.explode(F.transform(places, band)).alias("key"))
     live = materialise(
         bands.groupBy("key").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1"), "near-live"
     )
-    members = materialise(bands.join(live, "key").select("key", "rep", "n", "pivot"), "near-members")
+    shared = bloom_flag(bands, "key", member_bloom(live, "key"), "maybe").where("maybe").drop("maybe")
+    members = materialise(shared.join(live, "key").select("key", "rep", "pivot"), "near-members")
     involved = materialise(members.select(F.col("rep").alias("id")).distinct(), "near-involved")
     if involved.isEmpty():
         return None
-    maybe = bloom_flag(texts, "id", member_bloom(involved, "id"), "maybe").where("maybe").drop("maybe")
-    sets = materialise(maybe.join(involved, "id", "left_semi").mapInArrow(_sets, "id long, items binary"), "near-sets")
+    cards = materialise(_only(cards, "rep", involved), "near-cards")
+    sets = materialise(_only(texts, "id", involved).mapInArrow(_sets, "id long, items binary"), "near-sets")
     pairs = materialise(members.where("rep != pivot").select(*_ordered("rep", "pivot")).distinct(), "near-pairs")
-    links = materialise(_verify(pairs, classes, sets, percent), "near-links")
+    compared = _compared(_likely_pairs(pairs, cards, percent), sets)
+    links = materialise(_linked(compared, percent), "near-links")
     labels = components(links)
     open_ = _open_members(members, labels)
+    release(live, compared)
     if open_.isEmpty():
         return labels
-    slack, shared = _slack(open_, sets, percent)
-    found = _cross_pairs(open_.join(slack, "rep"), percent).unionByName(shared).distinct()
-    found = materialise(found.join(pairs, ["a", "b"], "left_anti"), "near-pairs")
-    return components(links.unionByName(_verify(found, classes, sets, percent)))
+    sizes, shared = _rarity(open_, sets)
+    centred, seen = _centred(open_, sizes, labels, sets, percent)
+    links = materialise(links.unionByName(_linked(seen, percent)).distinct(), "near-links")
+    labels = components(links)
+    left = _cross_pairs(centred, labels, percent).unionByName(shared).distinct()
+    left = materialise(left.join(pairs, ["a", "b"], "left_anti").join(seen, ["a", "b"], "left_anti"), "near-pairs")
+    found = _linked(_compared(_likely_pairs(left, cards, percent), sets), percent)
+    out = components(links.unionByName(found))
+    release(members, involved, cards, sets, pairs, links, labels, open_, sizes, shared, centred, seen, left)
+    return out
 
 
 def _open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members, with their component, of the buckets that hold several components."""
-    labelled = materialise(
-        members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
-            "key", "rep", "n", F.coalesce("component", "rep").alias("component")
-        ),
-        "near-labelled",
-    )
-    several = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
-    return materialise(labelled.join(several.select("key"), "key"), "near-open")
+    """(key, rep, met) of the buckets whose members but for the pivot, which all have met, lie in several components."""
+    named = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    labelled = materialise(named.select("key", "rep", (F.col("rep") == F.col("pivot")).alias("met"), F.coalesce("component", "rep").alias("component")), "near-labelled")
+    several = labelled.where("not met").groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
+    out = materialise(labelled.join(several.select("key"), "key").drop("component"), "near-open")
+    release(labelled)
+    return out
 
 
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,25 +276,20 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(np.full(len(items), i, np.int64)), pa.array(items)], names=["id", "item"])
 
 
-def _slack(open_: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(rep, slack), and the pairs (a, b) of members that share a rare shingle, one that at most RARE open members have.
-
-    Two members that share no rare shingle differ in all their rare ones, and similarity of at least percent / 100 means
-    that two sets differ in at most (100 - percent) / (100 + percent) of their summed sizes. So of such pairs, those with
-    a negative sum of slack can't link. Pairs that do share a rare shingle are few: each shingle has RARE holders at most.
+def _rarity(open_: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rep, n, rare), rare being the number of rare shingles in a member's set, those that at most RARE open members
+    have; and the pairs (a, b) of members that share a rare shingle. These are few: each shingle has RARE holders at most.
     """
-    own = sets.join(open_.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+    own = materialise(_only(sets, "id", open_.select("rep")), "near-own")
+    items = own.mapInArrow(_items, "id long, item long")
     rare = materialise(
-        own.select("id", "items")
-        .mapInArrow(_items, "id long, item long")
-        .groupBy("item")
+        items.groupBy("item")
         .agg(F.count(F.lit(1)).alias("holders"), F.min("id").alias("low"), F.max("id").alias("high"))
         .where(f"holders <= {RARE}"),
         "near-rare",
     )
-    several = rare.where("holders > 2").select("item")
-    held = own.select("id", "items").mapInArrow(_items, "id long, item long").join(several, "item")
-    lists = held.groupBy("item").agg(F.sort_array(F.collect_list("id")).alias("ids"))  # RARE ids at most
+    lists = items.join(rare.where("holders > 2").select("item"), "item").groupBy("item").agg(F.sort_array(F.collect_list("id")).alias("ids"))  # RARE ids at most
+    lists = materialise(lists.select("ids"), "near-lists")
     shared = (
         lists.select(F.explode("ids").alias("a"), "ids")
         .select("a", F.explode("ids").alias("b"))
@@ -282,34 +300,79 @@ def _slack(open_: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame,
     ones = rare.where("holders <= 2").select(F.explode(F.array_distinct(F.array("low", "high"))).alias("id"))
     counts = ones.unionByName(lists.select(F.explode("ids").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("rare"))
     sizes = own.select("id", (F.octet_length("items") / 8).cast("long").alias("n"))
-    slack = (100 - percent) * F.col("n") - (100 + percent) * F.coalesce("rare", F.lit(0))
-    slacks = sizes.join(counts, "id", "left").select(F.col("id").alias("rep"), slack.alias("slack"))
-    return materialise(slacks, "near-slack"), materialise(shared, "near-shared")
+    out = sizes.join(counts, "id", "left").select(F.col("id").alias("rep"), "n", F.coalesce("rare", F.lit(0)).alias("rare"))
+    out, shared = materialise(out, "near-rarity"), materialise(shared, "near-shared")
+    release(own, rare, lists)
+    return out, shared
+
 
+def _room(mine: str, other: str, percent: int) -> Column:
+    """The most shingles, times (100 + percent), that a set may have besides those of another one that it links with."""
+    return (100 + percent) * F.col(mine) - percent * (F.col(mine) + F.col(other))
 
-def _cross_pairs(open_: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a bucket in different components that sizes and slack allow to link.
 
-    Members that can't link with the bucket's member of most slack can link with none, and go first.
+def _centred(open_: DataFrame, sizes: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(key, rep, n, own, lack) of the members that may link in a bucket, and what was compared for it.
+
+    A component's centre is its member with fewest rare shingles for its size, a bucket's that of the component with its
+    own such member. ``lack`` counts what a member lacks of the centre, ``own`` its rare shingles outside the centre, at
+    least. Two members that share no rare shingle have at least own + max(0, the other's lack - lack) shingles each that
+    the other one hasn't.
     """
-    most = open_.groupBy("key").agg(F.max("slack").alias("most"))
-    able = materialise(open_.join(most, "key").where("slack + most >= 0").drop("most"), "near-able")
-    side = lambda x: able.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("rep", "n", "component", "slack")])
+    slack = (100 - percent) * F.col("n") - (100 + percent) * F.col("rare")
+    order = F.struct(slack.alias("slack"), (-F.col("rep")).alias("rep"))
+    placed = sizes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    placed = materialise(placed.withColumn("order", order), "near-placed")
+    best = F.max_by(F.struct(F.col("rep").alias("centre"), F.col("rare").alias("centre_rare")), "order").alias("best")
+    families = placed.groupBy("component").agg(best).select("component", "best.*")
+    rated = materialise(open_.join(placed, "rep"), "near-rated")
+    centres = rated.groupBy("key").agg(F.max_by("component", "order").alias("component"), F.count(F.lit(1)).alias("size"))
+    centres = materialise(centres.join(families, "component").select("key", "centre", "centre_rare", "size"), "near-centres")
+    rated = rated.drop("component", "order")
+    rated = rated.where("not met").drop("met")
+    near = materialise(attach(rated, centres, "key", "size", F.col("rep"), rated.count()).drop("size"), "near-centred")
+    seen = _compared(near.where("rep != centre").select(*_ordered("rep", "centre")).distinct(), sets)
+    lacks = seen.select(F.col("a").alias("centre"), F.col("b").alias("rep"), (F.col("na") - F.col("both")).alias("lack")).unionByName(
+        seen.select(F.col("b").alias("centre"), F.col("a").alias("rep"), (F.col("nb") - F.col("both")).alias("lack"))
+    )
+    own = F.greatest(F.lit(0), F.col("rare") - F.when(F.col("rep") == F.col("centre"), F.col("rare")).otherwise(F.col("centre_rare")))
+    joined = near.join(lacks, ["rep", "centre"], "left").select("key", "rep", "n", own.alias("own"), F.coalesce("lack", F.lit(0)).alias("lack"))
+    joined = materialise(joined, "near-bounds")
+    # what a member may link with at best: one that lacks most for its own, of the size that leaves most room
+    most = joined.groupBy("key").agg(F.max(F.col("lack") - F.col("own")).alias("gap"), F.min("n").alias("least"), F.max("n").alias("largest"))
+    fits = (100 + percent) * F.col("own") <= _room("n", "smallest", percent)
+    fits &= (100 + percent) * (F.col("lack") - F.col("gap")) <= _room("largest", "n", percent)
+    able = joined.join(most, "key").withColumn("smallest", F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100)))
+    able = materialise(able.where(fits).select(*joined.columns), "near-able")
+    release(placed, centres, near, joined)
+    return able, seen
+
+
+def _cross_pairs(able: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a bucket in different components that sizes and bounds allow to link."""
+    labelled = able.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    labelled = materialise(labelled, "near-labelled")
+    several = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
+    open_ = materialise(labelled.join(several.select("key"), "key"), "near-able")
+    side = lambda x: open_.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("rep", "n", "component", "own", "lack")])
     near = (F.col("rep_a") < F.col("rep_b")) & (F.col("component_a") != F.col("component_b"))
-    fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    joined = side("a").join(side("b"), ["key"]).where(near & fits & (F.col("slack_a") + F.col("slack_b") >= 0))
-    return joined.select(*_ordered("rep_a", "rep_b"))
+    besides = lambda x, y: F.col(f"own_{x}") + F.greatest(F.lit(0), F.col(f"lack_{y}") - F.col(f"lack_{x}"))
+    for x, y in (("a", "b"), ("b", "a")):
+        near &= (100 + percent) * besides(x, y) <= _room(f"n_{x}", f"n_{y}", percent)
+    return side("a").join(side("b"), ["key"]).where(near).select(*_ordered("rep_a", "rep_b"))
 
 
 def near_dedup(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with n_shingles, component_id and kept added."""
-    names = {c: fresh(docs, c) for c in ("n_shingles", "component_id", "kept")}
     found = materialise(near_components(docs, percent, id_col, text_col).dropDuplicates(["id"]), "near-result")
-    return docs.join(found, F.col(id_col) == F.col("id"), "left").select(
-        *docs.columns,
-        F.coalesce("n_shingles", F.lit(0)).alias(names["n_shingles"]),
-        F.col("component").alias(names["component_id"]),
-        F.coalesce(F.col("component") == F.col(id_col), F.lit(True)).alias(names["kept"]),
+    rows = packed(docs, key=F.col(f"`{id_col}`").cast("long")).join(found, F.col("key") == F.col("id"), "left")
+    return rows.select(
+        *unpacked(
+            docs,
+            n_shingles=F.coalesce("n_shingles", F.lit(0)),
+            component_id=F.col("component"),
+            kept=F.coalesce(F.col("component") == F.col("key"), F.lit(True)),
+        )
     )
 
 
