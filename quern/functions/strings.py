@@ -9,30 +9,37 @@ from pyspark.sql import functions as F
 NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
 # fixed value: LaTeX commands that only wrap text
 WRAPPER = r"(?s)^\\(?:text|textbf|textit|textrm|mathrm|mathbf|mathit|operatorname)\{(.+)\}$"
+# fixed value: units that may follow an answer of AIME
+UNIT_SUFFIX = r"\s*(?:\\?(?:\^\\?circ|°)|\\%|%|\\text\{[^}]*\}|\\mathrm\{[^}]*\})\s*$"
+# fixed value: the white space that Python's strip() removes, as far as one byte goes
+BLANKS = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
+def strip(text: Column) -> Column:
+    """White space of all kinds off both ends."""
+    return F.btrim(text, F.lit(BLANKS))
+
+
 def number(text: Column) -> Column:
     """The number a text is, else null."""
-    return F.when(F.trim(text).rlike(NUMBER), F.trim(text).try_cast("double"))
+    return F.when(strip(text).rlike(NUMBER), strip(text).try_cast("double"))
 
 
-def strip_wrappers(text: Column, depth: int = 4) -> Column:
-    """Up to ``depth`` wrapping commands peeled off."""
-    out = F.trim(text)
-    for _ in range(depth):
-        out = F.trim(F.regexp_replace(out, WRAPPER, "$1"))
-    return out
+def strip_wrappers(text: Column) -> Column:
+    """Wrapping commands peeled off until none is left: as many rounds as the text has opening braces suffice."""
+    rounds = F.sequence(F.lit(0), F.length(text) - F.length(F.replace(text, F.lit("{"), F.lit(""))))
+    return F.aggregate(rounds, strip(text), lambda out, _: strip(F.regexp_replace(out, WRAPPER, "$1")))
 
 
 def same_choice(predicted: Column, truth: Column) -> Column:
-    return F.coalesce(F.upper(F.trim(predicted)) == F.upper(F.trim(truth)), F.lit(False))
+    return F.coalesce(F.upper(strip(predicted)) == F.upper(strip(truth)), F.lit(False))
 
 
 def same_general(predicted: Column, truth: Column) -> Column:
     """Equal as numbers (42.0 = 42) or as trimmed lower-case text; a null prediction is wrong."""
     a, b = number(predicted), number(truth)
-    text = F.lower(F.trim(predicted)) == F.lower(F.trim(truth))
+    text = F.lower(strip(predicted)) == F.lower(strip(truth))
     return F.coalesce(F.when(a.isNotNull() & b.isNotNull(), a == b).otherwise(text), F.lit(False))
 
 
@@ -89,10 +96,12 @@ def choice_letter(text: Column) -> Column:
     )
 
 
-def same_integer(predicted: Column, truth: Column) -> Column:
-    """Equal after cutting decimals off (3.7 matches 3); equal text where one is no number."""
-    a, b = number(predicted).cast("bigint"), number(truth).cast("bigint")
-    return F.coalesce(F.when(a.isNotNull() & b.isNotNull(), a == b).otherwise(F.trim(predicted) == F.trim(truth)), F.lit(False))
+def aime_equal(predicted: Column, truth: Column) -> Column:
+    """Equal after cutting units and decimals off (3.7 matches 3); equal text where one is no number; null for no answer."""
+    bare = lambda x: F.regexp_replace(strip(x), UNIT_SUFFIX, "")
+    p, t = bare(predicted), bare(truth)
+    a, b = number(p).try_cast("bigint"), number(t).try_cast("bigint")
+    return F.when(p != "", F.when(a.isNotNull() & b.isNotNull(), a == b).otherwise(p == t))
 
 
 def canonical_percent(text: Column) -> Column:
@@ -101,7 +110,7 @@ def canonical_percent(text: Column) -> Column:
 
 def opener(text: Column) -> Column:
     """The class of a response's first words: alright, to, others."""
-    head = F.ltrim(F.lower(F.coalesce(text, F.lit(""))))
+    head = F.ltrim(F.lower(F.coalesce(text, F.lit(""))), F.lit(BLANKS))
     return F.when(head.startswith("alright"), "alright").when(head.startswith("to "), "to").otherwise("others")
 
 

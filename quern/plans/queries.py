@@ -301,7 +301,7 @@ def _(spark, d):
     return L.drop_zero_variance(r, "g", "ok", keep_single=True).select("row_idx")
 
 
-@_query("FLT-05", ROLLOUTS + ', g AS (SELECT "group" AS q, avg(score) AS reward FROM r GROUP BY 1 HAVING min(ok) <> max(ok)) SELECT q, round(reward, 5) AS reward FROM g ORDER BY g.reward DESC, q LIMIT 30')
+@_query("FLT-05", ROLLOUTS + ', g AS (SELECT "group" AS q, avg(score) AS reward FROM r GROUP BY 1 HAVING min(ok) <> max(ok)) SELECT q, round(reward, 5) AS reward FROM (SELECT *, row_number() OVER (ORDER BY reward DESC, q) AS k FROM g) g WHERE k <= ceil(0.2 * (SELECT count(DISTINCT "group") FROM r))')
 def _(spark, d):
     every = rollouts(spark, d)
     total = every.select("group").distinct().count()  # before the filter, as the reference counts
@@ -387,8 +387,12 @@ def _(spark, d):
 
 
 @_query("SMP-05", ROLLOUTS + """, a AS (SELECT "group" AS qid, avg(ok) AS a FROM r GROUP BY 1), b AS (SELECT qid, CASE WHEN a >= 0.75 THEN 'easy' WHEN a >= 0.25 THEN 'medium' ELSE 'hard' END AS bucket FROM a),
-k AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY md5('7:' || qid), qid) AS k FROM b)
-SELECT qid, bucket FROM k WHERE k <= CASE bucket WHEN 'easy' THEN 10 WHEN 'medium' THEN 20 ELSE 20 END""")
+k AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY md5('7:' || qid), qid) AS k FROM b),
+h AS (SELECT count(*) FILTER (bucket = 'easy') AS e, count(*) FILTER (bucket = 'medium') AS m, count(*) FILTER (bucket = 'hard') AS h FROM b),
+s AS (SELECT greatest(e - 10, 0) AS e, greatest(m - 20, 0) AS m, greatest(h - 20, 0) AS h, greatest(10 - e, 0) + greatest(20 - m, 0) + greatest(20 - h, 0) AS lack FROM h),
+x AS (SELECT *, CASE WHEN e = 0 THEN 0 WHEN m + h = 0 THEN least(lack, e) ELSE least(round_even(lack * e / (e + m + h), 0), e, lack) END AS xe FROM s),
+y AS (SELECT *, CASE WHEN m = 0 THEN 0 WHEN h = 0 THEN least(lack - xe, m) ELSE least(round_even(lack * m / (e + m + h), 0), m, lack - xe) END AS xm FROM x)
+SELECT qid, bucket FROM k, y WHERE k <= CASE bucket WHEN 'easy' THEN 10 + xe WHEN 'medium' THEN 20 + xm ELSE 20 + least(lack - xe - xm, h) END""")
 def _(spark, d):
     a = rollouts(spark, d).groupBy(F.col("group").alias("qid")).agg(F.avg("ok").alias("a"))
     wanted = L.quotas({"easy": 0.2, "medium": 0.4, "hard": 0.4}, 50)

@@ -8,12 +8,12 @@ from quern.operators import sampling as M
 from quern.plans.data_queries import _query
 from quern.plans.queries import ROLLOUTS, rollouts
 
-ORDERS = "WITH o AS (SELECT o_orderkey AS id, o_custkey AS cust, o_orderpriority AS field, o_totalprice AS price, (o_totalprice / 100)::BIGINT + 1 AS length FROM orders)"
+ORDERS = "WITH o AS (SELECT o_orderkey AS id, o_custkey AS cust, o_orderpriority AS field, o_totalprice AS price, floor(o_totalprice / 100)::BIGINT + 1 AS length FROM orders)"
 
 
 def orders(spark, d):
     o = spark.read.parquet(f"{d}/orders.parquet")
-    return o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("cust"), F.col("o_orderpriority").alias("field"), F.col("o_totalprice").alias("price"), (F.round(F.col("o_totalprice") / 100).cast("long") + 1).alias("length"))
+    return o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("cust"), F.col("o_orderpriority").alias("field"), F.col("o_totalprice").alias("price"), (F.floor(F.col("o_totalprice") / 100) + 1).alias("length"))
 
 
 _PLACED = ORDERS + ", p AS (SELECT *, row_number() OVER (ORDER BY {order}) - 1 AS place FROM o)"
@@ -52,6 +52,13 @@ def _(spark, d):
     return M.curriculum(o.where("id % 3 = 0"), h, o.where("id % 3 <> 1"), o.where("id % 7 = 0"), "id", 0.1, 0.2, 4)
 
 
+@_query("JN-05-pool", ORDERS + " SELECT id FROM o WHERE id NOT IN (SELECT event_id FROM events WHERE event_id % 3 = 0) AND id NOT IN (SELECT id FROM o WHERE price < 100000)")
+def _(spark, d):
+    o = orders(spark, d)
+    used = spark.read.parquet(f"{d}/events.parquet").where("event_id % 3 = 0").select(F.col("event_id").alias("id"))
+    return o.select("id").join(used, "id", "left_anti").join(o.where("price < 100000").select("id"), "id", "left_anti")
+
+
 @_query("SMP-09", ROLLOUTS.rstrip() + ' SELECT "group", doc AS loop, count(ok) AS n, round(avg(ok), 5) + 0.0 AS accuracy FROM r GROUP BY 1, 2')
 def _(spark, d):
     return rollouts(spark, d).groupBy("group", F.col("doc").alias("loop")).agg(F.count("ok").alias("n"), F.avg("ok").alias("accuracy"))
