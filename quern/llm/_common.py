@@ -92,14 +92,19 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, spread: Colu
 
 
 def packed(docs: DataFrame, **keys: Column) -> DataFrame:
-    """The rows of a caller as one struct ``row``, and key columns beside it: no working column can clash with theirs."""
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if docs.columns else F.struct(F.lit(0))
-    return docs.select(whole.alias("row"), *[c.alias(name) for name, c in keys.items()])
+    """The rows of a caller with their columns numbered c0, c1, ... and key columns beside them: none can clash."""
+    own = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    return docs.select(*own, *[c.alias(name) for name, c in keys.items()])
+
+
+def carried(docs: DataFrame) -> list[str]:
+    """The numbered names of a caller's columns."""
+    return [f"c{i}" for i in range(len(docs.columns))]
 
 
 def unpacked(docs: DataFrame, **added: Column) -> list[Column]:
-    """The columns of a caller's rows out of ``row``, and new ones, whose names get underscores where they are taken."""
-    own = [F.col("row").getField(c).alias(c) for c in docs.columns]
+    """A caller's columns under their own names, and new ones, whose names get underscores where they are taken."""
+    own = [F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)]
     return own + [value.alias(fresh(docs, name)) for name, value in added.items()]
 
 
@@ -110,6 +115,6 @@ def without(docs: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
     """
     keys = dropped.select(F.col(key).alias("key")).distinct()
     flagged = bloom_flag(packed(docs, key=F.col(f"`{key}`")), "key", member_bloom(keys, "key"), "maybe")
-    sure = flagged.where("not maybe").select("row")
-    maybe = flagged.where("maybe").join(keys, "key", "left_anti").select("row")
+    sure = flagged.where("not maybe").select(*carried(docs))
+    maybe = flagged.where("maybe").join(keys, "key", "left_anti").select(*carried(docs))
     return sure.unionByName(maybe).select(*unpacked(docs))

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm._common import SPACE, attach, bloom_flag, fresh, repeated_bloom
+from quern.llm._common import SPACE, attach, bloom_flag, packed, repeated_bloom, unpacked
 from quern.session import materialise
 
 
@@ -24,69 +24,48 @@ def text_hash(text: Column) -> Column:
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows of ``docs`` with keep_id, group_size, kept and text_sha256 added."""
-    names = {c: fresh(docs, c) for c in ("keep_id", "group_size", "kept", "text_sha256")}
-    keyed = docs.withColumn("_sha", text_hash(F.col(text_col))).withColumn("_row", F.monotonically_increasing_id())
-    out = _resolve(keyed, id_col)
-    return out.select(
-        *docs.columns,
-        F.col("_keep_id").alias(names["keep_id"]),
-        F.col("_size").alias(names["group_size"]),
-        F.col("_kept").alias(names["kept"]),
-        F.col("_sha").alias(names["text_sha256"]),
-    )
+    rows = _resolve(packed(docs, id=F.col(f"`{id_col}`"), sha=text_hash(F.col(f"`{text_col}`"))))
+    return rows.select(*unpacked(docs, keep_id=F.col("keep_id"), group_size=F.col("size"), kept=F.col("kept"), text_sha256=F.col("sha")))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with the columns of ``docs`` alone."""
-    keyed = docs.withColumn("_sha", text_hash(F.col(text_col))).withColumn("_row", F.monotonically_increasing_id())
-    return _resolve(keyed, id_col).where("_kept").select(*docs.columns)
+    rows = _resolve(packed(docs, id=F.col(f"`{id_col}`"), sha=text_hash(F.col(f"`{text_col}`"))))
+    return rows.where("kept").select(*unpacked(docs))
 
 
-def _resolve(keyed: DataFrame, id_col: str) -> DataFrame:
-    """Add _keep_id, _size and _kept to rows with _sha and _row.
+def _resolve(rows: DataFrame) -> DataFrame:
+    """Add keep_id, size and kept to rows with id and sha.
 
-    The keys (id, row, hash) are written once, so that texts are hashed at most twice. ``_row`` is the place of a row
-    in its file split; it breaks ties between rows with the same id and text.
+    The hashes are written once for the filter. Rows that it flags are written with a number each, which breaks ties
+    between rows of the same id and text: groups and rows read the same table, so a lost executor can't renumber them.
     """
-    keys = materialise(keyed.select(F.col(id_col).alias("_id"), "_row", "_sha"), "exact-keys")
-    bloom = repeated_bloom(keys, "_sha")
-    order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row"))
-    groups = materialise(
-        bloom_flag(keys, "_sha", bloom, "_maybe")
-        .where("_maybe")
-        .groupBy("_sha")
-        .agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("size"))
-        .where("size > 1"),
-        "exact-groups",
+    keys = rows if rows.columns == ["id", "sha"] else materialise(rows.select("sha"), "exact-keys")
+    bloom = repeated_bloom(keys, "sha")
+    flagged = bloom_flag(rows, "sha", bloom, "maybe")
+    sure = flagged.where("not maybe").drop("maybe").withColumns(
+        {"keep_id": F.col("id"), "size": F.lit(1).cast("long"), "kept": F.lit(True)}
     )
-    if keyed.columns == keys.columns:
-        keyed = keys
-    flagged = bloom_flag(keyed, "_sha", bloom, "_maybe")
-    sure = flagged.where("not _maybe").select(
-        *keyed.columns, F.col(id_col).alias("_keep_id"), F.lit(1).cast("long").alias("_size"), F.lit(True).alias("_kept")
+    maybe = materialise(flagged.where("maybe").drop("maybe").withColumn("number", F.monotonically_increasing_id()), "exact-maybe")
+    order = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("number").alias("number"))
+    groups = materialise(
+        maybe.groupBy("sha").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1"), "exact-groups"
     )
-    met = attach(flagged.where("_maybe").drop("_maybe"), groups, "_sha", "size", F.col("_row"), keys.count())
     first = F.col("first")
-    maybe = met.select(
-        *keyed.columns,
-        F.when(first.isNull(), F.col(id_col)).otherwise(first["id"]).alias("_keep_id"),
-        F.coalesce("size", F.lit(1)).cast("long").alias("_size"),
-        (first.isNull() | (first["row"] == F.col("_row"))).alias("_kept"),
+    met = attach(maybe, groups, "sha", "size", F.col("number"), maybe.count()).select(
+        *rows.columns,
+        F.when(first.isNull(), F.col("id")).otherwise(first["id"]).alias("keep_id"),
+        F.coalesce("size", F.lit(1)).cast("long").alias("size"),
+        (first.isNull() | (first["number"] == F.col("number"))).alias("kept"),
     )
-    return sure.unionByName(maybe)
+    return sure.unionByName(met)
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    keyed = docs.select(
-        F.col("doc_id").alias("_id"), F.monotonically_increasing_id().alias("_row"), text_hash(F.col("text")).alias("_sha")
-    )
-    return _resolve(keyed, "_id").select(
-        F.col("_id").alias("doc_id"),
-        F.col("_keep_id").alias("keep_id"),
-        F.col("_size").alias("group_size"),
-        F.col("_kept").alias("kept"),
-        F.col("_sha").alias("text_sha256"),
+    keys = materialise(docs.select(F.col("doc_id").alias("id"), text_hash(F.col("text")).alias("sha")), "exact-keys")
+    return _resolve(keys).select(
+        F.col("id").alias("doc_id"), "keep_id", F.col("size").alias("group_size"), "kept", F.col("sha").alias("text_sha256")
     )
 
 

@@ -1,10 +1,12 @@
 """Operator 7, HTML extraction: tag-path ratios.
 
-A page's text nodes are grouped by their root-to-leaf tag path. Each path has the ratios of its text length and of its
-punctuation to its number of nodes; both are smoothed along the page, so that a short node among long ones gains, fused
-into one weight per path, and summed per container. The named article that gathers most is the article, or else the whole
-page; inside it a path stays if its weight reaches a share of the article's mean. What its own tags, classes or roles mark as navigation,
-footer, advert, form, comment and so on never counts.
+A page's text nodes are grouped by their root-to-leaf tag path, a tag with another class being another step. Each path
+has the ratios of its text length and of its punctuation to its number of nodes; both are smoothed along the page, so that
+a short node among long ones gains, fused into one weight per path, and summed per container. Words of classes, roles and
+tags that mark navigation, footers, adverts, forms, comments and so on are a prior: what they mark never counts. The named
+article that gathers most is the article; inside it a path stays if its weight reaches a small share of the article's mean.
+A page without one is judged by weights alone: paths over a share of its mean and of its text are strong, their parents hold the
+article, and a weak path stays only inside such a parent, or if it ends in a heading or paragraph.
 
 Defined cases: null, empty and white-space pages, and pages without any text, give an empty text; broken markup (tags
 never closed, text after a cut-off tag) is read as far as it goes; a null id or url is carried; repeated rows are
@@ -24,6 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: A path stays if its smoothed weight is at least this share of the mean weight of the article's characters.
 LEAST_SHARE = 0.02
+#: A path of a page without a named article is strong from this share of the page's mean weight and of its text on.
+STRONG_SHARE, STRONG_MASS = 0.7, 0.1
 #: Weights of a node's neighbours, one and two places away, against its own in smoothing.
 KERNEL = (0.35, 0.1)
 #: A container named as the article counts so many times as much.
@@ -71,6 +75,9 @@ _BLOCKS_END_P = frozenset(
     "nav ol pre section table ul".split()
 )
 _SCOPES = frozenset("html body div article main section ul ol dl table td th blockquote nav header footer aside form figure".split())
+#: Tags that hold running text of their own: weak paths that end in one stay wherever they lie.
+_PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
+_CLASS = re.compile(r"""\bclass\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _PUNCTUATION = re.compile(r"[.,;:!?、。，；：！？…]")
 
 
@@ -102,13 +109,23 @@ def _marked(tag: str, attributes: str) -> str:
     return out
 
 
+def _step(tag: str, attributes: str) -> str:
+    """A step of a path: the tag and its class."""
+    m = _CLASS.search(attributes) if "class" in attributes else None
+    return f"{tag}.{m[1] or m[2] or m[3] or ''}" if m else tag
+
+
+def _tag(step: str) -> str:
+    return step.partition(".")[0]
+
+
 def text_nodes(page: str) -> list[tuple[tuple[str, ...], str]]:
     """(path, text) of the blocks of a page in order, without those that lie in marked elements.
 
     Inline tags aren't part of a path and don't end a block. An element that only its class or id marks still counts if
     it holds the page's <main>, or most of its text while no article or main that isn't marked has any.
     """
-    stack: list[tuple[str, bool, int]] = []  # the third is the element's number if it is marked by name, else 0
+    stack: list[tuple[str, bool, int, str]] = []  # the third is the element's number if it is marked by name, else 0
     out: list[tuple[tuple[str, ...], str, tuple[int, ...]]] = []
     named, cleared = 0, {0}
     pending: list[str] = []
@@ -118,7 +135,7 @@ def text_nodes(page: str) -> list[tuple[tuple[str, ...], str]]:
         if pending:
             text = " ".join(html_entities.unescape("".join(pending)).split())
             if text:
-                out.append((tuple(t for t, _, _ in stack), text, tuple(n for _, _, n in stack if n)))
+                out.append((tuple(x for *_, x in stack), text, tuple(n for _, _, n, _ in stack if n)))
             pending.clear()
 
     def pop_to(k: int) -> None:
@@ -171,9 +188,9 @@ def text_nodes(page: str) -> list[tuple[tuple[str, ...], str]]:
         if m[3].rstrip().endswith("/") and tag not in _SCOPES and tag != "p":
             continue
         if tag == "main":
-            cleared.update(n for _, _, n in stack)
+            cleared.update(n for _, _, n, _ in stack)
         named += mark == "named"
-        stack.append((tag, mark == "surely", named if mark == "named" else 0))
+        stack.append((tag, mark == "surely", named if mark == "named" else 0, _step(tag, m[3])))
         hidden += mark == "surely"
     flush()
     held: dict[int, int] = defaultdict(int)
@@ -181,7 +198,7 @@ def text_nodes(page: str) -> list[tuple[tuple[str, ...], str]]:
         for n in within:
             held[n] += len(text)
     total = sum(len(text) for _, text, _ in out)
-    if not any(cleared.issuperset(within) and not ARTICLE.isdisjoint(path) for path, _, within in out):
+    if not any(cleared.issuperset(within) and any(_tag(x) in ARTICLE for x in path) for path, _, within in out):
         cleared.update(n for n, chars in held.items() if 2 * chars > total)
     return [(path, text) for path, text, within in out if cleared.issuperset(within)]
 
@@ -218,13 +235,21 @@ def main_text(page: str | None) -> str:
         for k in range(len(path) + 1):
             mass[path[:k]] += weight[path] * chars[path]
     # the named article that weighs most, or else the page: all unmarked paths over the threshold, wherever they lie
-    named = [p for p in mass if p and p[-1] in ARTICLE]
+    named = [p for p in mass if p and _tag(p[-1]) in ARTICLE]
     best = max(named, key=lambda p: (mass[p] * NAMED_BONUS, -len(p))) if named else ()
     if named and mass[best] * NAMED_BONUS < mass[()] - mass[best]:
         best = ()
     inside = [p for p in weight if p[: len(best)] == best]
     mean = sum(weight[p] * chars[p] for p in inside) / sum(chars[p] for p in inside)
-    kept = {p for p in inside if weight[p] >= LEAST_SHARE * mean}
+    if best:
+        kept = {p for p in inside if weight[p] >= LEAST_SHARE * mean}
+    else:
+        total = sum(chars[p] for p in inside)
+        strong = {p for p in inside if weight[p] >= STRONG_SHARE * mean and chars[p] >= STRONG_MASS * total}
+        strong = strong or {p for p in inside if weight[p] >= LEAST_SHARE * mean}  # text all in small pieces
+        homes = {p[:-1] for p in strong if p[:-1] and _tag(p[-2]) not in ("html", "body")}
+        held = lambda p: any(p[:k] in homes for k in range(len(p)))
+        kept = {p for p in inside if p in strong or held(p) or not p or _tag(p[-1]) in _PROSE}
     return " ".join(text for path, text in nodes if path in kept)
 
 

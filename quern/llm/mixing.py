@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm._common import attach, fresh
+from quern.llm._common import attach, packed, unpacked
 from quern.session import materialise
 
 SEED = 7
@@ -78,32 +78,23 @@ def mix(
     source_col: str = "source",
 ) -> DataFrame:
     """Copies of ``docs`` at the target mixture, in shuffled order; adds copy (from 1), n_copies and shuffle_key."""
-    copy, n_copies, key = (fresh(docs, c) for c in ("copy", "n_copies", "shuffle_key"))
     table = materialise(rates(docs, weights, source_col, text_col), "mix-rates")
-    keyed = docs.withColumn("_source", _source_key(source_col))
+    keyed = packed(docs, _source=_source_key(source_col), id=F.col(f"`{id_col}`"))
     if table.limit(MAX_BROADCAST_SOURCES + 1).count() <= MAX_BROADCAST_SOURCES:
         rated = keyed.join(F.broadcast(table.select("_source", "rate")), "_source")
     else:
-        rated = attach(keyed, table, "_source", "n", F.col(id_col), docs.count())
+        rated = attach(keyed, table, "_source", "n", F.col("id"), docs.count())
     parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / PART)).cast("int")
     drawn = F.aggregate(
         F.sequence(F.lit(1), parts),
         F.lit(0),
-        lambda acc, j: acc + poisson_inverse(F.col("rate") / parts, uniform(F.lit(seed), F.col(id_col), j)),
+        lambda acc, j: acc + poisson_inverse(F.col("rate") / parts, uniform(F.lit(seed), F.col("id"), j)),
     )
-    copies = (
-        rated.withColumn(n_copies, drawn)
-        .where(F.col(n_copies) > 0)
-        .withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n_copies))))
-        .withColumn(
-            key,
-            F.md5(
-                F.concat_ws(":", F.lit(f"{seed}/order"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(copy))
-            ),
-        )
-        .select(*docs.columns, copy, n_copies, key)
-    )
-    return copies.repartition(F.col(key)).sortWithinPartitions(key)
+    copies = rated.withColumn("n_copies", drawn).where("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
+    key = F.md5(F.concat_ws(":", F.lit(f"{seed}/order"), F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("copy")))
+    dealt = copies.withColumn("shuffle_key", key).drop("_source", "id", "rate", "n")
+    shuffled = dealt.repartition(F.col("shuffle_key")).sortWithinPartitions("shuffle_key")
+    return shuffled.select(*unpacked(docs, copy=F.col("copy"), n_copies=F.col("n_copies"), shuffle_key=F.col("shuffle_key")))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,8 +40,8 @@ BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 2
 MARGIN = 5.0
 #: A shingle is rare if it has at most so many holders among the members of open buckets.
 RARE = 8
-#: Words whose hashes a Python worker remembers.
-CACHE_WORDS = 400_000
+#: Words whose hashes a Python worker remembers, and their bytes at most; longer ones are hashed each time.
+CACHE_WORDS, CACHED_BYTES = 400_000, 64
 
 _SEEDS = np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 63, size=(2, REGISTERS), dtype=np.uint64)
 _FACTORS, _SHIFTS = _SEEDS[0] * np.uint64(2) + np.uint64(1), _SEEDS[1] * np.uint64(2)
@@ -49,6 +49,8 @@ _FACTORS, _SHIFTS = _SEEDS[0] * np.uint64(2) + np.uint64(1), _SEEDS[1] * np.uint
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
+        if len(word) > CACHED_BYTES:
+            return xxhash.xxh64_intdigest(word)
         if len(self) >= CACHE_WORDS:
             self.clear()
         self[word] = value = xxhash.xxh64_intdigest(word)

@@ -39,8 +39,8 @@ CYCLE = 32
 MAX_QUEUES = 64
 #: Least tokens of a window of such an inner schedule.
 LEAST_WINDOW = 64
-#: Words whose ids a Python worker remembers.
-CACHE_WORDS = 1_000_000
+#: Words whose ids a Python worker remembers, and their characters in all.
+CACHE_WORDS, CACHE_CHARS = 1_000_000, 1 << 25
 TOKENIZER = "byte_bpe_50k.json"
 
 
@@ -67,14 +67,16 @@ class Encoder(dict):
         self.line_end = ranks[b"\n"]
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.new: list[str] = []
+        self.chars = 0
 
     def __missing__(self, word: str) -> bytes:
         self.new.append(word)
         return b""
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        if len(self) > CACHE_WORDS:
+        if len(self) > CACHE_WORDS or self.chars > CACHE_CHARS:
             self.clear()
+            self.chars = 0
         split = []
         for text in texts:
             words = text.replace("\n", " \n").split(" ") if text else []
@@ -99,6 +101,7 @@ class Encoder(dict):
         """Add the new words; return those that can't be encoded alone."""
         new = set(self.new)
         self.new.clear()
+        self.chars += sum(map(len, new))
         odd = {w for w in new if len(w.split()) != 1 or len(w) - len(w.strip()) != (w[0] == "\n") or any(t in w for t in self.special)}
         plain = [*(new - odd)]
         if plain:

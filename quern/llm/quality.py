@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm._common import SPACE_CHARS, fresh, words_of
+from quern.llm._common import SPACE_CHARS, fresh, packed, unpacked, words_of
 
 #: Labelled documents that rules are learned from, at most: those with the smallest hash of their id.
 MAX_LABELLED = 10_000
@@ -200,8 +200,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col:
         .orderBy(F.xxhash64("_label_id"), "_label_id")
         .limit(MAX_LABELLED)
     )
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    joined = texts.join(F.broadcast(chosen), F.col("_id") == F.col("_label_id")).dropDuplicates(["_id"])
+    texts = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
+    joined = texts.join(F.broadcast(chosen), F.col("_id") == F.col("_label_id"))
+    joined = joined.groupBy("_id", "_label").agg(F.min("_text").alias("_text"))  # of a repeated id, the least text
     values = ratios()
     rows = statistics(joined, "_text").select("_id", "_label", *[c.alias(k) for k, c in values.items()]).collect()
     return [(int(r["_label"]), tuple(r[k] for k in values)) for r in sorted(rows, key=lambda r: r["_id"])]
@@ -224,14 +225,9 @@ def apply_quality(
 ) -> DataFrame:
     """``docs`` with the five counts, base_failed and kept added."""
     rules = learn(labelled_sample(docs, labels, label_col, id_col, text_col), tuple(ratios()))
-    names = {c: fresh(docs, c) for c in (*COUNTS, "base_failed", "kept")}
-    scored = statistics(docs, text_col)
-    return scored.select(
-        *docs.columns,
-        *[F.col(f"_{c}").alias(names[c]) for c in COUNTS],
-        base_failed().alias(names["base_failed"]),
-        (~base_failed() & verdict(rules)).alias(names["kept"]),
-    )
+    scored = statistics(packed(docs, text=F.col(f"`{text_col}`")), "text")
+    counts = {c: F.col(f"_{c}") for c in COUNTS}
+    return scored.select(*unpacked(docs, **counts, base_failed=base_failed(), kept=~base_failed() & verdict(rules)))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -1,8 +1,9 @@
 """Operator 5, toxicity: a linear-chain conditional random field.
 
 The labels say which documents are toxic, not where. Features of words (the word itself and its beginnings) that occur
-in many toxic and few clean documents of a bounded labelled sample give each token of that sample a label: toxic if it
-has such a feature and stands in a toxic document. A linear-chain field with two states learns weights for the features
+in more toxic documents of a bounded labelled sample than chance explains (a binomial tail over all features) give each
+token of that sample a label: toxic if it has such a feature and stands in a toxic document. Near copies in the sample
+count once, by the one of the least id. Equal sequences are fitted once, with their number as weight. A linear-chain field with two states learns weights for the features
 and for the transitions from these sequences. Its forward-backward marginals score each token of a document; runs of
 tokens over a half are the offending spans, and a logistic curve over the tagged tokens' summed marginals and the largest marginal, fitted to the
 documents' labels, is the document's score.
@@ -33,10 +34,10 @@ from quern.session import materialise
 
 #: Labelled documents that are learned from, at most: those with the smallest hash of their id.
 MAX_LABELLED = 10_000
-#: Features that the field has weights for, at most, and what a feature must have: toxic documents and log odds.
-MAX_FEATURES, LEAST_TOXIC, LEAST_ODDS = 4000, 6, 2.5
-#: Training sequences, at most, and their tokens.
-MAX_SEQUENCES, LENGTH = 4000, 24
+#: What a feature must have: log odds, and so few toxic documents by chance that of all features this many would.
+LEAST_ODDS, BY_CHANCE = 2.5, 0.05
+#: Tokens of a training sequence, and sequences whose marginals are computed at once.
+LENGTH, CHUNK = 24, 4096
 PREFIXES = (3, 4, 5, 6)
 EPOCHS, RATE, RIDGE = 100, 0.1, 1e-3
 #: Tokens on either side of one with features whose marginals are computed too.
@@ -50,8 +51,13 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-@functools.lru_cache(1 << 18)
 def features(token: str) -> tuple[str, ...]:
+    """The features of a token; those of tokens that aren't very long are remembered."""
+    return _features(token) if len(token) <= 64 else _features.__wrapped__(token)
+
+
+@functools.lru_cache(1 << 18)
+def _features(token: str) -> tuple[str, ...]:
     word = token.lower().strip(_STRIP)
     if not word:
         return ()
@@ -120,7 +126,9 @@ class Field:
                 token = tokens[i]
                 if len(cache) >= CACHE_WORDS:
                     cache.clear()
-                value = cache[token] = self.emission(token)
+                value = self.emission(token)
+                if len(token) <= 64:
+                    cache[token] = value
             if value is not None:
                 found[i] = value
         return found
@@ -178,18 +186,53 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
         .orderBy(F.xxhash64("label_id"), "label_id")
         .limit(MAX_LABELLED)
     )
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    joined = texts.join(F.broadcast(chosen), F.col("id") == F.col("label_id")).select("toxic", "text")
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    joined = texts.join(F.broadcast(chosen), F.col("id") == F.col("label_id"))
+    joined = joined.groupBy(F.col("id").cast("long").alias("id"), "toxic").agg(F.min("text").alias("text"))  # of a repeated id, the least text
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            least = [minima(shingles(t))[:3].astype(np.int64) for t in batch.column(1).to_pylist()]
-            yield pa.record_batch([*batch.columns, *[pa.array([int(x[k]) for x in least], pa.int64()) for k in range(3)]], names=["toxic", "text", "a", "b", "c"])
-
-    marked = materialise(joined.mapInArrow(hashed, "toxic int, text string, a long, b long, c long"), "toxic-sample")
-    for k in "abc":
-        marked = marked.dropDuplicates([k])
-    return materialise(marked.select("toxic", "text"), "toxic-sample")
+            least = [minima(shingles(t))[:3].astype(np.int64) for t in batch.column(2).to_pylist()]
+            yield pa.record_batch([*batch.columns, *[pa.array([int(x[k]) for x in least], pa.int64()) for k in range(3)]], names=["id", "toxic", "text", "a", "b", "c"])
+
+    marked = materialise(joined.select("id", "toxic", "text").mapInArrow(hashed, "id long, toxic int, text string, a long, b long, c long"), "toxic-sample")
+    heads = _heads(marked.select("id", "a", "b", "c").collect())  # MAX_LABELLED rows at most
+    ids = docs.sparkSession.createDataFrame([(i,) for i in heads], "id long")
+    return materialise(marked.join(F.broadcast(ids), "id").select("toxic", "text"), "toxic-sample")
+
+
+def _heads(rows: list) -> list[int]:
+    """The least id of each set of rows that are connected by sharing a minimum."""
+    parent: dict[int, int] = {}
+
+    def find(i: int) -> int:
+        while parent.setdefault(i, i) != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    first: dict[tuple[str, int], int] = {}
+    for r in sorted(rows, key=lambda r: r["id"]):
+        for k in "abc":
+            x, y = find(r["id"]), find(first.setdefault((k, r[k]), r["id"]))
+            parent[max(x, y)] = min(x, y)
+    return sorted({find(i) for i in list(parent)})
+
+
+def _tail(k: int, n: int, p: float) -> float:
+    """The probability of k or more hits in n draws."""
+    if p <= 0:
+        return 0.0 if k else 1.0
+    if p >= 1:
+        return 1.0
+    log = lambda i: math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)
+    total, term = 0.0, 1.0
+    for i in range(k, n + 1):
+        term = math.exp(log(i))
+        total += term
+        if term < 1e-12 * total:
+            break
+    return min(1.0, total)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,48 +266,58 @@ def _sequences(odds: dict[str, float]):
     return run
 
 
-def fit_field(names: list[str], sequences: list[tuple[list[list[int]], list[int]]]) -> Field:
-    """Maximise the sequences' likelihood under a ridge penalty, by Adam; gradients from forward-backward."""
-    n, v = len(sequences), len(names)
+def _step(theta: np.ndarray, v: int, chunk: tuple) -> np.ndarray:
+    """A chunk's part of the gradient of the log likelihood, by forward-backward."""
+    mask, labels, worth, at, token, gold = chunk
+    n = len(mask)
+    unary = np.zeros((n, LENGTH, 2))
+    unary[:, :, 1] = theta[v] + np.bincount(token, theta[at], n * LENGTH).reshape(n, LENGTH)
+    unary *= mask[:, :, None]
+    local, step = np.exp(np.clip(unary, -30, 30)), np.exp(theta[v + 1 :].reshape(2, 2))
+    alpha, beta = np.zeros((n, LENGTH, 2)), np.ones((n, LENGTH, 2))
+    alpha[:, 0] = local[:, 0] / local[:, 0].sum(1, keepdims=True)
+    for j in range(1, LENGTH):
+        x = alpha[:, j - 1] @ step * local[:, j]
+        x /= x.sum(1, keepdims=True)
+        alpha[:, j] = np.where(mask[:, j, None] > 0, x, alpha[:, j - 1])
+    for j in range(LENGTH - 2, -1, -1):
+        x = (beta[:, j + 1] * local[:, j + 1]) @ step.T
+        x /= x.sum(1, keepdims=True)
+        beta[:, j] = np.where(mask[:, j + 1, None] > 0, x, 1.0)
+    gamma = alpha * beta
+    gamma /= gamma.sum(2, keepdims=True)
+    both = alpha[:, :-1, :, None] * step * (local[:, 1:] * beta[:, 1:])[:, :, None, :]
+    both /= both.sum((2, 3), keepdims=True)
+    pairs = mask[:, 1:] * worth[:, None]
+    error = (labels - gamma[:, :, 1]) * mask * worth[:, None]
+    return np.concatenate([np.bincount(at, error.ravel()[token], v), [error.sum()], (gold - (both * pairs[:, :, None, None]).sum((0, 1))).ravel()])
+
+
+def _chunk(sequences: list[tuple[list[list[int]], list[int], float]]) -> tuple:
+    n = len(sequences)
     mask, labels = np.zeros((n, LENGTH)), np.zeros((n, LENGTH), int)
     at, token = [], []
-    for i, (rows, marks) in enumerate(sequences):
+    for i, (rows, marks, _) in enumerate(sequences):
         mask[i, : len(rows)] = 1
         labels[i, : len(marks)] = marks
         for j, row in enumerate(rows):
             at += row
             token += [i * LENGTH + j] * len(row)
-    at, token = np.array(at, int), np.array(token, int)
+    worth = np.array([w for *_, w in sequences], float)
+    pairs = mask[:, 1:] * worth[:, None]
+    gold = np.array([[(pairs * (labels[:, :-1] == a) * (labels[:, 1:] == b)).sum() for b in (0, 1)] for a in (0, 1)])
+    return mask, labels, worth, np.array(at, int), np.array(token, int), gold
+
+
+def fit_field(names: list[str], sequences: list[tuple[list[list[int]], list[int], float]]) -> Field:
+    """Maximise the likelihood of (features, labels, weight) under a ridge penalty, by Adam over all sequences."""
+    v, total = len(names), sum(w for *_, w in sequences)
+    chunks = [_chunk(sequences[i : i + CHUNK]) for i in range(0, len(sequences), CHUNK)]
     theta = np.zeros(v + 5)
     theta[v] = -3.0
     m1, m2 = np.zeros_like(theta), np.zeros_like(theta)
-    pairs = mask[:, 1:]
-    gold = np.zeros((2, 2))
-    for a in (0, 1):
-        for b in (0, 1):
-            gold[a, b] = (pairs * (labels[:, :-1] == a) * (labels[:, 1:] == b)).sum()
     for epoch in range(1, EPOCHS + 1):
-        unary = np.zeros((n, LENGTH, 2))
-        unary[:, :, 1] = theta[v] + np.bincount(token, theta[at], n * LENGTH).reshape(n, LENGTH)
-        unary *= mask[:, :, None]
-        local, step = np.exp(np.clip(unary, -30, 30)), np.exp(theta[v + 1 :].reshape(2, 2))
-        alpha, beta = np.zeros((n, LENGTH, 2)), np.ones((n, LENGTH, 2))
-        alpha[:, 0] = local[:, 0] / local[:, 0].sum(1, keepdims=True)
-        for j in range(1, LENGTH):
-            x = alpha[:, j - 1] @ step * local[:, j]
-            x /= x.sum(1, keepdims=True)
-            alpha[:, j] = np.where(mask[:, j, None] > 0, x, alpha[:, j - 1])
-        for j in range(LENGTH - 2, -1, -1):
-            x = (beta[:, j + 1] * local[:, j + 1]) @ step.T
-            x /= x.sum(1, keepdims=True)
-            beta[:, j] = np.where(mask[:, j + 1, None] > 0, x, 1.0)
-        gamma = alpha * beta
-        gamma /= gamma.sum(2, keepdims=True)
-        both = alpha[:, :-1, :, None] * step * (local[:, 1:] * beta[:, 1:])[:, :, None, :]
-        both /= both.sum((2, 3), keepdims=True)
-        error = (labels - gamma[:, :, 1]) * mask
-        gradient = np.concatenate([np.bincount(at, error.ravel()[token], v), [error.sum()], (gold - (both * pairs[:, :, None, None]).sum((0, 1))).ravel()]) / n
-        gradient -= RIDGE * theta
+        gradient = sum(_step(theta, v, c) for c in chunks) / total - RIDGE * theta
         m1, m2 = 0.9 * m1 + 0.1 * gradient, 0.999 * m2 + 0.001 * gradient**2
         theta += RATE * (m1 / (1 - 0.9**epoch)) / (np.sqrt(m2 / (1 - 0.999**epoch)) + 1e-8)
     weights = {f: float(w) for f, w in zip(names, theta[:v], strict=True) if abs(w) > 1e-3}
@@ -290,14 +343,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return Field(curve=(-30.0 if not sizes.get(True) else 30.0, 0.0, 0.0))
     counts = sample.mapInArrow(_count, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     share = lambda c, n: F.log((F.col(c) + 0.5) / (n - F.col(c) + 0.5))
-    odds = counts.where(f"toxic >= {LEAST_TOXIC}").withColumn("odds", share("toxic", sizes[True]) - share("clean", sizes[False]))
-    rows = odds.where(f"odds >= {LEAST_ODDS}").orderBy(F.desc("odds"), F.desc("toxic"), "feature").limit(MAX_FEATURES).collect()
+    counts = materialise(counts, "toxic-features")
+    odds = counts.where("toxic >= 2").withColumn("odds", share("toxic", sizes[True]) - share("clean", sizes[False]))
+    held = counts.where("toxic >= 2").count()
+    base = sizes[True] / (sizes[True] + sizes[False])
+    found = odds.where(f"odds >= {LEAST_ODDS}").orderBy(F.desc("odds"), F.desc("toxic"), "feature").collect()  # of the sample's words
+    rows = [r for r in found if held * _tail(r["toxic"], r["toxic"] + r["clean"], base) <= BY_CHANCE]
     names = {r["feature"]: r["odds"] for r in rows}
     if not names:
         return Field()
     marked = sample.mapInArrow(_sequences(names), "features array<array<int>>, labels array<int>")
-    chosen = marked.orderBy(F.xxhash64(F.to_json(F.struct("features", "labels")))).limit(MAX_SEQUENCES).collect()
-    model = fit_field(list(names), [(r["features"], r["labels"]) for r in chosen])
+    chosen = marked.groupBy("features", "labels").agg(F.count(F.lit(1)).alias("n")).collect()  # distinct ones of the sample
+    chosen = sorted((r["features"], r["labels"], r["n"]) for r in chosen)
+    model = fit_field(list(names), chosen)
 
     def gauge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

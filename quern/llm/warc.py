@@ -44,11 +44,12 @@ def _open(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(uri)
 
 
-def record_id(page_id: int | None, digest: str) -> str:
-    return uuid.UUID(hashlib.md5(f"{page_id}:{digest}".encode()).hexdigest()).urn
+def record_id(page_id: int | None, digest: str, place: str = "") -> str:
+    """Ids of records differ in their place in the archive even where page and payload are the same."""
+    return uuid.UUID(hashlib.md5(f"{page_id}:{digest}:{place}".encode()).hexdigest()).urn
 
 
-def render(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def render(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, place: str = "") -> bytes:
     """One WARC/1.1 record."""
     target = "".join(c if c.isprintable() and not c.isspace() else f"%{ord(c):02X}" for c in url or "")
     revisit = refers_to is not None
@@ -57,7 +58,7 @@ def render(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <{record_id(page_id, digest)}>",
+        f"WARC-Record-ID: <{record_id(page_id, digest, place)}>",
         f"WARC-Date: {_DATE}",
         f"WARC-Target-URI: {target}",
         f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}",
@@ -146,16 +147,18 @@ class BundleReader:
 
 def _write(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bundle, number = None, 0
+        bundle, number, count = None, 0, 0
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
                 rows, out = batch.slice(first, 256).to_pylist(), []
                 for r in rows:
+                    place = f"{r['part']}/{count}"
+                    count += 1
                     if bundle is None:
                         bundle = _Bundle(f"{folder}/bundle-{r['part']:06d}-{number:04d}.warc.zst")
                         number += 1
-                    frame, offset = bundle.add(render(r["page_id"], r["url"], r["payload"], r["digest"], r["refers_to"]))
-                    out.append((record_id(r["page_id"], r["digest"]), bundle.uri, frame, offset))
+                    frame, offset = bundle.add(render(r["page_id"], r["url"], r["payload"], r["digest"], r["refers_to"], place))
+                    out.append((record_id(r["page_id"], r["digest"], place), bundle.uri, frame, offset))
                     if bundle.size >= BUNDLE_BYTES:
                         bundle.close()
                         bundle = None
@@ -219,8 +222,9 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_bundles(index: DataFrame) -> DataFrame:
     """All records of the bundles of an index; payloads of responses are checked against their digests."""
-    bundles = index.select("bundle").distinct()
-    return bundles.repartition(F.col("bundle")).mapInArrow(
+    bundles = materialise(index.select("bundle").distinct(), "warc-bundles")
+    # as many tasks as bundles: names are too short for tasks to be made by size
+    return bundles.repartition(max(1, bundles.count()), "bundle").mapInArrow(
         _read,
         "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary",
     )
