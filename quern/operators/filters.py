@@ -46,7 +46,8 @@ def group_std_mask(df: DataFrame, group: str, value: str, tau: float | None = No
         groups = groups.join(F.broadcast(bound))  # one row
     else:
         groups = groups.withColumn("_tau", F.lit(tau))
-    joined = df.join(groups, group)
+    named = groups.withColumnRenamed(group, "_group")
+    joined = df.join(named, F.col(group).eqNullSafe(F.col("_group")))  # rows without a group are one too
     return joined.select(*df.columns, F.when(F.col("_std") <= F.col("_tau"), 0.0).otherwise(F.col(value)).alias("masked"))
 
 
@@ -155,5 +156,5 @@ def mid_eos(ids: Column, mask: Column, score: Column, eos: int) -> Column:
 def drop_flat_groups(df: DataFrame, group: str, components: list[str], least: float = 1e-12) -> DataFrame:
     """Groups in which no component's population deviation is over ``least`` go."""
     spread = F.greatest(*[F.coalesce(F.stddev_pop(c), F.lit(0.0)) for c in components]) if len(components) > 1 else F.stddev_pop(components[0])
-    kept = df.groupBy(group).agg(spread.alias("_spread")).where(F.col("_spread") > least).select(group)
-    return df.join(kept, group, "left_semi")
+    kept = df.groupBy(group).agg(spread.alias("_spread")).where(F.col("_spread") > least).select(F.col(group).alias("_group"))
+    return df.join(kept, F.col(group).eqNullSafe(F.col("_group")), "left_semi")
