@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 
@@ -64,10 +65,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(*tables: DataFrame | None) -> None:
-    """Delete tables that materialise() wrote, once nothing reads them any more; others are left alone."""
+    """Delete tables that materialise() wrote, once nothing reads them any more; others are left alone.
+
+    A collection on the driver then lets Spark's cleaner drop the shuffle files and broadcasts of plans that are done.
+    """
     for table in tables:
         path = getattr(table, "_scratch", None)
         if path:
             context = table.sparkSession.sparkContext
             hadoop = context._jvm.org.apache.hadoop.fs.Path(path)
             hadoop.getFileSystem(context._jsc.hadoopConfiguration()).delete(hadoop, True)
+    session = next((t.sparkSession for t in tables if t is not None), None)
+    if session is not None:
+        gc.collect()
+        session.sparkContext._jvm.System.gc()
