@@ -41,7 +41,7 @@ MARGIN = 5.0
 #: A shingle is rare if it has at most so many holders among the members of open buckets.
 RARE = 8
 #: Words whose hashes a Python worker remembers, and their bytes at most; longer ones are hashed each time.
-CACHE_WORDS, CACHED_BYTES = 400_000, 64
+CACHE_WORDS, CACHED_BYTES = 200_000, 64
 
 _SEEDS = np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 63, size=(2, REGISTERS), dtype=np.uint64)
 _FACTORS, _SHIFTS = _SEEDS[0] * np.uint64(2) + np.uint64(1), _SEEDS[1] * np.uint64(2)

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm._common import SPACE_CHARS, fresh, packed, unpacked, words_of
+from quern.session import materialise
 
 #: Labelled documents that rules are learned from, at most: those with the smallest hash of their id.
 MAX_LABELLED = 10_000
@@ -231,9 +232,12 @@ def apply_quality(
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the rules keep, with the columns of ``docs`` alone."""
+    """The documents that the rules keep, with the columns of ``docs`` alone.
+
+    Rated rows are written before they are filtered: a filter would work the statistics out again for each mention.
+    """
     kept = fresh(docs, "kept")
-    return apply_quality(docs, labels).where(F.col(kept)).select(*docs.columns)
+    return materialise(apply_quality(docs, labels).select(*docs.columns, kept), "quality-rated").where(F.col(kept)).select(*docs.columns)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
