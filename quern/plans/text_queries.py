@@ -117,7 +117,7 @@ def _(spark, d):
 @_query("STR-18", PARTS + " SELECT id, CASE WHEN id % 5 < 3 THEN true WHEN id % 5 = 3 THEN false END AS same FROM p")
 def _(spark, d):
     t = _text(spark, d, r"case id % 5 when 0 then concat(id, '^\\circ') when 1 then concat('\n', id, '.7\\%') when 2 then concat(id, '\\text{ cm}') when 3 then concat(id + 1, '') end")
-    return t.select("id", S.aime_equal(F.col("text"), F.col("id").cast("string")).alias("same"))
+    return t.select("id", S.same_integer(F.col("text"), F.col("id").cast("string")).alias("same"))
 
 
 @_query("STR-23", PARTS + " SELECT id, name AS benchmark FROM p")

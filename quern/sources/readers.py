@@ -9,7 +9,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quern.operators.filters import hash_order
 from quern.operators.sampling import number_rows
@@ -69,7 +68,7 @@ def pair_rows(pairs: DataFrame, key: str) -> DataFrame:
     return pairs.select(key, "prompt", both)
 
 
-QUESTION = T.StructType.fromDDL("question_id string, question_text string, choices array<string>, ground_truth string, benchmark_type string, data_source string")
+QUESTION = "question_id string, question_text string, choices array<string>, ground_truth string, benchmark_type string, data_source string"
 
 
 def questions(df: DataFrame) -> DataFrame:

@@ -2,18 +2,26 @@
 
 import math
 import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from quern.functions import strings as S
 from quern.operators import advantages as A
 from quern.operators import aggregates as G
 from quern.operators import batch as B
 from quern.operators import filters as L
+from quern.operators import sampling as M
+from quern.plans import data_queries as _data  # noqa: F401
 from quern.plans import more_queries as _more  # noqa: F401
 from quern.plans import queries as _queries  # noqa: F401
 from quern.plans import registry
+from quern.plans import sampling_queries as _sampling  # noqa: F401
+from quern.plans import text_queries as _texts  # noqa: F401
+from quern.plans import token_queries as _tokens  # noqa: F401
 
 FOLDER = os.environ.get("QUERN_TESTDATA", "/root/testdata/sf0.001")
 
@@ -166,3 +174,38 @@ def test_gae_is_whitened_and_has_returns(spark):
     values = {(0, 0): 0.5, (0, 1): 1.0, (0, 2): 2.0, (1, 0): 1.0}
     for k, a in raw.items():
         assert abs(got[k][0] - (a - mean) / std) < 1e-6 and abs(got[k][1] - a - values[k]) < 1e-9
+
+
+def test_null_groups_stay(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 2.0), ("a", 2.0)], "g string, x double")
+    assert L.group_std_mask(df, "g", "x", tau=0.5).count() == 4
+    assert [r.g for r in L.drop_flat_groups(df, "g", ["x"]).collect()] == [None, None]
+
+
+def test_blanks_of_all_kinds(spark):
+    one = spark.range(1)
+    value = lambda c: one.select(c.alias("x")).first().x
+    lit = lambda s: F.lit(s).cast("string")
+    assert value(S.opener(lit("\n\tAlright"))) == "alright"
+    assert value(S.same_general(lit(" x\n"), lit("x"))) is True and value(S.same_choice(lit("\tb"), lit("B "))) is True
+    assert value(S.strip_wrappers(lit("\\text{" * 6 + "x" + "}" * 6))) == "x"
+    assert value(S.same_integer(lit(None), lit("3"))) is None
+    for unit in ("^\\circ", "\\%", "\\text{ cm}", "°"):
+        assert value(S.same_integer(lit("42" + unit), lit("42"))) is True, unit
+
+
+def test_entry_needs_no_session():
+    """The driver reads the names before it starts Spark."""
+    code = "import __spark_entry__ as e; print(len(e.queries()) - len(e.oracle_sql()))"
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    assert subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True).returncode == 0
+
+
+def test_partitions():
+    assert M.greedy_partition([5, 1, 1, 1], 2, equal_size=False) == [[0], [1, 2, 3]]
+    assert [len(p) for p in M.greedy_partition([5, 1, 1, 1], 2, equal_size=True)] == [2, 2]
+    parts = M.largest_differencing([8, 7, 6, 5, 4], 2)
+    assert sorted(i for p in parts for i in p) == [0, 1, 2, 3, 4] and abs(sum([8, 7, 6, 5, 4][i] for i in parts[0]) - 15) <= 1
+    assert M.equal_quotas({"a": 1, "b": 9, "c": 9}, 12) == {"a": 1, "b": 6, "c": 5}
+    with pytest.raises(ValueError):
+        M.filter_mode("top_0")
