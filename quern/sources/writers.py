@@ -50,3 +50,16 @@ def dev_rows(wanted: DataFrame, results: DataFrame, source: str, difficulty: Col
     """The wanted questions in the schema of a development set, with the difficulty's name."""
     rows = results.join(wanted.select("question_id").distinct(), "question_id", "left_semi")
     return rows.select("question_id", "question_text", F.coalesce("choices", F.array().cast("array<string>")).alias("choices"), difficulty.alias("difficulty"), "ground_truth", F.lit(source).alias("data_source"))
+
+
+def write_influence(rows: DataFrame, key: str, order: str, path: str) -> None:
+    """A row per question as JSON lines, the first by some order."""
+    names = [c for c in rows.columns if c != key]
+    first = rows.groupBy(key).agg(F.min_by(F.struct(*names), order).alias("row")).select(key, *[F.col(f"row.{c}").alias(c) for c in names])
+    write_json(first, path)
+
+
+def save_batch(batch: DataFrame, path: str) -> DataFrame:
+    """A batch as Parquet, with its schema, read back; any later session can load it."""
+    batch.write.mode("overwrite").parquet(path)
+    return batch.sparkSession.read.schema(batch.schema).parquet(path)

@@ -16,6 +16,7 @@ from quern.operators import batch as B
 from quern.operators import filters as L
 from quern.operators import sampling as M
 from quern.plans import data_queries as _data  # noqa: F401
+from quern.plans import judging_queries as _judging  # noqa: F401
 from quern.plans import more_queries as _more  # noqa: F401
 from quern.plans import queries as _queries  # noqa: F401
 from quern.plans import registry
