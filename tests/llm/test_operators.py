@@ -318,3 +318,24 @@ def test_plan_recurses_and_honours_tail_weights():
             seen[at : at + length] += 1
     assert (seen == 1).all()
     assert [x[0] for x in made.pieces("s04999", 0, totals["s04999"])] == [0]
+
+
+def test_edits_without_common_ends(spark):
+    """Leaving out common words at both ends changes no edit distance; word by word there are never fewer edits."""
+    import random
+
+    from quern.llm import line_dedup
+
+    deal = random.Random(4)
+    words = ["a", "ab", "abc", "b", "ba"]
+    lines = [" ".join(deal.choices(words, k=deal.randint(1, 7))) for _ in range(60)] + ["ab ab", "ab ab ab", "x"]
+    rows = [(i, i, j, s, t) for i, s in enumerate(lines) for j, t in enumerate(lines) if i != j]
+    pairs = spark.createDataFrame([(r[1], r[2]) for r in rows], "a long, b long")
+    texts = spark.createDataFrame(list(enumerate(lines)), "uid long, norm string")
+    whole = spark.createDataFrame(rows, "k long, a long, b long, s string, t string").selectExpr("a", "b", "s", "t", "levenshtein(s, t) as d")
+    for exact in (True, False):
+        compared = line_dedup._compared(pairs, texts, 1, exact).join(whole, ["a", "b"]).collect()
+        assert len(compared) == len(rows)
+        for r in compared:
+            within = r["d"] <= r["allowed"]
+            assert (r["edits"] == r["d"] if exact else r["d"] <= r["edits"] <= r["allowed"]) if within else r["edits"] == -1
