@@ -69,13 +69,14 @@ def _(spark, d):
 
 # --- filters, prompts, retrieval
 
-_WORDS = F.size(F.split("name", " "))
+def _words():
+    return F.size(F.split("name", " "))
 
 
 @_query("FLT-01", PARTS + " SELECT id FROM p WHERE len(string_split(name, ' ')) <= 3 AND id % 7 > 0")
 def _(spark, d):
     p = parts(spark, d)
-    return J.fits(p, F.when(F.col("id") % 7 > 0, _WORDS), 3).select("id")
+    return J.fits(p, F.when(F.col("id") % 7 > 0, _words()), 3).select("id")
 
 
 @_query("FLT-03", PARTS + " SELECT id FROM p WHERE id % 3 = 0 OR size > 20")
@@ -94,7 +95,7 @@ def _(spark, d):
 @_query("PRM-02", PARTS + " SELECT count(*) AS questions, count(*) FILTER (len(string_split(name, ' ')) <= 3) AS kept, count(*) FILTER (len(string_split(name, ' ')) > 3) AS too_long FROM p")
 def _(spark, d):
     fit = F.col("words") <= 3
-    return parts(spark, d).select(_WORDS.alias("words")).agg(F.count(F.lit(1)).alias("questions"), F.count_if(fit).alias("kept"), F.count_if(~fit).alias("too_long"))
+    return parts(spark, d).select(_words().alias("words")).agg(F.count(F.lit(1)).alias("questions"), F.count_if(fit).alias("kept"), F.count_if(~fit).alias("too_long"))
 
 
 _RING = PARTS + """, o AS (SELECT id, name, row_number() OVER (ORDER BY md5('5:' || id), id) - 1 AS spot, ('0x' || substr(md5('5:start:' || id), 1, 8))::BIGINT AS start, count(*) OVER () AS n FROM p),
