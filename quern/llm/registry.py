@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from quern.llm import chat, exact_dedup, html_text, line_dedup, mixing, near_dedup, packing, quality, toxicity, warc
+from quern.llm import alignment, best_fit, chat, exact_dedup, html_text, line_dedup, mixing, near_dedup, packing, quality, search, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc": warc.op8_warc,
         "op9_near_dedup": near_dedup.op9_near_dedup,
         "op10_packing": packing.op10_packing,
+        "op11_best_fit": best_fit.op11_best_fit,
+        "op12_alignment": alignment.op12_alignment,
+        "op13_search": search.op13_search,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -32,4 +35,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_mixing": mixing.ORACLE_SQL,
         "op3_chat": chat.ORACLE_SQL,
         "op8_warc": warc.ORACLE_SQL,
+        "op13_search": search.ORACLE_SQL,
     }
