@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: The brute search for JSON in a broken wrapper starts at so many braces at most, in texts up to this length (fixed values).
-MOST_BRACES, MOST_CHARS = 64, 20_000
+#: The brute search for JSON in a broken wrapper starts at so many braces at most, in texts up to this length.
+MOST_BRACES, MOST_CHARS = 8, 16_384
 _ESCAPE = re.compile(r"\\(\\|.)")
 
 

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quern.operators.order_stats import quantiles
+
 EPSILON = 1e-6
 
 ESTIMATORS: dict[str, Callable[..., DataFrame]] = {}
@@ -215,10 +217,9 @@ def quantise(df: DataFrame, score: str, mode: str) -> DataFrame:
         return df.withColumn("quantised", (x > 0).cast("double"))
     if mode != "2bit":
         raise ValueError(f"unknown mode {mode}")
-    median = df.agg(F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY abs({score}))").alias("_t"))
-    t = F.col("_t")
+    t = F.lit(quantiles(df, F.abs(score), [0.5], lower=True)[0])
     level = F.when(x >= t, 1.0).when(x > 0, 0.1).when(x > -t, -0.1).otherwise(-1.0)
-    return df.join(F.broadcast(median)).select(*df.columns, level.alias("quantised"))  # one row
+    return df.withColumn("quantised", level)
 
 
 def decoupled(df: DataFrame, scores: dict[str, float], group: str = "group") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.operators.order_stats import quantiles
+
 
 def accuracy(df: DataFrame, key: str, score: str) -> DataFrame:
     """n_correct, n_total and accuracy over rows with a score; accuracy 0 without any."""
@@ -38,11 +40,12 @@ def length_stats(df: DataFrame, key: str, length: str) -> DataFrame:
 def distribution(df: DataFrame, value: str, percents: tuple[int, ...] = (10, 90)) -> DataFrame:
     """One row: mean, population deviation, min, max, median, count and linear percentiles; 0 if there are no values."""
     zero = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
-    return df.agg(
+    median, *others = (zero(F.lit(q)) for q in quantiles(df, F.col(value), [0.5, *(p / 100 for p in percents)]))
+    figures = df.agg(
         zero(F.avg(value)).alias("mean"), zero(F.stddev_pop(value)).alias("std"), zero(F.min(value)).alias("min"),
-        zero(F.max(value)).alias("max"), zero(F.expr(f"percentile({value}, 0.5)")).alias("median"), F.count(value).alias("count"),
-        *[zero(F.expr(f"percentile({value}, {p / 100})")).alias(f"p{p}") for p in percents],
+        zero(F.max(value)).alias("max"), F.count(value).alias("count"),
     )
+    return figures.select("mean", "std", "min", "max", median.alias("median"), "count", *[q.alias(f"p{p}") for p, q in zip(percents, others, strict=True)])
 
 
 def reduce_by_name(df: DataFrame, name: str, value: str) -> DataFrame:
@@ -125,7 +128,7 @@ def reward_metrics(df: DataFrame, reward: str) -> DataFrame:
     v = F.col(reward)
     positive = F.count_if(v > 0)
     figures = {
-        "mean": F.avg(v), "std": F.stddev_pop(v), "min": F.min(v), "max": F.max(v), "median": F.percentile(v, 0.5),
+        "mean": F.avg(v), "std": F.stddev_pop(v), "min": F.min(v), "max": F.max(v), "median": F.any_value(F.lit(quantiles(df, v, [0.5])[0])),
         "num_scored": F.count(v), "num_positive": positive, "frac_positive": F.try_divide(positive, F.count(v)),
     }
     return df.agg(*[F.coalesce(c.cast("double"), F.lit(0.0)).alias(n) for n, c in figures.items()])

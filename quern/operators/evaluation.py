@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.operators.aggregates import pass_at_k
+from quern.operators.order_stats import quantiles
 
 
 def long_form(row: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -177,6 +178,6 @@ def distributions(df: DataFrame, columns: list[str]) -> DataFrame:
     """(name, metric, value): count, mean, population deviation, least, largest and median of several columns at once."""
     parts = []
     for c in columns:
-        stats = df.agg(F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"), F.percentile(c, F.lit(0.5)).alias("median"))
+        stats = df.agg(F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"), F.any_value(F.lit(quantiles(df, F.col(c), [0.5])[0])).alias("median"))
         parts.append(long_form(stats).select(F.lit(c).alias("name"), "metric", F.coalesce("value", F.lit(0.0)).alias("value")))
     return reduce(DataFrame.unionByName, parts)

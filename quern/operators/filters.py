@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quern.operators.order_stats import first_by_bucket, first_rows, hash_numbers, quantiles
+from quern.session import materialise
+
 
 def hash_order(seed: int | str, *parts: Column) -> Column:
     """A key that puts rows in a random order which any engine with MD5 repeats."""
@@ -24,11 +27,12 @@ def drop_zero_variance(df: DataFrame, group: str, score: str, keep_single: bool)
 
 def top_alpha(df: DataFrame, alpha: float, total: int, value: str, tie: str) -> DataFrame:
     """The ceil(alpha * total) best rows; ``total`` may count rows that were filtered before."""
-    return df.orderBy(F.desc(value), tie).limit(math.ceil(alpha * total))
+    return first_rows(df, [(F.col(value), True), (F.col(tie), False)], math.ceil(alpha * total))
 
 
 def random_alpha(df: DataFrame, alpha: float, total: int, key: str, seed: int) -> DataFrame:
-    return df.orderBy(hash_order(seed, F.col(key)), key).limit(math.ceil(alpha * total))
+    """A share of the rows at random, as many as top_alpha takes."""
+    return first_rows(df, [(c, False) for c in (*hash_numbers(hash_order(seed, F.col(key))), F.col(key))], math.ceil(alpha * total))
 
 
 def top_per_group(df: DataFrame, group: str, value: str, tie: str, count: int) -> DataFrame:
@@ -40,12 +44,10 @@ def group_std_mask(df: DataFrame, group: str, value: str, tau: float | None = No
     """Adds masked: the value, or 0 where the group's population deviation is at most tau (fixed, or a quantile of groups)."""
     groups = df.groupBy(group).agg(F.stddev_pop(value).alias("_std"))
     if tau is None:
-        bound = groups.agg(F.expr(f"percentile(_std, {1 - top_gamma})").alias("_tau"))
-        if tau_max is not None:
-            bound = bound.select(F.least("_tau", F.lit(tau_max)).alias("_tau"))
-        groups = groups.join(F.broadcast(bound))  # one row
-    else:
-        groups = groups.withColumn("_tau", F.lit(tau))
+        groups = materialise(groups, "deviations")  # the bound is one of the deviations, which must not be summed anew in another order
+        (tau,) = quantiles(groups, F.col("_std"), [1 - top_gamma])
+        tau = tau if tau is None or tau_max is None else min(tau, tau_max)
+    groups = groups.withColumn("_tau", F.lit(tau).cast("double"))
     named = groups.withColumnRenamed(group, "_group")
     joined = df.join(named, F.col(group).eqNullSafe(F.col("_group")))  # rows without a group are one too
     return joined.select(*df.columns, F.when(F.col("_std") <= F.col("_tau"), 0.0).otherwise(F.col(value)).alias("masked"))
@@ -101,9 +103,8 @@ def sample_buckets(df: DataFrame, bucket: str, key: str, wanted: dict[str, int],
     held = dict(df.where(F.col(bucket).isin(*wanted)).groupBy(bucket).count().collect())  # a row per bucket
     over = {k: held[k] - v for k, v in wanted.items() if held.get(k, 0) > v}
     extra = redistribute_shortfall(sum(max(0, v - held.get(k, 0)) for k, v in wanted.items()), over)
-    limit = F.create_map(*[x for k, v in wanted.items() for x in (F.lit(k), F.lit(v + extra.get(k, 0)))])
-    ranked = W.partitionBy(bucket).orderBy(hash_order(seed, F.col(key)), key)
-    return df.withColumn("_k", F.row_number().over(ranked)).where(F.col("_k") <= F.coalesce(limit[F.col(bucket)], F.lit(0))).drop("_k")
+    order = [(c, False) for c in (*hash_numbers(hash_order(seed, F.col(key))), F.col(key))]
+    return first_by_bucket(df, bucket, {k: v + extra.get(k, 0) for k, v in wanted.items()}, order)
 
 
 def workload(length: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.operators.filters import hash_order
+from quern.operators.order_stats import group_median
 from quern.operators.sampling import number_rows
 
 
@@ -135,12 +136,15 @@ def sensitivity(df: DataFrame, n: str, cosine: str, status: str, thresholds: tup
     good = F.when((F.col(status) == "ok") & F.col(cosine).isNotNull(), F.col(cosine))
     count = lambda s: F.count(F.when(F.col(status) == s, 1))
     share = lambda t: F.coalesce(F.avg((good > t).cast("double")), F.lit(0.0)).alias(f"frac_gt_{str(t).replace('.', 'p')}")
-    return df.groupBy(n).agg(
+    middle = group_median(df.withColumn("_good", good), n, "_good").select(F.col(n).alias("_group"), "median")
+    figures = df.groupBy(n).agg(
         F.count(F.lit(1)).alias("total_points"), F.count(good).alias("valid_points"), (F.count(F.lit(1)) - F.count(good)).alias("skipped_points"),
         count("retry_exhausted").alias("retry_exhausted_points"), count("zero_variance").alias("zero_variance_points"),
-        F.avg(good).alias("mean"), F.stddev_pop(good).alias("std"), F.min(good).alias("min"), F.max(good).alias("max"), F.median(good).alias("median"),
-        *[share(t) for t in thresholds],
+        F.avg(good).alias("mean"), F.stddev_pop(good).alias("std"), F.min(good).alias("min"), F.max(good).alias("max"), *[share(t) for t in thresholds],
     )
+    joined = figures.join(middle, F.col(n).eqNullSafe(F.col("_group")), "left")
+    at = figures.columns.index("max") + 1
+    return joined.select(*figures.columns[:at], "median", *figures.columns[at:])
 
 
 def usage(calls: DataFrame, model: str, prices: dict[str, tuple[float, float]]) -> DataFrame:

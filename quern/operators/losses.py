@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.operators.order_stats import first_rows, hash_numbers
+
 #: Bound of log ratios before exp().
 SAFE = 20.0
 Bounds = tuple[float, float]
@@ -114,11 +116,11 @@ def _covariance(tokens: DataFrame) -> DataFrame:
     return tokens.join(F.broadcast(means)).withColumn("cov", (F.col("adv") - F.col("mean_adv")) * (F.col("new") - F.col("mean_new")))
 
 
-def _first_share(tokens: DataFrame, order: Column, tie: list[str], share: float) -> DataFrame:
+def _first_share(tokens: DataFrame, order: list[tuple[Column, bool]], tie: list[str], share: float) -> DataFrame:
     """The first max(1, floor(share * n_valid)) rows of a table by ``order``: a threshold, then the few at it by ties."""
     count = tokens.agg(F.max("n_valid").alias("n")).first()["n"]
     take = max(1, int(share * (count or 0)))
-    return tokens.orderBy(order, *tie).limit(take)
+    return first_rows(tokens, [*order, *((F.col(t), False) for t in tie)], take)
 
 
 def clip_cov(tokens: DataFrame, key: list[str], clip: Bounds = (0.2, 0.2), share: float = 2e-4, bounds: Bounds = (1.0, 5.0), seed: int = 0) -> DataFrame:
@@ -129,7 +131,7 @@ def clip_cov(tokens: DataFrame, key: list[str], clip: Bounds = (0.2, 0.2), share
     out = _covariance(tokens).withColumns({"loss": F.greatest(plain, cut), "clipped": cut > plain})
     fit = out.where((F.col("mask") > 0) & ~F.col("clipped") & (F.col("cov") > bounds[0]) & (F.col("cov") < bounds[1]))
     draw = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]))
-    hit = _first_share(fit, draw, key, share).select(*key, F.lit(True).alias("hit"))
+    hit = _first_share(fit, [(c, False) for c in hash_numbers(draw)], key, share).select(*key, F.lit(True).alias("hit"))
     out = out.join(hit, key, "left").withColumn("dropped", F.coalesce("hit", F.lit(False)))
     return out.withColumn("loss", F.when(F.col("dropped"), 0.0).otherwise(F.col("loss"))).drop("hit")
 
@@ -138,7 +140,7 @@ def kl_cov(tokens: DataFrame, key: list[str], share: float = 2e-4, coefficient:
     """Adds loss and penalised: the share of valid tokens with the largest covariance pays for its distance."""
     delta = F.col("new") - F.col("old")
     out = _covariance(tokens).withColumn("loss", -F.col("adv") * F.exp(delta))
-    hit = _first_share(out.where("mask > 0"), F.desc(F.round("cov", 9)), key, share).select(*key, F.lit(True).alias("hit"))
+    hit = _first_share(out.where("mask > 0"), [(F.round("cov", 9), True)], key, share).select(*key, F.lit(True).alias("hit"))
     out = out.join(hit, key, "left").withColumn("penalised", F.coalesce("hit", F.lit(False)))
     return out.withColumn("loss", F.col("loss") + F.when(F.col("penalised"), coefficient * F.abs(delta)).otherwise(0.0)).drop("hit")
 

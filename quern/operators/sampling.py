@@ -10,6 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.operators.filters import hash_order
+from quern.operators.order_stats import first_by_bucket, first_rows, hash_numbers
+from quern.session import materialise
 
 
 def scatter_order(row: Column, rollouts: int, ranks: int) -> Column:
@@ -30,26 +32,19 @@ def epoch_batches(df: DataFrame, key: str, seed: int, epoch: int, size: int) ->
 
 
 def number_rows(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """Adds the place of a row from 0 in a total order: ranges are sorted apart, only their sizes meet."""
-    sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_in", F.monotonically_increasing_id())
-    sizes = sorted_.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_in").alias("_first"))
+    """Adds the place of a row from 0 in a total order: ranges are sorted apart, only their sizes meet.
+
+    The sorted ranges are written once, with the number of their task and of each row in it: sizes and rows then come from the
+    same ranges, whatever is planned, reused or run again.
+    """
+    part, own = "_number_part", "_number_in"
+    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    numbered = materialise(ordered.withColumn(own, F.monotonically_increasing_id()).withColumn(part, F.spark_partition_id()), "numbered")
+    sizes = numbered.groupBy(part).agg(F.count(F.lit(1)).alias("_n"), F.min(own).alias("_first"))
     # one row a partition
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    placed = sorted_.join(F.broadcast(before.select("_part", "_before", "_first")), "_part")
-    return placed.withColumn(name, F.col("_before") + F.col("_in") - F.col("_first")).select(*df.columns, name)
-
-
-def redistribute(shortfall: int, surplus: list[tuple[str, int]]) -> dict[str, int]:
-    """What buckets with rows left give for a shortfall: in proportion to their surplus, halves to even, rest from the last."""
-    total, left, out = sum(s for _, s in surplus), shortfall, {}
-    if shortfall <= 0 or total <= 0:
-        return out
-    for i, (bucket, has) in enumerate(surplus):
-        share = left if i == len(surplus) - 1 else round(shortfall * has / total)
-        if (give := min(share, has, left)) > 0:
-            out[bucket] = give
-            left -= give
-    return out
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy(part).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    placed = numbered.join(F.broadcast(before.select(part, (F.col("_before") - F.col("_first")).alias("_number_shift"))), part)
+    return placed.withColumn(name, F.col(own) + F.col("_number_shift")).select(*df.columns, name)
 
 
 def equal_quotas(sizes: dict[str, int], total: int) -> dict[str, int]:
@@ -70,12 +65,13 @@ def equal_quotas(sizes: dict[str, int], total: int) -> dict[str, int]:
 
 
 def take_quotas(df: DataFrame, bucket: str, key: str, quotas: dict[str, int], seed: int) -> DataFrame:
-    """``quotas`` rows of each bucket in hash order; a limit per bucket, so that no task sorts a whole bucket."""
-    parts = [df.where(F.col(bucket) == b).orderBy(hash_order(seed, F.col(key)), key).limit(n) for b, n in sorted(quotas.items()) if n > 0]
-    out = df.limit(0)
-    for p in parts:
-        out = out.unionByName(p)
-    return out
+    """``quotas`` rows of each bucket in hash order."""
+    return first_by_bucket(df, bucket, quotas, _hashed(seed, key))
+
+
+def _hashed(seed: int | str, key: str) -> list[tuple[Column, bool]]:
+    """Hash order, and by key among equal hashes."""
+    return [(c, False) for c in (*hash_numbers(hash_order(seed, F.col(key))), F.col(key))]
 
 
 def balanced(df: DataFrame, bucket: str, key: str, total: int, seed: int) -> DataFrame:
@@ -95,12 +91,12 @@ def curriculum(dev: DataFrame, history: DataFrame, pool: DataFrame, used: DataFr
     gone = placed.where((F.col("place") < low) | (F.col("place") >= n - high))
     stays = placed.where((F.col("place") >= low) & (F.col("place") < n - high)).select(key, F.lit("kept").alias("origin"))
     free = pool.select(key).join(used.select(key), key, "left_anti").join(gone.select(key), key, "left_anti").join(stays.select(key), key, "left_anti")
-    new = free.orderBy(hash_order(seed, F.col(key)), key).limit(low + high).select(key, F.lit("pool").alias("origin"))
+    new = first_rows(free, _hashed(seed, key), low + high).select(key, F.lit("pool").alias("origin"))
     return stays.unionByName(new)
 
 
 def subsample(df: DataFrame, key: str, size: int, seed: int) -> DataFrame:
-    return df.orderBy(hash_order(seed, F.col(key)), key).limit(size)
+    return first_rows(df, _hashed(seed, key), size)
 
 
 def greedy_partition(lengths: list[int], parts: int, equal_size: bool) -> list[list[int]]:

@@ -79,7 +79,7 @@ _advantage(
 _advantage("ADV-06", lambda r: A.estimate("rloo", r), f"score - coalesce((sum(score) OVER {_W} - score) / nullif(count(score) OVER {_W} - 1, 0), 0)")
 _advantage("ADV-11", A.rloo_vectorized, f"CASE WHEN count(score) OVER {_W} > 1 THEN (count(score) OVER {_W} * score - sum(score) OVER {_W}) / (count(score) OVER {_W} - 1) ELSE 0 END")
 _advantage("ADV-09", A.opo, f"score - CASE WHEN count(score) OVER {_W} = 1 THEN 0 ELSE sum(length * score) OVER {_W} / sum(length) OVER {_W} END")
-_advantage("ADV-10", lambda r: A.gpg(r, f_norm=2.0), f"(count(score) OVER () / greatest(1, count(*) FILTER (score <> 0) OVER ())) * (score - {_MEAN}) / 2.0")
+_advantage("ADV-10", lambda r: A.gpg(r, f_norm=1.2345679), f"(count(score) OVER () / greatest(1, count(*) FILTER (score <> 0) OVER ())) * (score - {_MEAN}) / 1.2345679")
 _advantage("ADV-14", lambda r: A.whiten(r, "score", "length"), "(score - sum(score * length) OVER () / sum(length) OVER ()) / sqrt((sum(score * score * length) OVER () - (sum(score * length) OVER ()) ** 2 / sum(length) OVER ()) / (sum(length) OVER () - 1) + 1e-8)")
 _advantage(
     "ADV-13",
@@ -162,8 +162,11 @@ def _(spark, d):
 
 @_query(
     "ADV-01-whitened",
-    _registry._SQL["ADV-01"].rsplit("SELECT m.row_idx", 1)[0]
-    + """, f AS (SELECT m.row_idx, m.pos, m.mask, m.value, coalesce(g.x, 0) AS x FROM m LEFT JOIN g ON g.row_idx = m.row_idx AND g.k = m.k),
+    TOKENS
+    + """, m AS (SELECT *, sum(mask) OVER (PARTITION BY row_idx ORDER BY pos DESC) AS k FROM t),
+v AS (SELECT row_idx, k, reward + 0.9 * coalesce(lead(value) OVER (PARTITION BY row_idx ORDER BY pos), 0) - value AS delta FROM m WHERE mask = 1),
+g AS (SELECT row_idx, k, 0.72 ** k * sum(delta / 0.72 ** k) OVER (PARTITION BY row_idx ORDER BY k) AS x FROM v),
+f AS (SELECT m.row_idx, m.pos, m.mask, m.value, coalesce(g.x, 0) AS x FROM m LEFT JOIN g ON g.row_idx = m.row_idx AND g.k = m.k),
 w AS (SELECT avg(x) FILTER (mask = 1) AS mean, var_samp(x) FILTER (mask = 1) AS var FROM f)
 SELECT row_idx, pos, round((x - mean) / sqrt(var + 1e-8), 5) + 0.0 AS advantage, round(x + value, 5) + 0.0 AS returns FROM f, w""",
 )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quern.operators import filters as L
 from quern.operators import sampling as M
 from quern.plans.data_queries import _query
 from quern.plans.queries import ROLLOUTS, rollouts
@@ -31,9 +32,15 @@ for _epoch, _name in ((0, "SMP-03"), (2, "SMP-04")):
     )
 
 
-@_query("SMP-06", "SELECT unnest(['easy', 'medium']) AS bucket, unnest([6, 4])::BIGINT AS extra")
+@_query("SMP-06", ORDERS + """, n AS (SELECT field, count(*) AS n, 2 + ascii(field) % 7 AS target FROM o GROUP BY 1), s AS (SELECT field, n - target AS surplus FROM n WHERE n > target),
+x AS (SELECT field, surplus, row_number() OVER (ORDER BY field) AS i, count(*) OVER () AS of, least(round_even(23 * surplus / sum(surplus) OVER (), 0), surplus) AS give FROM s),
+y AS (SELECT *, 23 - coalesce(sum(give) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest FROM x)
+SELECT field AS bucket, CASE WHEN i = of THEN least(rest, surplus) ELSE least(give, rest) END::BIGINT AS extra FROM y WHERE CASE WHEN i = of THEN least(rest, surplus) ELSE least(give, rest) END > 0""")
 def _(spark, d):
-    return spark.createDataFrame(list(M.redistribute(10, [("easy", 12), ("medium", 7), ("hard", 1)]).items()), "bucket string, extra long")
+    sizes = sorted(tuple(r) for r in orders(spark, d).groupBy("field").count().collect())  # a row per field
+    over = {f: n - (2 + ord(f[0]) % 7) for f, n in sizes if n > 2 + ord(f[0]) % 7}
+    extra = {f: n for f, n in L.redistribute_shortfall(23, over).items() if n > 0}
+    return spark.createDataFrame(list(extra.items()), "bucket string, extra long")
 
 
 @_query("SMP-07", ORDERS + ", s AS (SELECT *, row_number() OVER (PARTITION BY field ORDER BY md5('3:' || id), id) AS k FROM o), q AS (SELECT field, row_number() OVER (ORDER BY field) AS i FROM (SELECT DISTINCT field FROM o)) SELECT id, field FROM s JOIN q USING (field) WHERE k <= 10 + (i <= 3)::INT")

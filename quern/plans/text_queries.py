@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quern.functions import answers as X
+from quern.functions import grading as N
 from quern.functions import markdown as MD
 from quern.functions import questions as Q
 from quern.functions import strings as S
@@ -196,8 +197,8 @@ def _(spark, d):
 
 @_query("SCR-07", PARTS + " SELECT id, CASE id % 4 WHEN 0 THEN true WHEN 3 THEN NULL ELSE false END AS same FROM p")
 def _(spark, d):
-    t = _text(spark, d, r"case id % 4 when 0 then concat('[', id, '.00, \\infty)') when 1 then concat('(', id, ',oo)') when 2 then concat('[', id + 1, ',oo)') else name end")
-    return t.select("id", X.over(X.same_interval, "boolean")(F.col("text"), F.concat(F.lit("["), F.col("id").cast("string"), F.lit(",oo)"))).alias("same"))
+    t = _text(spark, d, r"case id % 4 when 0 then concat('$\\left[', id, '.00, \\infty\\right)$') when 1 then concat('(', id, ',oo)') when 2 then concat('[', id + 1, ',oo)') else name end")
+    return t.select("id", X.over(N.interval_equal, "boolean")(F.col("text"), F.concat(F.lit("["), F.col("id").cast("string"), F.lit(",oo)"))).alias("same"))
 
 
 @_query("JSN-01", PARTS + r" SELECT id, '{\\frac \n \\alpha ' || name || ' \\sum \" \\u}' AS fixed FROM p")
