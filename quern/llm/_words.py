@@ -8,7 +8,8 @@ import json
 
 import numpy as np
 
-#: Words whose ids a Python worker remembers, and their characters in all; then the memory starts anew.
+#: Words whose ids a Python worker remembers, and their characters in all; then the memory starts anew. With the ids of two
+#: vocabularies, half as many.
 CACHE_WORDS, CACHE_CHARS = 1_000_000, 1 << 25
 #: Longer words are not remembered: their texts are encoded whole.
 LONGEST_WORD = 512
@@ -24,6 +25,7 @@ class WordIds(dict):
     #: Words that can't be encoded alone, and characters that no such word has.
     odd_words: frozenset[str] = frozenset()
     odd_chars: frozenset[str] = frozenset()
+    most_words, most_chars = CACHE_WORDS, CACHE_CHARS
 
     def __init__(self) -> None:
         super().__init__()
@@ -49,7 +51,7 @@ class WordIds(dict):
 
     def looked_up(self, texts: list[str]) -> tuple[list[list[str]], dict[str, bytes], set[str]]:
         """The words of each text, the ids of all of them, and those that can't be encoded alone."""
-        if len(self) > CACHE_WORDS or self.chars > CACHE_CHARS:
+        if len(self) > self.most_words or self.chars > self.most_chars:
             self.clear()
             self.chars = 0
         split = [self.split(t) for t in texts]
@@ -79,7 +81,7 @@ class WordIds(dict):
 def _cut(ids: np.ndarray, starts: np.ndarray) -> list[bytes]:
     """The ids from each start to the next, as bytes."""
     raw, at = ids.tobytes(), (2 * starts).tolist()
-    return [raw[a:b] for a, b in zip(at, [*at[1:], len(raw)], strict=True)]
+    return [raw[a:b] for a, b in zip(at, at[1:] + [len(raw)] * bool(at), strict=True)]
 
 
 class LowerWords(WordIds):
@@ -231,6 +233,8 @@ class Pieces(_Spaced):
 class BothIds(_Spaced):
     """Ids of the same words under a byte-level and a sentence-piece vocabulary, remembered together."""
 
+    most_words, most_chars = CACHE_WORDS // 2, CACHE_CHARS // 2
+
     def __init__(self, names: tuple[str, str]):
         super().__init__()
         self.a, self.b = BytePairs(names[0]), Pieces(names[1])

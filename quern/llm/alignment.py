@@ -164,16 +164,22 @@ def align(docs: DataFrame, tokenizers: tuple[str, str] = TOKENIZERS, id_col: str
     return rows.mapInArrow(_align(tokenizers), SCHEMA)
 
 
-def _all_links(batch: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndarray]:
-    """The links of a batch in one row, and how many each document has."""
-    parts = [x.as_buffer() for x in batch.column(column)]
-    return np.frombuffer(b"".join(parts), "<u4").astype(np.int64), np.array([len(p) // 4 for p in parts], np.int64)
+def _all_links(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of a batch of at most BATCH_BYTES of links, or of one document: the links in one row, and how many each has."""
+    sizes = [len(x.as_buffer()) for x in batch.column(column)]
+    for first, last in _slices(sizes):
+        part = batch.slice(first, last - first)
+        raw = b"".join(x.as_buffer() for x in part.column(column))
+        yield part, np.frombuffer(raw, "<u4").astype(np.int64), np.array(sizes[first:last], np.int64) // 4
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        pairs, counts = np.unique(_all_links(batch, 0)[0], return_counts=True)
-        yield pa.record_batch([pa.array(pairs), pa.array(counts.astype(np.int64))], names=["pair", "n"])
+        found = [np.unique(links, return_counts=True) for _, links, _ in _all_links(batch, 0)]
+        if found:
+            pairs, at = np.unique(np.concatenate([x[0] for x in found]), return_inverse=True)
+            counts = np.bincount(at, weights=np.concatenate([x[1] for x in found]))
+            yield pa.record_batch([pa.array(pairs), pa.array(counts.astype(np.int64))], names=["pair", "n"])
 
 
 def pair_counts(aligned: DataFrame) -> DataFrame:
@@ -187,19 +193,24 @@ def pair_counts(aligned: DataFrame) -> DataFrame:
 
 def _looked_up(head):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words_of.cache_clear()  # a worker that tokenized before holds words that no one asks for any more
         pairs, n, best = head.value
         for batch in batches:
-            links, sizes = _all_links(batch, 1)
-            at = np.minimum(np.searchsorted(pairs, links), max(len(pairs) - 1, 0))
-            known = pairs[at] == links if len(pairs) else np.zeros(len(links), bool)
-            upto = np.cumsum(sizes)
-            sums = []
-            for values in (np.where(known, best[at], 0), np.where(known, n[at], 0)) if len(pairs) else (np.zeros(len(links)),) * 2:
-                sums.append(np.diff(np.concatenate([[0], np.cumsum(values)])[upto], prepend=0).astype(np.int64))
-            rest = np.diff(np.concatenate([[0], np.cumsum(~known)])[upto], prepend=0)
-            offsets = np.concatenate([[0], np.cumsum(rest)]).astype(np.int32)
-            rare = pa.ListArray.from_arrays(pa.array(offsets), pa.array(links[~known]))
-            yield pa.record_batch([batch.column(0), pa.array(sums[0]), pa.array(sums[1]), rare], names=["row", "n_best", "count_sum", "rare"])
+            for part, links, sizes in _all_links(batch, 1):
+                upto = np.cumsum(sizes)
+
+                def per_document(values: np.ndarray, upto: np.ndarray = upto) -> np.ndarray:
+                    return np.diff(np.concatenate([[0], np.cumsum(values)])[upto], prepend=0).astype(np.int64)
+
+                if len(pairs):
+                    at = np.minimum(np.searchsorted(pairs, links), len(pairs) - 1)
+                    known = pairs[at] == links
+                    sums = per_document(known & best[at]), per_document(np.where(known, n[at], 0))
+                else:
+                    known, sums = np.zeros(len(links), bool), (np.zeros(len(sizes), np.int64),) * 2
+                offsets = np.concatenate([[0], np.cumsum(per_document(~known))]).astype(np.int32)
+                rare = pa.ListArray.from_arrays(pa.array(offsets), pa.array(links[~known]))
+                yield pa.record_batch([part.column(0), pa.array(sums[0]), pa.array(sums[1]), rare], names=["row", "n_best", "count_sum", "rare"])
 
     return run
 
