@@ -6,8 +6,9 @@ record costs one ranged read and one frame. Records with equal payloads of LEAST
 response, that with the largest page id; the others are revisits without a payload. Two-pass Bloom filtering finds
 payloads that may repeat; only their rows shuffle.
 
-Bundles are written to the shared folder under a temporary name and then moved, so a task that runs again leaves the
-same file. Their names and the index are a table, whose write is the commit.
+Bundles are written to the shared folder under a name of the task's attempt, first a temporary one, and then moved. The
+index is a table, whose write is the commit: bundles of attempts that it doesn't name are no part of the archive. Responses
+are written before revisits, which so know the record they refer to.
 
 Defined cases: null html is an empty payload; a null url is written as an empty target; rows with a null page id are
 responses (or revisits of a row that has one) and read back with a null id; rows that repeat the largest page id of
@@ -19,6 +20,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+import urllib.parse
 import uuid
 from collections.abc import Iterator
 
@@ -49,11 +51,13 @@ def record_id(page_id: int | None, digest: str, place: str = "") -> str:
     return uuid.UUID(hashlib.md5(f"{page_id}:{digest}:{place}".encode()).hexdigest()).urn
 
 
-def render(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, place: str = "") -> bytes:
-    """One WARC/1.1 record."""
-    target = "".join(c if c.isprintable() and not c.isspace() else f"%{ord(c):02X}" for c in url or "")
-    revisit = refers_to is not None
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+def render(page_id: int | None, url: str | None, payload: bytes | int, digest: str, place: str = "", refers_to: int | None = None, refers_id: str | None = None) -> bytes:
+    """One WARC/1.1 record: a response with its payload, or a revisit, which knows the size of its payload, with the page and
+    the record id of the response."""
+    target = "".join(c if c.isprintable() and not c.isspace() else urllib.parse.quote(c, safe="") for c in url or "")
+    revisit = refers_id is not None
+    size = payload if isinstance(payload, int) else len(payload)
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http if revisit else http + payload
     head = [
         "WARC/1.1",
@@ -69,7 +73,7 @@ def render(page_id: int | None, url: str | None, payload: bytes, digest: str, re
         head.append(f"X-Page-ID: {page_id}")
     if revisit:
         head.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
-        head.append(f"WARC-Refers-To: <{record_id(refers_to, digest)}>")
+        head.append(f"WARC-Refers-To: <{refers_id}>")
         head.append(f"X-Refers-To-Page-ID: {refers_to}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -145,24 +149,32 @@ class BundleReader:
         return parse(self.frame(frame), offset)[:2]
 
 
+INDEX = "record_id string, bundle string, frame long, offset long, digest string, grouped boolean"
+
+
 def _write(folder: str):
+    """Writes the rows of a task to bundles of its own. A name holds a number of the attempt, so that one that runs again or
+    beside another never touches a bundle of which the index was taken; the index that Spark commits says which count."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bundle, number, count = None, 0, 0
+        bundle, number, count, attempt = None, 0, 0, uuid.uuid4().hex
+        names = [x.split()[0] for x in INDEX.split(", ")]
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
                 rows, out = batch.slice(first, 256).to_pylist(), []
                 for r in rows:
-                    place = f"{r['part']}/{count}"
+                    place = f"{attempt}/{count}"
                     count += 1
                     if bundle is None:
-                        bundle = _Bundle(f"{folder}/bundle-{r['part']:06d}-{number:04d}.warc.zst")
+                        bundle = _Bundle(f"{folder}/bundle-{r['part']:06d}-{number:04d}-{attempt}.warc.zst")
                         number += 1
-                    frame, offset = bundle.add(render(r["page_id"], r["url"], r["payload"], r["digest"], r["refers_to"], place))
-                    out.append((record_id(r["page_id"], r["digest"], place), bundle.uri, frame, offset))
+                    payload = r["payload"] if r["refers_id"] is None else r["size"]
+                    frame, offset = bundle.add(render(r["page_id"], r["url"], payload, r["digest"], place, r["refers_to"], r["refers_id"]))
+                    out.append((record_id(r["page_id"], r["digest"], place), bundle.uri, frame, offset, r["digest"], r["grouped"]))
                     if bundle.size >= BUNDLE_BYTES:
                         bundle.close()
                         bundle = None
-                yield pa.record_batch([pa.array(c) for c in zip(*out, strict=True)], names=["record_id", "bundle", "frame", "offset"])
+                yield pa.record_batch([pa.array(c) for c in zip(*out, strict=True)], names=names)
         if bundle is not None:
             bundle.close()
 
@@ -170,7 +182,8 @@ def _write(folder: str):
 
 
 def with_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(page_id, url, payload, digest, refers_to), refers_to being null for responses."""
+    """(page_id, url, payload, digest, refers_to, grouped): refers_to is null for responses, and grouped says whether another
+    page has the same payload."""
     payload = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload")).withColumn("long_enough", F.octet_length("payload") >= LEAST_REVISIT)
@@ -186,16 +199,31 @@ def with_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     )
     flagged = bloom_flag(rows, "digest", bloom, "maybe").withColumn("maybe", F.col("maybe") & F.col("long_enough"))
     columns = ["page_id", "url", "payload", "digest"]
-    sure = flagged.where("not maybe").select(*columns, F.lit(None).cast("long").alias("refers_to"))
+    sure = flagged.where("not maybe").select(*columns, F.lit(None).cast("long").alias("refers_to"), F.lit(False).alias("grouped"))
     met = attach(flagged.where("maybe").select(*columns), groups, "digest", "size", F.col("page_id"), keys.count())
     refers = F.when(F.coalesce(F.col("page_id") != F.col("response"), F.lit(True)), F.col("response"))
-    return sure.unionByName(met.select(*columns, refers.alias("refers_to")))
+    return sure.unionByName(met.select(*columns, refers.alias("refers_to"), F.col("response").isNotNull().alias("grouped")))
 
 
 def write_bundles(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Write the archive; the index comes back as (record_id, bundle, frame, offset)."""
-    rows = with_revisits(pages, id_col, url_col, html_col).withColumn("part", F.spark_partition_id())
-    return materialise(rows.mapInArrow(_write(folder), "record_id string, bundle string, frame long, offset long"), "warc-index")
+    """Write the archive; the index comes back as (record_id, bundle, frame, offset).
+
+    Responses are written first. Their ids are known from the index, so each revisit names the record that holds its payload;
+    of several responses with one payload and page, the least id.
+    """
+    rows = with_revisits(pages, id_col, url_col, html_col)
+    part = F.spark_partition_id().alias("part")
+    none = F.lit(None).cast("string").alias("refers_id")
+    first = rows.where("refers_to is null").select("page_id", "url", "payload", F.lit(0).alias("size"), "digest", "refers_to", "grouped", none, part)
+    index = materialise(first.mapInArrow(_write(folder), INDEX), "warc-responses")
+    held = index.where("grouped").groupBy("digest").agg(F.min("record_id").alias("refers_id"))
+    again = rows.where("refers_to is not null").select("page_id", "url", F.octet_length("payload").alias("size"), "digest", "refers_to", "grouped")
+    again = materialise(again, "warc-revisits")
+    groups = again.groupBy("digest").agg(F.count(F.lit(1)).alias("rows")).join(held, "digest")
+    named = attach(again, groups, "digest", "rows", F.col("page_id"), again.count())
+    second = named.select("page_id", "url", F.lit(None).cast("binary").alias("payload"), "size", "digest", "refers_to", "grouped", "refers_id", part)
+    revisits = materialise(second.mapInArrow(_write(folder), INDEX), "warc-index")
+    return index.unionByName(revisits).select("record_id", "bundle", "frame", "offset")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -144,3 +144,50 @@ def test_pipeline(spark, tmp_path):
     assert whole.agg(F.sum("length")).first()[0] == sum(r["length"] for r in packed)
     places = sorted((r["sequence_id"], r["offset"], r["length"]) for r in packed)
     assert all(a[1] + a[2] == b[1] if a[0] == b[0] else b[1] == 0 for a, b in zip(places, places[1:]))
+
+
+def test_revisits_name_the_record_that_holds_their_payload(spark):
+    """By the standard's headers alone: a revisit's WARC-Refers-To is in the index, and its record has the payload."""
+    long, other = _text(7, 300), _text(8, 300)
+    rows = [(i, f"http://x/{i}", long) for i in range(7)] + [(6, "http://x/again", long), (None, "u", long), (20, "v", other), (21, None, other), (22, "w", "short"), (23, "w", "short")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    index = {r.record_id: r for r in warc.write_bundles(pages, warc.scratch_path(spark, "warc-test")).collect()}
+    records = {k: warc.BundleReader(r.bundle).record(r.frame, r.offset) for k, r in index.items()}
+    revisits = [h for h, _ in records.values() if h["WARC-Type"] == "revisit"]
+    assert len(records) == len(rows) and len(revisits) == 8
+    for headers in revisits:
+        to, block = records[headers["WARC-Refers-To"].strip("<>")]
+        assert to["WARC-Type"] == "response" and to["WARC-Payload-Digest"] == headers["WARC-Payload-Digest"] and to["X-Page-ID"] == headers["X-Refers-To-Page-ID"]
+        payload = block.partition(b"\r\n\r\n")[2]
+        assert warc.base64.b32encode(warc.hashlib.sha1(payload).digest()).decode() == headers["WARC-Payload-Digest"][5:]
+
+
+def test_bundles_of_another_attempt_are_left_alone(spark):
+    pages = spark.createDataFrame([(1, "u", "a"), (2, "v", "b")], "page_id long, url string, html string").coalesce(1)
+    folder = warc.scratch_path(spark, "warc-test")
+    first, second = warc.write_bundles(pages, folder), warc.write_bundles(pages.orderBy(F.desc("page_id")), folder)
+    for index in (first, second):
+        assert {(r.page_id, r.payload_bytes) for r in warc.read_bundles(index).collect()} == {(1, 1), (2, 1)}
+    assert first.select("bundle").intersect(second.select("bundle")).count() == 0
+
+
+def test_targets_are_percent_encoded(spark):
+    record = warc.render(1, "http://x/a b é", b"", "00" * 20)
+    assert "WARC-Target-URI: http://x/a%20b%E2%80%A8é" in record.decode()
+
+
+def test_near_sets_without_an_id(spark):
+    """A row with a null id, or one that is no whole number, has its set's size, no component, and stays."""
+    rows = [(1, _text(9, 20)), (None, _text(9, 20)), (None, None), (2, _text(9, 20))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_dedup(docs).collect())
+    assert got == [(0, 0, None, True), (0, 16, None, True), (1, 16, 1, True), (2, 16, 1, False)]
+    named = docs.selectExpr("coalesce(cast(doc_id AS string), 'none') AS doc_id", "text")
+    assert sorted((r.doc_id, r.n_shingles, r.kept) for r in near_dedup.near_dedup(named).collect()) == [("1", 16, True), ("2", 16, False), ("none", 0, True), ("none", 16, True)]
+
+
+def test_near_query_without_an_id(spark, tmp_path):
+    rows = [(1, _text(9, 20)), (None, _text(9, 24)), (None, " ")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.op9_near_dedup(spark, str(tmp_path)).collect()}
+    assert got == {(1, 16, 1, True), (None, 20, None, True), (None, 0, None, True)}
