@@ -202,8 +202,8 @@ def _ordered(x: str, y: str) -> list:
 
 
 def near_components(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component) for the rows of ``docs`` that have an id."""
-    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).where("id is not null")
+    """(id, n_shingles, component) for the rows of ``docs`` that have a whole number as id."""
+    texts = docs.select(F.col(f"`{id_col}`").try_cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).where("id is not null")
     sketches = materialise(
         texts.mapInArrow(_sketches, "id long, n long, set_key binary, regs binary"), "near-sketches"
     )
@@ -364,10 +364,20 @@ def _cross_pairs(able: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     return side("a").join(side("b"), ["key"]).where(near).select(*_ordered("rep_a", "rep_b"))
 
 
+def set_sizes(rows: DataFrame, row: str, text: str) -> DataFrame:
+    """(row, n) of numbered texts: how many shingles each has."""
+    counted = rows.select(F.col(row).alias("id"), F.col(f"`{text}`").alias("text")).mapInArrow(_sketches, "id long, n long, set_key binary, regs binary")
+    return counted.select(F.col("id").alias(row), "n")
+
+
 def near_dedup(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with n_shingles, component_id and kept added."""
+    """``docs`` with n_shingles, component_id and kept added. Rows without a whole number as id have a set, but no component."""
     found = materialise(near_components(docs, percent, id_col, text_col).dropDuplicates(["id"]), "near-result")
-    rows = packed(docs, key=F.col(f"`{id_col}`").cast("long")).join(found, F.col("key") == F.col("id"), "left")
+    keyed = packed(docs, key=F.col(f"`{id_col}`").try_cast("long"), text=F.col(f"`{text_col}`"))
+    known = keyed.where("key is not null").join(found, F.col("key") == F.col("id"), "left")
+    none = materialise(keyed.where("key is null").withColumn("row", F.monotonically_increasing_id()), "near-no-id")
+    sized = none.join(set_sizes(none, "row", "text"), "row").select(*keyed.columns, F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component"))
+    rows = known.select(*keyed.columns, "n_shingles", "component").unionByName(sized)
     return rows.select(
         *unpacked(
             docs,
@@ -388,7 +398,9 @@ def keep_one(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_co
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = near_components(docs, 85)
-    none = docs.where("doc_id is null").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
+    null = F.lit(None).cast("long")
+    sizes = set_sizes(docs.where("doc_id is null").withColumn("row", F.monotonically_increasing_id()), "row", "text")
+    none = sizes.select(null.alias("doc_id"), F.col("n").alias("n_shingles"), null.alias("component_id"), F.lit(True).alias("kept"))
     return found.select(
         F.col("id").alias("doc_id"),
         "n_shingles",
