@@ -166,3 +166,26 @@ def noninformative(problem: Column, answer: Column) -> Column:
     inside = (F.length(a) >= 12) & F.contains(q, a)
     restated = (q != "") & F.contains(a, q) & (F.length(a) - F.length(q) < 30)
     return (a == "") | (a == q) | inside | restated
+
+
+def search_score(text: Column, truths: Column, format_score: float = 0.0, score: float = 1.0, most_tags: int = 10) -> Column:
+    """The score of the last answer block that is one of the truths in squad form, a quarter of it if there are more than
+    ``most_tags`` opening or closing tags; ``format_score`` for another block, 0 without any."""
+    answer = last_answer_block(text)
+    right = F.exists(truths, lambda t: squad(t) == squad(answer))
+    tags = F.greatest(*[F.regexp_count(text, F.lit(x)) for x in ("<answer>", "</answer>")])
+    return F.when(answer.isNull(), 0.0).when(~right, format_score).when(tags > most_tags, score / 4).otherwise(score)
+
+
+def without_tool_calls(text: Column) -> Column:
+    """The text without its <tool_call> blocks, whatever they hold."""
+    return F.regexp_replace(text, r"(?s)<tool_call>(.*?)</tool_call>", "")
+
+
+def seed_examples(questions: Column) -> Column:
+    """Numbered examples of an array of (question_text, choices, ground_truth), with letters before the choices."""
+    choice = lambda c, j: F.concat(F.lit("  "), F.char(F.lit(65) + j), F.lit(") "), c)
+    shown = lambda q, i: F.concat(
+        F.lit("Example "), (i + 1).cast("string"), F.lit(":\nQuestion: "), q["question_text"], F.lit("\nChoices:\n"), F.array_join(F.transform(q["choices"], choice), "\n"), F.lit("\nAnswer: "), q["ground_truth"]
+    )
+    return F.array_join(F.transform(questions, shown), "\n\n")

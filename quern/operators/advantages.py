@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.operators.order_stats import quantiles
@@ -37,22 +36,25 @@ def estimate(name: str, df: DataFrame, **options) -> DataFrame:
     return ESTIMATORS[name](df, **options)
 
 
-def _over(group: str):
-    return W.partitionBy(group)
+def _grouped(df: DataFrame, group: str, **figures: Column) -> DataFrame:
+    """The rows with figures of their group: partial sums and a join, so that no task has to hold a group, however large.
 
+    Rows without a group are one group.
+    """
+    per = df.groupBy(F.col(group).alias("_group")).agg(*[c.alias(name) for name, c in figures.items()])
+    return df.join(per, F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
 
-def _deviation(score: str, group: str) -> tuple[Column, Column]:
+
+def _mean_std(score: str, mean: str = "_mean", std: str = "_std") -> dict[str, Column]:
     """Mean and sample deviation of a group; (0, 1) for a single row."""
-    w = _over(group)
-    single = F.count(score).over(w) == 1
-    return F.when(single, 0.0).otherwise(F.avg(score).over(w)), F.when(single, 1.0).otherwise(F.stddev_samp(score).over(w))
+    single = F.count(score) == 1
+    return {mean: F.when(single, 0.0).otherwise(F.avg(score)), std: F.when(single, 1.0).otherwise(F.stddev_samp(score))}
 
 
 @estimator("grpo")
 def grpo(df: DataFrame, score: str = "score", group: str = "group", mode: str = "group_std") -> DataFrame:
     """(score - mean) / (deviation + eps). mode: group_std, batch_std, hybrid_std (mean of nonzero group deviations), none."""
-    mean, std = _deviation(score, group)
-    staged = df.withColumns({"_mean": mean, "_std": std})
+    staged = _grouped(df, group, **_mean_std(score))
     if mode == "group_std":
         scale = F.col("_std") + EPSILON
     elif mode == "none":
@@ -72,64 +74,59 @@ def grpo(df: DataFrame, score: str = "score", group: str = "group", mode: str =
 @estimator("grpo_vectorized")
 def grpo_vectorized(df: DataFrame, score: str = "score", group: str = "group") -> DataFrame:
     """As grpo, from sums and sums of squares, with the variance floored at eps; a single row has (0, 1)."""
-    w = _over(group)
-    n, s, q = F.count(score).over(w), F.sum(score).over(w), F.sum(F.col(score) * F.col(score)).over(w)
+    staged = _grouped(df, group, _n=F.count(score), _s=F.sum(score), _q=F.sum(F.col(score) * F.col(score)))
+    n, s, q = F.col("_n"), F.col("_s"), F.col("_q")
     variance = F.greatest((q - s * s / n) / (n - 1), F.lit(EPSILON))
     value = F.when(n == 1, F.col(score) / (1 + EPSILON)).otherwise((F.col(score) - s / n) / (F.sqrt(variance) + EPSILON))
-    return df.withColumn("advantage", value)
+    return staged.select(*df.columns, value.alias("advantage"))
 
 
 @estimator("grpo_passk")
 def grpo_passk(df: DataFrame, score: str = "score", group: str = "group", order: str = "row_idx") -> DataFrame:
     """Only a group's best row (the first by ``order`` among equals) gets (best - second) / (deviation + eps)."""
-    ranked = W.partitionBy(group).orderBy(F.desc(score), order)
-    gap = F.col(score) - F.lead(score).over(ranked)
-    std = F.stddev_samp(score).over(_over(group))
-    first = F.row_number().over(ranked) == 1
-    return df.withColumn("advantage", F.when(first, F.coalesce(gap / (std + EPSILON), F.lit(0.0))).otherwise(0.0))
+    best = _grouped(df, group, _first=F.min_by(order, F.struct(-F.col(score), order)), _std=F.stddev_samp(score))
+    first = F.col(order) == F.col("_first")
+    second = best.where(~first).groupBy(F.col(group).alias("_group")).agg(F.max(score).alias("_second"))
+    both = best.join(second, F.col(group).eqNullSafe(F.col("_group")), "left")
+    gap = (F.col(score) - F.col("_second")) / (F.col("_std") + EPSILON)
+    return both.select(*df.columns, F.when(first, F.coalesce(gap, F.lit(0.0))).otherwise(0.0).alias("advantage"))
 
 
 @estimator("rloo")
 def rloo(df: DataFrame, score: str = "score", group: str = "group") -> DataFrame:
     """Score less the mean of the others: (score - mean) n / (n - 1); a single row keeps its score."""
-    w = _over(group)
-    n = F.count(score).over(w)
-    rest = (F.sum(score).over(w) - F.col(score)) / F.nullif(n - 1, F.lit(0))
-    return df.withColumn("advantage", F.col(score) - F.coalesce(rest, F.lit(0.0)))
+    staged = _grouped(df, group, _n=F.count(score), _s=F.sum(score))
+    rest = (F.col("_s") - F.col(score)) / F.nullif(F.col("_n") - 1, F.lit(0))
+    return staged.select(*df.columns, (F.col(score) - F.coalesce(rest, F.lit(0.0))).alias("advantage"))
 
 
 @estimator("rloo_vectorized")
 def rloo_vectorized(df: DataFrame, score: str = "score", group: str = "group") -> DataFrame:
     """As rloo, but a single row gets 0."""
-    w = _over(group)
-    n = F.count(score).over(w)
-    return df.withColumn(
-        "advantage", F.when(n > 1, (n * F.col(score) - F.sum(score).over(w)) / F.nullif(n - 1, F.lit(0))).otherwise(0.0)
-    )
+    staged, n = _grouped(df, group, _n=F.count(score), _s=F.sum(score)), F.col("_n")
+    value = F.when(n > 1, (n * F.col(score) - F.col("_s")) / F.nullif(n - 1, F.lit(0))).otherwise(0.0)
+    return staged.select(*df.columns, value.alias("advantage"))
 
 
 @estimator("opo")
 def opo(df: DataFrame, score: str = "score", group: str = "group", length: str = "length") -> DataFrame:
     """Score less the length-weighted mean of the group; a single row keeps its score."""
-    w = _over(group)
-    base = F.sum(F.col(length) * F.col(score)).over(w) / F.sum(length).over(w)
-    return df.withColumn("advantage", F.col(score) - F.when(F.count(score).over(w) == 1, 0.0).otherwise(base))
+    staged = _grouped(df, group, _n=F.count(score), _base=F.sum(F.col(length) * F.col(score)) / F.sum(length))
+    return staged.select(*df.columns, (F.col(score) - F.when(F.col("_n") == 1, 0.0).otherwise(F.col("_base"))).alias("advantage"))
 
 
 @estimator("gpg")
 def gpg(df: DataFrame, score: str = "score", group: str = "group", f_norm: float = 1.0) -> DataFrame:
     """alpha (score - mean) / f_norm, alpha being rows over rows with a nonzero score (1 at least)."""
     total = df.agg((F.count(score) / F.greatest(F.lit(1), F.count_if(F.col(score) != 0))).alias("_alpha"))
-    mean, _ = _deviation(score, group)
-    staged = df.withColumn("_mean", mean).join(F.broadcast(total))  # one row
+    staged = _grouped(df, group, **_mean_std(score)).join(F.broadcast(total))  # one row
     return staged.select(*df.columns, (F.col("_alpha") * (F.col(score) - F.col("_mean")) / f_norm).alias("advantage"))
 
 
 @estimator("reinforce_plus_plus_baseline")
 def reinforce_baseline(df: DataFrame, score: str = "score", group: str = "group", length: str = "length") -> DataFrame:
     """Score less the group mean, whitened over all valid tokens: each row counts with its length."""
-    mean, _ = _deviation(score, group)
-    staged = df.withColumn("_x", F.col(score) - mean)
+    staged = _grouped(df, group, **_mean_std(score)).withColumn("_x", F.col(score) - F.col("_mean"))
     return _whiten(staged, F.col("_x"), F.col(length)).select(*df.columns, F.col("_white").alias("advantage"))
 
 
@@ -224,13 +221,23 @@ def quantise(df: DataFrame, score: str, mode: str) -> DataFrame:
 
 def decoupled(df: DataFrame, scores: dict[str, float], group: str = "group") -> DataFrame:
     """Each component normalised per group as grpo, weighted, summed, and standardised over the batch."""
-    total = F.lit(0.0)
-    staged = df
+    total, figures = F.lit(0.0), {}
     for i, (name, weight) in enumerate(scores.items()):
-        mean, std = _deviation(name, group)
-        staged = staged.withColumn(f"_a{i}", (F.col(name) - mean) / (std + EPSILON))
-        total = total + weight * F.col(f"_a{i}")
-    staged = staged.withColumn("_sum", total)
+        figures |= _mean_std(name, f"_mean{i}", f"_std{i}")
+        total = total + weight * ((F.col(name) - F.col(f"_mean{i}")) / (F.col(f"_std{i}") + EPSILON))
+    staged = _grouped(df, group, **figures).withColumn("_sum", total)
     batch = staged.agg(F.avg("_sum").alias("_m"), F.coalesce(F.stddev_samp("_sum"), F.lit(0.0)).alias("_s"))
     joined = staged.join(F.broadcast(batch))  # one row
     return joined.select(*df.columns, ((F.col("_sum") - F.col("_m")) / (F.col("_s") + 1e-8)).alias("advantage"))
+
+
+def reinforce_plus_plus(df: DataFrame, key: str, rewards: str, mask: str, gamma: float) -> DataFrame:
+    """A row per token: key, pos from 0, advantage (the return whitened over all tokens with mask 1, and 0 elsewhere), returns."""
+    zipped = F.arrays_zip(discounted_returns(F.col(rewards), F.col(mask), gamma).alias("x"), F.col(mask).alias("m"))
+    tokens = df.select(key, F.posexplode(zipped).alias("pos", "t")).select(key, "pos", F.col("t.x").alias("x"), F.col("t.m").alias("m"))
+    return _whiten(tokens, F.col("x"), F.col("m")).select(key, "pos", (F.col("_white") * F.col("m")).alias("advantage"), F.col("x").alias("returns"))
+
+
+def remax(rewards: Column, baseline: Column, mask: Column) -> Column:
+    """Per token, the rewards from there on, less a baseline where the mask is 1."""
+    return F.zip_with(suffix_sums(rewards, mask), mask, lambda x, m: x - baseline * m)

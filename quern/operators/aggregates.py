@@ -158,3 +158,18 @@ def sub_summaries(df: DataFrame, group: str, score: str) -> DataFrame:
     each = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.avg(score).alias("mean"))
     several = each.agg(F.count(F.lit(1)).alias("_groups"))  # one row
     return each.join(F.broadcast(several), F.col("_groups") > 1).drop("_groups")
+
+
+def pass_ladders(df: DataFrame, group: str, score: str, top: int) -> DataFrame:
+    """(k, strict, lenient) for k = 1, 2, 4, ... up to ``top``: means of pass@k over questions, an answer without a score being
+    wrong, or none."""
+    q = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.count(score).alias("v"), F.count_if(F.col(score) > 0).alias("c"))
+    strict, lenient = (pass_ladder(q, n, "c", top).withColumnRenamed("pass_at_k", name) for n, name in (("n", "strict"), ("v", "lenient")))
+    return strict.join(lenient, "k")
+
+
+def flag_shares(df: DataFrame, cls: str, flag: str) -> DataFrame:
+    """Per class and for all: the share of rows with a flag, and their number."""
+    per = df.groupBy(cls).agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col(flag)).alias("count"))
+    every = per.agg(F.sum("_n").alias("_n"), F.sum("count").alias("count")).select(F.lit("all").alias(cls), "_n", "count")
+    return per.unionByName(every).select(cls, F.coalesce(F.try_divide("count", "_n"), F.lit(0.0)).alias("share"), "count")

@@ -129,3 +129,43 @@ def first_eos_mask(ids: Column, eos: list[int]) -> Column:
     ends = F.filter(F.transform(ids, lambda x, i: F.when(x.isin(eos), i)), lambda i: i.isNotNull())
     first = F.array_min(ends)
     return F.transform(ids, lambda x, i: F.when(first.isNull() | (i <= first), 1).otherwise(0))
+
+
+def masked(df: DataFrame, keep: Column, index: str = "row_idx") -> DataFrame:
+    """The rows that a mask keeps, in their order, numbered anew."""
+    from quern.operators.sampling import number_rows
+
+    kept = number_rows(df.where(keep).withColumnRenamed(index, "_old"), ["_old"], index)
+    return kept.select(*df.columns)
+
+
+def unfold(df: DataFrame, column: str, size: int, batch: str = "batch_idx", index: str = "row_idx") -> DataFrame:
+    """A row for each value of arrays that ``fold`` made of ``size`` rows each."""
+    rest = [c for c in df.columns if c not in (batch, column)]
+    many = df.select(batch, *rest, F.posexplode(column).alias("_k", column))
+    return many.select((F.col(batch) * size + F.col("_k")).cast("long").alias(index), *rest, column)
+
+
+def left_right(prompt: Column, response: Column, prompt_length: int, response_length: int, pad: int) -> Column:
+    """(ids, mask): the end of a prompt padded on the left, and the beginning of a response padded on the right."""
+    ones = lambda x: F.transform(x, lambda _: F.lit(1))
+    both = lambda a, b, filler: F.concat(pad_sequence(a, prompt_length, filler, left=True, truncation="left"), pad_sequence(b, response_length, filler))
+    return F.struct(both(prompt, response, pad).alias("ids"), both(ones(prompt), ones(response), 0).alias("mask"))
+
+
+def response_mask(mask: Column, responses: Column) -> Column:
+    """The part of an attention mask that belongs to the response, which stands last."""
+    n = F.size(responses)
+    return F.slice(mask, F.greatest(F.size(mask) - n, F.lit(0)) + 1, n)
+
+
+def collate(df: DataFrame, batch: str, index: str, ragged: list[str], plain: list[str] | None = None) -> DataFrame:
+    """A row a batch: sequences of any length one after another, ``offsets`` (from 0) where each begins and the last ends, and
+    further columns as lists. A batch must fit a row; the sequences of a row are equally long."""
+    plain = plain or []
+    rows = F.sort_array(F.collect_list(F.struct(index, *ragged, *plain)))
+    listed = df.groupBy(batch).agg(rows.alias("_rows"))
+    sizes = F.transform("_rows", lambda r: F.size(r[ragged[0]]))
+    upto = F.aggregate(sizes, F.array(F.lit(0).cast("long")), lambda a, n: F.array_append(a, F.element_at(a, -1) + n))
+    field = lambda name: F.transform("_rows", lambda r: r[name])
+    return listed.select(batch, *[F.flatten(field(c)).alias(c) for c in ragged], upto.alias("offsets"), *[field(c).alias(c) for c in plain])

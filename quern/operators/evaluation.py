@@ -181,3 +181,28 @@ def distributions(df: DataFrame, columns: list[str]) -> DataFrame:
         stats = df.agg(F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"), F.any_value(F.lit(quantiles(df, F.col(c), [0.5])[0])).alias("median"))
         parts.append(long_form(stats).select(F.lit(c).alias("name"), "metric", F.coalesce("value", F.lit(0.0)).alias("value")))
     return reduce(DataFrame.unionByName, parts)
+
+
+def sub_evaluations(df: DataFrame, part: str, group: str, score: str, samples: int) -> DataFrame:
+    """(part, metric, value) per sub-benchmark: counts, strict and lenient accuracy and pass@k; nothing if there is one at most."""
+    q = df.groupBy(part, group).agg(F.count(F.lit(1)).alias("n"), F.count(score).alias("valid"), F.count_if(F.col(score) > 0).alias("right"))
+    total, valid, right = F.sum("n"), F.sum("valid"), F.sum("right")
+    counts = {
+        "total_questions": F.count(F.lit(1)), "total_answers": total, "valid_answers": valid, "correct_answers": right,
+        "accuracy_strict": _share(right, total), "accuracy_lenient": _share(right, valid),
+    }
+    for k in ladder(samples):
+        counts[f"pass_at_{k}_strict"] = F.avg(pass_at_k(F.col("n"), F.col("right"), k))
+        counts[f"pass_at_{k}_lenient"] = F.avg(pass_at_k(F.col("valid"), F.col("right"), k))
+    each = q.groupBy(part).agg(*[v.alias(k) for k, v in counts.items()])
+    several = each.agg(F.count(F.lit(1)).alias("_parts"))  # one row
+    return long_form(each.join(F.broadcast(several), F.col("_parts") > 1).drop("_parts"), (part,))
+
+
+def question_lengths(df: DataFrame, choices: str, text: str, mask: str) -> DataFrame:
+    """(name, metric, value): distributions of the number of choices, the characters of a question and the tokens of a response."""
+    tokens = F.aggregate(mask, F.lit(0).cast("long"), lambda a, x: a + x)
+    lengths = df.select(
+        F.coalesce(F.size(choices), F.lit(0)).alias("num_choices"), F.length(F.coalesce(text, F.lit(""))).alias("question_char_len"), tokens.alias("response_length_tokens")
+    )
+    return distributions(lengths, lengths.columns)

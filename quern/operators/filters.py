@@ -19,10 +19,9 @@ def hash_order(seed: int | str, *parts: Column) -> Column:
 
 def drop_zero_variance(df: DataFrame, group: str, score: str, keep_single: bool) -> DataFrame:
     """Groups whose scores are all equal go; a group of one is kept or not, as the caller says."""
-    w = W.partitionBy(group)
-    staged = df.withColumns({"_n": F.count(F.lit(1)).over(w), "_lo": F.min(score).over(w), "_hi": F.max(score).over(w)})
-    kept = staged.where((F.col("_lo") != F.col("_hi")) | (F.lit(keep_single) & (F.col("_n") == 1)))
-    return kept.select(*df.columns)
+    spread = F.coalesce(F.min(score) != F.max(score), F.lit(False)) | (F.lit(keep_single) & (F.count(F.lit(1)) == 1))
+    kept = df.groupBy(F.col(group).alias("_group")).agg(spread.alias("_kept")).where("_kept")
+    return df.join(kept.select("_group"), F.col(group).eqNullSafe(F.col("_group")), "left_semi")
 
 
 def top_alpha(df: DataFrame, alpha: float, total: int, value: str, tie: str) -> DataFrame:

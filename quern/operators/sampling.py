@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -99,33 +98,6 @@ def subsample(df: DataFrame, key: str, size: int, seed: int) -> DataFrame:
     return first_rows(df, _hashed(seed, key), size)
 
 
-def greedy_partition(lengths: list[int], parts: int, equal_size: bool) -> list[list[int]]:
-    """Each item in turn to the part with the least sum; with equal sizes, a part gets no second item before all have one."""
-    heap = [(0, 0, k) for k in range(parts)]
-    out: list[list[int]] = [[] for _ in range(parts)]
-    for i, n in enumerate(lengths):
-        count, total, k = heapq.heappop(heap)
-        out[k].append(i)
-        heapq.heappush(heap, (count + equal_size, total + n, k))
-    return out
-
-
-def largest_differencing(lengths: list[int], parts: int) -> list[list[int]]:
-    """Parts of nearly equal sums: the two states with the largest spread merge, big sets to small ones, until one is left."""
-    heap = []
-    for i, n in sorted(enumerate(lengths), key=lambda x: (x[1], x[0])):
-        state = [(n, [i])] + [(0, []) for _ in range(parts - 1)]
-        heapq.heappush(heap, (-n, len(heap), state))
-    serial = len(heap)
-    while len(heap) > 1:
-        first, second = heapq.heappop(heap)[2], heapq.heappop(heap)[2]
-        merged = [(a[0] + b[0], a[1] + b[1]) for a, b in zip(first, reversed(second), strict=True)]
-        merged.sort(key=lambda s: (-s[0], s[1]))
-        heapq.heappush(heap, (merged[-1][0] - merged[0][0], serial, merged))
-        serial += 1
-    return [sorted(items) for _, items in heap[0][2]] if heap else [[] for _ in range(parts)]
-
-
 def balance_report(assigned: DataFrame, part: str, length: str) -> DataFrame:
     """One row: least, largest and mean sum of the parts, and their spread."""
     sums = assigned.groupBy(part).agg(F.sum(length).alias("s"))

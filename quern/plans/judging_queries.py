@@ -11,6 +11,8 @@ from quern.operators import advantages as A
 from quern.operators import batch as B
 from quern.operators import judging as J
 from quern.operators import registries as R
+from quern.operators import resampling as BS
+from quern.operators import vector_index as VI
 from quern.plans.data_queries import _query
 from quern.plans.queries import ROLLOUTS, rollouts
 from quern.plans.text_queries import PARTS, _text, parts
@@ -131,6 +133,13 @@ def _(spark, d):
     return J.nearest(e, e.where("vec_id % 100 = 0"), "vec_id", "embedding", 5)
 
 
+@_query("JN-14-index", None)
+def _(spark, d):
+    e = spark.read.parquet(f"{d}/embeddings.parquet")
+    index, fitted = VI.build(e, "vec_id", "embedding", 5)
+    return VI.search(index, fitted, e.where("vec_id % 100 = 0"), "vec_id", "embedding", 5)
+
+
 @_query("JN-14-text", PARTS + " SELECT id, 'Doc 1 (Title: ' || name || ')' || chr(10) || brand || chr(10) || type || chr(10) || chr(10) || 'Doc 2 (Title: ' || brand || ')' AS shown FROM p")
 def _(spark, d):
     return parts(spark, d).select("id", J.passages(F.array(F.concat_ws("\n", "name", "brand", "type"), F.col("brand"))).alias("shown"))
@@ -154,6 +163,17 @@ def _(spark, d):
     return J.validation(rollouts(spark, d), "doc", "group", "score")
 
 
+@_query("AGG-27-draws", None)
+def _(spark, d):
+    r = rollouts(spark, d).withColumn("vote", (F.col("length") % 3).cast("string"))
+    return BS.validation(r, "doc", "group", "score", "row_idx", "vote")
+
+
+@_query("AGG-25-reducers", None)
+def _(spark, d):
+    return BS.bootstrap(rollouts(spark, d), ["group"], "score", "row_idx", (4, 8), ("mean", "median", "best", "worst", "std"))
+
+
 _POINTS = _R + """, s AS (SELECT doc, CASE row_idx % 9 WHEN 0 THEN 'retry_exhausted' WHEN 1 THEN 'zero_variance' ELSE 'ok' END AS status, CASE WHEN row_idx % 11 > 0 THEN (row_idx % 101) / 100.0::DOUBLE END AS cosine FROM r),
 v AS (SELECT *, CASE WHEN status = 'ok' THEN cosine END AS x FROM s)"""
 

@@ -493,7 +493,9 @@ _text("STR-22", S.opener, "CASE WHEN ltrim(lower(coalesce(text, '')), E' \\t\\n'
 _text("STR-29", S.choice_letter, r"""upper(coalesce(CASE WHEN regexp_matches(text, 'answer is\s+\(?([A-J])\)?', 'i') THEN regexp_extract(text, 'answer is\s+\(?([A-J])\)?', 1, 'i') END,
   CASE WHEN regexp_matches(text, '[aA]nswer:\s*([A-J])') THEN regexp_extract(text, '.*[aA]nswer:\s*([A-J])', 1) END, list_extract(regexp_extract_all(regexp_replace(text, '[^\x00-\x7F]', 'x', 'g'), '\b([A-J])\b', 1), -1)))""")
 _text("STR-08", S.squad, r"""array_to_string(list_filter(string_split_regex(regexp_replace(lower(text), '[!-/:-@\[-`{-~]', '', 'g'), '\s+'), lambda w: w NOT IN ('', 'a', 'an', 'the')), ' ')""")
-_text("STR-11", lambda t: S.grade_school_answer(F.concat(t, F.lit(" #### 1,234")), "strict"), "'1234'")
-_text("STR-21", lambda t: S.canonical_percent(F.concat(t, F.lit(" 50% 5\\%"))), "text || ' 50/100 5/100'")
+# answers and percentages of each row's own length, where they are and where they aren't
+_text("STR-11", lambda t: S.grade_school_answer(F.concat(t, F.when(F.length(t) % 3 > 0, F.concat(F.lit(" #### 1,"), F.length(t) + 100)).otherwise(" ####")), "strict"), "CASE WHEN length(text) % 3 > 0 THEN '1' || (length(text) + 100) END")
+_text("STR-21", lambda t: S.canonical_percent(F.concat(F.regexp_replace(t, " ", "% "), F.lit(" "), F.length(t), F.lit("% 5\\% x%"))), "regexp_replace(replace(text, ' ', '% '), '([0-9])%', '\\1/100', 'g') || ' ' || length(text) || '/100 5/100 x%'")
 _text("DOC-07", S.token_estimate, "greatest(1, length(text) // 4)::INT")
-_text("STR-28", lambda t: S.verdict(F.concat(F.lit("INCORRECT, not CORRECT "), t)), "false")
+_VERDICT = "element_at(array('It is correct', 'CORRECT? No: incorrect.', 'incorrectly so', 'Correct'), cast(length(text) % 4 + 1 as int))"
+_text("STR-28", lambda t: S.verdict(F.concat(F.lit("verdict: "), F.expr(_VERDICT), F.lit("; "), F.length(t))), "CASE length(text) % 4 WHEN 1 THEN false WHEN 2 THEN NULL ELSE true END")

@@ -106,3 +106,8 @@ def batch_results(results: DataFrame, work: DataFrame, key: str = "custom_id") -
     """Work items with their response, null where none came back; of repeated answers the smallest by text."""
     answers = results.groupBy(key).agg(F.min("response").alias("response"))
     return work.join(answers, key, "left")
+
+
+def capped(questions: DataFrame, most: int | None) -> DataFrame:
+    """The first questions of a benchmark in the order of its file; all of them without a number over 0."""
+    return questions if not most or most <= 0 else questions.limit(most)

@@ -12,15 +12,19 @@ from pyspark.sql import functions as F
 from quern.functions import strings as S
 from quern.operators import advantages as A
 from quern.operators import aggregates as G
+from quern.operators import balance as BA
 from quern.operators import batch as B
 from quern.operators import filters as L
 from quern.operators import sampling as M
+from quern.plans import book_queries as _books  # noqa: F401
 from quern.plans import data_queries as _data  # noqa: F401
+from quern.plans import full_queries as _full  # noqa: F401
 from quern.plans import judging_queries as _judging  # noqa: F401
 from quern.plans import more_queries as _more  # noqa: F401
 from quern.plans import queries as _queries  # noqa: F401
 from quern.plans import registry
 from quern.plans import sampling_queries as _sampling  # noqa: F401
+from quern.plans import stream_queries as _streams  # noqa: F401
 from quern.plans import text_queries as _texts  # noqa: F401
 from quern.plans import token_queries as _tokens  # noqa: F401
 
@@ -203,9 +207,9 @@ def test_entry_needs_no_session():
 
 
 def test_partitions():
-    assert M.greedy_partition([5, 1, 1, 1], 2, equal_size=False) == [[0], [1, 2, 3]]
-    assert [len(p) for p in M.greedy_partition([5, 1, 1, 1], 2, equal_size=True)] == [2, 2]
-    parts = M.largest_differencing([8, 7, 6, 5, 4], 2)
+    assert BA.greedy([5, 1, 1, 1], 2, equal_size=False) == [[0], [1, 2, 3]]
+    assert [len(p) for p in BA.greedy([5, 1, 1, 1], 2, equal_size=True)] == [2, 2]
+    parts = BA.largest_differencing([8, 7, 6, 5, 4], 2, False)
     assert sorted(i for p in parts for i in p) == [0, 1, 2, 3, 4] and abs(sum([8, 7, 6, 5, 4][i] for i in parts[0]) - 15) <= 1
     assert M.equal_quotas({"a": 1, "b": 9, "c": 9}, 12) == {"a": 1, "b": 6, "c": 5}
     with pytest.raises(ValueError):
