@@ -2,11 +2,12 @@
 
 A page's text nodes are grouped by their root-to-leaf tag path, a tag with another class being another step. Each path
 has the ratios of its text length and of its punctuation to its number of nodes; both are smoothed along the page, so that
-a short node among long ones gains, fused into one weight per path, and summed per container. Words of classes, roles and
-tags that mark navigation, footers, adverts, forms, comments and so on are a prior: what they mark never counts. The named
-article that gathers most is the article; inside it a path stays if its weight reaches a small share of the article's mean.
-A page without one is judged by weights alone: paths over a share of its mean and of its text are strong, their parents hold the
-article, and a weak path stays only inside such a parent, or if it ends in a heading or paragraph.
+a short node among long ones gains, and fused into one weight per path, less the share of its text that is links. Tags, roles and words of
+classes that mark navigation, headers, footers, adverts, comments and so on are a prior that lowers a weight; a named article
+raises it. Paths over STRONG_SHARE of the page's mean weight and STRONG_MASS of its text are strong. What holds them is the article:
+their parents, and named articles around them, if these hold LEAST_HOME of what the largest does. Other paths stay inside the
+article, or as headings and paragraphs of what encloses it, with no class between, from LEAST_SHARE of the mean weight on. Scripts, styles, forms and
+hidden elements are no text at all.
 
 Defined cases: null, empty and white-space pages, and pages without any text, give an empty text; broken markup (tags
 never closed, text after a cut-off tag) is read as far as it goes; a null id or url is carried; repeated rows are
@@ -20,18 +21,21 @@ import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: A path stays if its smoothed weight is at least this share of the mean weight of the article's characters.
-LEAST_SHARE = 0.02
-#: A path of a page without a named article is strong from this share of the page's mean weight and of its text on.
-STRONG_SHARE, STRONG_MASS = 0.7, 0.1
+#: Least weight of a path inside the article, against the page's mean.
+LEAST_SHARE = 0.015
+#: Least weight, and weight times text, of a strong path, against the page's mean and sum.
+STRONG_SHARE, STRONG_MASS = 0.5, 0.2
+#: Least mass of a container, against the largest, for it to be a part of the article.
+LEAST_HOME = 0.35
 #: Weights of a node's neighbours, one and two places away, against its own in smoothing.
 KERNEL = (0.35, 0.1)
-#: A container named as the article counts so many times as much.
-NAMED_BONUS = 4.0
+#: What a marked element does to the weights in it, and what a named article does.
+MARKED_PRIOR, NAMED_BONUS = 0.01, 4.0
 
 # fixed values: tags of HTML by role, and words that mark boilerplate
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -40,9 +44,9 @@ INLINE = frozenset(
     "strong sub sup time tt u var wbr".split()
 )
 SKIPPED = frozenset(
-    "head title script style noscript template nav header footer aside form button select option textarea iframe object "
-    "svg canvas audio video menu dialog input".split()
+    "head title script style noscript template form button select option textarea iframe object svg canvas audio video dialog input".split()
 )
+BOILERPLATE = frozenset("nav header footer aside menu".split())
 RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe")
 ARTICLE = frozenset("article main".split())
 MARKED = re.compile(
@@ -56,6 +60,8 @@ LAYOUT = frozenset(
     "area bar block bottom box buttons column container content global group inner item items left links list main mobile outer "
     "panel primary right row secondary section site sticky top unit wrap wrapper".split()
 )
+#: What a notice of copyright begins with.
+NOTICES = ("©", "(c) ", "Copyright ")
 MARKED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
 _TOKEN = re.compile(
@@ -92,19 +98,20 @@ def _says_boilerplate(value: str) -> bool:
 
 
 def _marked(tag: str, attributes: str) -> str:
-    """'surely' by tag, role or hidden; 'named' by a class or id alone, which never marks an article; else ''."""
+    """'surely' for what is no text by tag or hidden; 'tag' by tag or role; 'named' by a class or id alone, which never marks an
+    article; else ''."""
     if tag in SKIPPED:
         return "surely"
     if not attributes or "=" not in attributes and "hidden" not in attributes:
-        return ""
-    out = ""
+        return "tag" if tag in BOILERPLATE else ""
+    out = "tag" if tag in BOILERPLATE else ""
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return "surely"
         if name == "role" and value.lower() in MARKED_ROLES:
-            return "surely"
-        if name in ("class", "id") and tag not in ("html", "body") and tag not in ARTICLE and _says_boilerplate(value):
+            out = "tag"
+        if not out and name in ("class", "id") and tag not in ("html", "body") and tag not in ARTICLE and _says_boilerplate(value):
             out = "named"
     return out
 
@@ -119,24 +126,36 @@ def _tag(step: str) -> str:
     return step.partition(".")[0]
 
 
-def text_nodes(page: str) -> list[tuple[tuple[str, ...], str]]:
-    """(path, text) of the blocks of a page in order, without those that lie in marked elements.
+class Node(NamedTuple):
+    """A block of text: its path, whether it lies in a marked element, and the share of it that is links."""
+
+    path: tuple[str, ...]
+    text: str
+    marked: bool
+    links: float
+
+
+def text_nodes(page: str) -> list[Node]:
+    """The blocks of a page in order.
 
-    Inline tags aren't part of a path and don't end a block. An element that only its class or id marks still counts if
-    it holds the page's <main>, or most of its text while no article or main that isn't marked has any.
+    Inline tags aren't part of a path and don't end a block. An element that only its class or id marks isn't marked if it holds
+    the page's <main>, or most of its text while no article or main that isn't marked has any.
     """
-    stack: list[tuple[str, bool, int, str]] = []  # the third is the element's number if it is marked by name, else 0
-    out: list[tuple[tuple[str, ...], str, tuple[int, ...]]] = []
+    # of each open element its tag, whether it is no text, its number if it is marked by name (-1 if by tag, else 0), its step
+    stack: list[tuple[str, bool, int, str]] = []
+    out: list[tuple[tuple[str, ...], str, tuple[int, ...], float]] = []
     named, cleared = 0, {0}
     pending: list[str] = []
-    hidden, at, end = 0, 0, len(page)
+    hidden, at, end, link, linked = 0, 0, len(page), False, 0
 
     def flush() -> None:
+        nonlocal linked
         if pending:
             text = " ".join(html_entities.unescape("".join(pending)).split())
             if text:
-                out.append((tuple(x for *_, x in stack), text, tuple(n for _, _, n, _ in stack if n)))
+                out.append((tuple(x for *_, x in stack), text, tuple(n for _, _, n, _ in stack if n), min(1.0, linked / len(text))))
             pending.clear()
+        linked = 0
 
     def pop_to(k: int) -> None:
         nonlocal hidden
@@ -147,12 +166,14 @@ def text_nodes(page: str) -> list[tuple[tuple[str, ...], str]]:
         m = _TOKEN.search(page, at)
         if not hidden:
             pending.append(page[at : m.start() if m else end])
+            linked += link and len(pending[-1].strip())
         if not m:
             break
         at = m.end()
         if not m[2]:
             continue
         tag = m[2].lower()
+        link = not m[1] if tag == "a" else link
         mark = "" if m[1] else _marked(tag, m[3])
         if tag in INLINE and not mark:
             continue
@@ -166,7 +187,7 @@ def text_nodes(page: str) -> list[tuple[tuple[str, ...], str]]:
                     flush()
                 continue
             close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            if mark == "surely" or not close or 2 * (close.start() - at) < end:
+            if mark in ("surely", "tag") or not close or 2 * (close.start() - at) < end:
                 at = close.end() if close else at
             continue
         flush()
@@ -190,17 +211,18 @@ def text_nodes(page: str) -> list[tuple[tuple[str, ...], str]]:
         if tag == "main":
             cleared.update(n for _, _, n, _ in stack)
         named += mark == "named"
-        stack.append((tag, mark == "surely", named if mark == "named" else 0, _step(tag, m[3])))
+        stack.append((tag, mark == "surely", {"named": named, "tag": -1}.get(mark, 0), _step(tag, m[3])))
         hidden += mark == "surely"
     flush()
     held: dict[int, int] = defaultdict(int)
-    for _, text, within in out:
+    for _, text, within, _ in out:
         for n in within:
             held[n] += len(text)
-    total = sum(len(text) for _, text, _ in out)
-    if not any(cleared.issuperset(within) and any(_tag(x) in ARTICLE for x in path) for path, _, within in out):
+    total = sum(len(text) for _, text, _, _ in out)
+    if not any(cleared.issuperset(within) and any(_tag(x) in ARTICLE for x in path) for path, _, within, _ in out):
         cleared.update(n for n, chars in held.items() if 2 * chars > total)
-    return [(path, text) for path, text, within in out if cleared.issuperset(within)]
+    cleared.discard(-1)
+    return [Node(path, text, not cleared.issuperset(within) or text.startswith(NOTICES), links) for path, text, within, links in out]
 
 
 def _smooth(values: list[float]) -> list[float]:
@@ -216,41 +238,62 @@ def _smooth(values: list[float]) -> list[float]:
     return out
 
 
+def path_weights(nodes: list[Node]) -> dict[tuple, float]:
+    """The fused weight of each path, marked blocks being paths of their own."""
+    chars, signs, links, count = defaultdict(int), defaultdict(int), defaultdict(float), defaultdict(int)
+    keys = [(n.path, n.marked) for n in nodes]
+    for key, node in zip(keys, nodes, strict=True):
+        chars[key] += len(node.text)
+        signs[key] += len(_PUNCTUATION.findall(node.text))
+        links[key] += node.links * len(node.text)
+        count[key] += 1
+    lengths = _smooth([chars[k] / count[k] for k in keys])
+    dots = _smooth([signs[k] / count[k] for k in keys])
+    weight: dict[tuple, float] = defaultdict(float)
+    for key, length, dot in zip(keys, lengths, dots, strict=True):
+        weight[key] += math.sqrt(length * (1 + dot)) / count[key]
+    for key in weight:
+        path, marked = key
+        named = any(_tag(x) in ARTICLE for x in path)
+        weight[key] *= (1 - links[key] / chars[key]) * (MARKED_PRIOR if marked else NAMED_BONUS if named else 1.0)
+    return weight
+
+
 def main_text(page: str | None) -> str:
     nodes = text_nodes(page or "")
     if not nodes:
         return ""
-    chars, signs, count = defaultdict(int), defaultdict(int), defaultdict(int)
-    for path, text in nodes:
-        chars[path] += len(text)
-        signs[path] += len(_PUNCTUATION.findall(text))
-        count[path] += 1
-    lengths = _smooth([chars[p] / count[p] for p, _ in nodes])
-    dots = _smooth([signs[p] / count[p] for p, _ in nodes])
-    weight: dict[tuple[str, ...], float] = defaultdict(float)
-    for (path, _), length, dot in zip(nodes, lengths, dots, strict=True):
-        weight[path] += math.sqrt(length * (1 + dot)) / count[path]
+    weight = path_weights(nodes)
+    chars: dict[tuple, int] = defaultdict(int)
+    for n in nodes:
+        chars[n.path, n.marked] += len(n.text)
+    total = sum(weight[k] * c for k, c in chars.items())
+    mean = total / sum(chars.values())
+    strong = {k for k, c in chars.items() if weight[k] >= STRONG_SHARE * mean and weight[k] * c >= STRONG_MASS * total}
+    strong = strong or {k for k in chars if weight[k] >= LEAST_SHARE * mean}  # text all in small pieces
+    parents = {path[:-1] for path, _ in strong}
+    around = {path[: k + 1] for path, _ in strong for k, x in enumerate(path) if _tag(x) in ARTICLE}
     mass: dict[tuple[str, ...], float] = defaultdict(float)
-    for path in weight:
+    for (path, marked), c in chars.items():
         for k in range(len(path) + 1):
-            mass[path[:k]] += weight[path] * chars[path]
-    # the named article that weighs most, or else the page: all unmarked paths over the threshold, wherever they lie
-    named = [p for p in mass if p and _tag(p[-1]) in ARTICLE]
-    best = max(named, key=lambda p: (mass[p] * NAMED_BONUS, -len(p))) if named else ()
-    if named and mass[best] * NAMED_BONUS < mass[()] - mass[best]:
-        best = ()
-    inside = [p for p in weight if p[: len(best)] == best]
-    mean = sum(weight[p] * chars[p] for p in inside) / sum(chars[p] for p in inside)
-    if best:
-        kept = {p for p in inside if weight[p] >= LEAST_SHARE * mean}
-    else:
-        total = sum(chars[p] for p in inside)
-        strong = {p for p in inside if weight[p] >= STRONG_SHARE * mean and chars[p] >= STRONG_MASS * total}
-        strong = strong or {p for p in inside if weight[p] >= LEAST_SHARE * mean}  # text all in small pieces
-        homes = {p[:-1] for p in strong if p[:-1] and _tag(p[-2]) not in ("html", "body")}
-        held = lambda p: any(p[:k] in homes for k in range(len(p)))
-        kept = {p for p in inside if p in strong or held(p) or not p or _tag(p[-1]) in _PROSE}
-    return " ".join(text for path, text in nodes if path in kept)
+            mass[path[:k]] += weight[path, marked] * c
+    largest = max(mass[p] for p in parents)
+    parents = {p for p in parents if mass[p] >= LEAST_HOME * largest}
+    homes = {p for p in parents | around if p and _tag(p[-1]) not in ("html", "body") and mass[p] >= LEAST_HOME * largest}
+    enclosing = {p[:k] for p in parents for k in range(len(p) + 1)}
+
+    def kept(path: tuple[str, ...], marked: bool) -> bool:
+        key = path, marked
+        if key in strong and path[:-1] in parents:
+            return True
+        if weight[key] < LEAST_SHARE * mean:
+            return False
+        if not path or path in enclosing or any(path[:k] in homes for k in range(len(path) + 1)):
+            return True
+        outside = next(k for k in range(len(path) + 1) if path[:k] not in enclosing) - 1
+        return _tag(path[-1]) in _PROSE and not any("." in x for x in path[outside:-1])
+
+    return " ".join(n.text for n in nodes if kept(n.path, n.marked))
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
