@@ -42,11 +42,13 @@ def _r(c: Column | str) -> Column:
     return F.round(c, 5) + 0.0
 
 
-def _advantage(name: str, frame, sql: str, with_: str = "") -> None:
+def _advantage(name: str, frame, sql: str, with_: str = "", source: str = "r") -> None:
+    """Register an estimator with the SQL of its advantage over a table, ``r`` or one that ``with_`` makes of it."""
+
     def query(spark: SparkSession, d: str) -> DataFrame:
         return frame(rollouts(spark, d)).select("row_idx", _r("advantage").alias("advantage"))
 
-    register(name, query, f"{ROLLOUTS}{with_} SELECT row_idx, round({sql}, 5) + 0.0 AS advantage FROM r")
+    register(name, query, f"{ROLLOUTS}{with_} SELECT row_idx, round({sql}, 5) + 0.0 AS advantage FROM {source}")
 
 
 _W = '(PARTITION BY "group")'
@@ -69,30 +71,29 @@ _advantage(
 _advantage(
     "ADV-04",
     A.grpo_passk,
-    f'CASE WHEN row_number() OVER o = 1 THEN coalesce((score - lead(score) OVER o) / (stddev_samp(score) OVER {_W} + 1e-6), 0) ELSE 0 END',
+    f"CASE WHEN row_number() OVER o = 1 THEN coalesce((score - lead(score) OVER o) / (stddev_samp(score) OVER {_W} + 1e-6), 0) ELSE 0 END",
+    source='r WINDOW o AS (PARTITION BY "group" ORDER BY score DESC, row_idx)',
 )
 _advantage(
     "ADV-05",
     lambda r: A.estimate("reinforce_plus_plus_baseline", r),
     "(x - sum(x * length) OVER () / sum(length) OVER ()) / sqrt((sum(x * x * length) OVER () - (sum(x * length) OVER ()) ** 2 / sum(length) OVER ()) / (sum(length) OVER () - 1) + 1e-8)",
+    f", s AS (SELECT *, score - {_MEAN} AS x FROM r)",
+    "s",
 )
 _advantage("ADV-06", lambda r: A.estimate("rloo", r), f"score - coalesce((sum(score) OVER {_W} - score) / nullif(count(score) OVER {_W} - 1, 0), 0)")
 _advantage("ADV-11", A.rloo_vectorized, f"CASE WHEN count(score) OVER {_W} > 1 THEN (count(score) OVER {_W} * score - sum(score) OVER {_W}) / (count(score) OVER {_W} - 1) ELSE 0 END")
 _advantage("ADV-09", A.opo, f"score - CASE WHEN count(score) OVER {_W} = 1 THEN 0 ELSE sum(length * score) OVER {_W} / sum(length) OVER {_W} END")
 _advantage("ADV-10", lambda r: A.gpg(r, f_norm=1.2345679), f"(count(score) OVER () / greatest(1, count(*) FILTER (score <> 0) OVER ())) * (score - {_MEAN}) / 1.2345679")
 _advantage("ADV-14", lambda r: A.whiten(r, "score", "length"), "(score - sum(score * length) OVER () / sum(length) OVER ()) / sqrt((sum(score * score * length) OVER () - (sum(score * length) OVER ()) ** 2 / sum(length) OVER ()) / (sum(length) OVER () - 1) + 1e-8)")
+_LENGTH_MEAN, _LENGTH_STD = (x.replace("score", "length") for x in (_MEAN, _STD))
 _advantage(
     "ADV-13",
     lambda r: A.decoupled(r.withColumn("size", F.col("length").cast("double")), {"score": 0.7, "size": 0.3}),
     "(x - avg(x) OVER ()) / (stddev_samp(x) OVER () + 1e-8)",
+    f", s AS (SELECT *, 0.7 * (score - {_MEAN}) / ({_STD} + 1e-6) + 0.3 * (length - {_LENGTH_MEAN}) / ({_LENGTH_STD} + 1e-6) AS x FROM r)",
+    "s",
 )
-# these need a step before the windows
-from quern.plans import registry as _registry  # noqa: E402
-
-_registry._SQL["ADV-04"] = _registry._SQL["ADV-04"] + ' WINDOW o AS (PARTITION BY "group" ORDER BY score DESC, row_idx)'
-_registry._SQL["ADV-05"] = _registry._SQL["ADV-05"].replace(" SELECT row_idx", f", s AS (SELECT *, score - {_MEAN} AS x FROM r) SELECT row_idx", 1).replace("FROM r", "FROM r").rsplit("FROM r", 1)[0] + "FROM s"
-_LEN = f"(length - {_MEAN.replace('score', 'length')}) / ({_STD.replace('score', 'length')} + 1e-6)"
-_registry._SQL["ADV-13"] = _registry._SQL["ADV-13"].replace(" SELECT row_idx", f", s AS (SELECT *, 0.7 * (score - {_MEAN}) / ({_STD} + 1e-6) + 0.3 * {_LEN} AS x FROM r) SELECT row_idx", 1).rsplit("FROM r", 1)[0] + "FROM s"
 
 
 def _query(name: str, sql: str):
@@ -281,18 +282,23 @@ def _(spark, d):
     return rollouts(spark, d).groupBy("group").agg(F.array_join(marks, "").alias("scores"))
 
 
-@_query("AGG-25", ROLLOUTS + """, i AS (SELECT "group", score, row_number() OVER (PARTITION BY "group" ORDER BY score) - 1 AS i FROM r),
+def _bootstrap(draws: int, digits: int) -> str:
+    """SQL of the bootstrap of a mean by hash, with so many draws."""
+    return ROLLOUTS + f""", i AS (SELECT "group", score, row_number() OVER (PARTITION BY "group" ORDER BY score) - 1 AS i FROM r),
 z AS (SELECT "group", count(*) AS n FROM r GROUP BY 1),
-p AS (SELECT "group", d, ('0x' || substr(md5('42:' || d || ':' || j), 1, 13))::BIGINT % n AS i FROM z, range(1, 21) a(d), range(1, 9) b(j)),
+p AS (SELECT "group", d, ('0x' || substr(md5('42:' || d || ':' || j), 1, 13))::BIGINT % n AS i FROM z, range(1, {draws + 1}) a(d), range(1, 9) b(j)),
 m AS (SELECT p."group", d, avg(score) AS m FROM p JOIN i USING ("group", i) GROUP BY 1, 2)
-SELECT "group", round(avg(m), 5) AS mean, round(stddev_pop(m), 5) AS std FROM m GROUP BY 1""")
+SELECT "group", round(avg(m), {digits}) AS mean, round(stddev_pop(m), {digits}) AS std FROM m GROUP BY 1"""
+
+
+@_query("AGG-25", _bootstrap(20, 5))
 def _(spark, d):
     x = G.bootstrap(rollouts(spark, d), "group", "score", draws=20)
     return x.select("group", _r("mean").alias("mean"), _r("std").alias("std"))
 
 
 # with eight decimals: the mean of 8000 scores of two decimals often lies half way between figures of five
-@_query("AGG-25-full", _registry._SQL["AGG-25"].replace("range(1, 21)", "range(1, 1001)").replace(", 5)", ", 8)"))
+@_query("AGG-25-full", _bootstrap(1000, 8))
 def _(spark, d):
     x = G.bootstrap(rollouts(spark, d), "group", "score")
     return x.select("group", *[(F.round(c, 8) + 0.0).alias(c) for c in ("mean", "std")])
