@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
 from quern.llm import alignment, best_fit, chat, exact_dedup, html_text, line_dedup, mixing, near_dedup, packing, quality, search, toxicity, warc
 
 
@@ -25,7 +24,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op11_best_fit": best_fit.op11_best_fit,
         "op12_alignment": alignment.op12_alignment,
         "op13_search": search.op13_search,
-        "pipeline": corpus_pipeline.run,
     }
 
 
