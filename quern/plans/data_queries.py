@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from quern.functions.answers import over
 from quern.operators import evaluation as E
 from quern.operators import rewards as R
 from quern.plans.queries import ROLLOUTS, rollouts
@@ -132,9 +135,17 @@ def _reward_parts(spark: SparkSession, d: str):
 _STRUCTURE = [{"terms": [{"name": "influence_rewards", "weight": 0.7}, {"name": "spice_rewards", "weight": 0.3}]}, {"terms": [{"name": "invalid_rewards"}]}]
 
 
-@_query("RWD-01", "SELECT unnest(['influence_rewards', 'spice_rewards', 'invalid_rewards']) AS component, unnest([0.7, 0.3, 1.0])::DOUBLE AS weight")
+def _weights(text: str) -> list[dict]:
+    return [{"component": k, "weight": v} for k, v in R.check_structure(json.loads(text)).items()]
+
+
+@_query("RWD-01", """WITH n AS (SELECT n_nationkey AS k FROM nation) SELECT k, component, CASE component WHEN 'influence_rewards' THEN (k + 1) / 10 WHEN 'spice_rewards' THEN 0.3 ELSE 1.0 END::DOUBLE AS weight
+FROM n, (SELECT unnest(['influence_rewards', 'spice_rewards', 'invalid_rewards']) AS component)""")
 def _(spark, d):
-    return spark.createDataFrame(list(R.check_structure(_STRUCTURE).items()), "component string, weight double")
+    text = """concat('[{"terms": [{"name": "influence_rewards", "weight": ', (n_nationkey + 1) / 10, '}, {"name": "spice_rewards", "weight": 0.3}]}, {"terms": [{"name": "invalid_rewards"}]}]')"""
+    n = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").alias("k"), F.expr(text).alias("structure"))
+    rows = over(_weights, "array<struct<component:string,weight:double>>")(F.col("structure"))
+    return n.select("k", F.explode(rows).alias("w")).select("k", "w.*")
 
 
 @_query("RWD-02", ROLLOUTS.rstrip() + _PARTS + """ SELECT "group", round(coalesce(i.x, 0), 5) + 0.0 AS influence_rewards, round(coalesce(s.x, 0), 5) + 0.0 AS spice_rewards, round(0.7 * coalesce(i.x, 0) + 0.3 * coalesce(s.x, 0), 5) + 0.0 AS combined FROM v LEFT JOIN i USING ("group") LEFT JOIN s USING ("group")""")

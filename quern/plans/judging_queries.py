@@ -10,6 +10,7 @@ from quern.functions import grading as N
 from quern.operators import advantages as A
 from quern.operators import batch as B
 from quern.operators import judging as J
+from quern.operators import lookups as LK
 from quern.operators import registries as R
 from quern.operators import resampling as BS
 from quern.operators import vector_index as VI
@@ -89,16 +90,13 @@ def _(spark, d):
 
 @_query("PRM-01", "SELECT conv_id, string_agg(role || ':' || coalesce(text, ''), '|' ORDER BY turn) AS shown, count(*) AS n FROM conversations GROUP BY 1")
 def _(spark, d):
-    c = spark.read.parquet(f"{d}/conversations.parquet")
-    turns = F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("content")))), lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))
-    m = c.groupBy("conv_id").agg(turns.alias("messages"), F.count(F.lit(1)).alias("n"))
-    return m.select("conv_id", F.array_join(F.transform("messages", lambda x: F.concat_ws(":", x["role"], x["content"])), "|").alias("shown"), "n")
+    chats = LK.messages(spark.read.parquet(f"{d}/conversations.parquet"), "conv_id", "turn", "role", "text")
+    return chats.select("conv_id", LK.shown(F.col("messages")).alias("shown"), "n")
 
 
 @_query("PRM-02", PARTS + " SELECT count(*) AS questions, count(*) FILTER (len(string_split(name, ' ')) <= 3) AS kept, count(*) FILTER (len(string_split(name, ' ')) > 3) AS too_long FROM p")
 def _(spark, d):
-    fit = F.col("words") <= 3
-    return parts(spark, d).select(_words().alias("words")).agg(F.count(F.lit(1)).alias("questions"), F.count_if(fit).alias("kept"), F.count_if(~fit).alias("too_long"))
+    return LK.fit_report(parts(spark, d), _words(), 3)
 
 
 _RING = PARTS + """, o AS (SELECT id, name, row_number() OVER (ORDER BY md5('5:' || id), id) - 1 AS spot, ('0x' || substr(md5('5:start:' || id), 1, 8))::BIGINT AS start, count(*) OVER () AS n FROM p),
@@ -341,7 +339,7 @@ def _(spark, d):
 @_query("PRJ-25", PARTS + " SELECT id AS question_id, name AS question_text, CASE WHEN size > 9 THEN brand END AS data_source FROM p WHERE id % 4 > 0")
 def _(spark, d):
     p = parts(spark, d).select(F.col("id").alias("question_id"), F.col("name").alias("question_text"), (F.col("id") % 4 > 0).alias("parsed_ok"), F.when(F.col("size") > 9, F.col("brand")).alias("data_source"))
-    return p.where("parsed_ok").drop("parsed_ok")
+    return LK.parsed_questions(p, "parsed_ok", ["question_id", "question_text", "data_source"])
 
 
 # --- results of other runners, files and streams

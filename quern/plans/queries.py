@@ -14,6 +14,7 @@ from quern.operators import advantages as A
 from quern.operators import aggregates as G
 from quern.operators import batch as B
 from quern.operators import filters as L
+from quern.operators import lookups as LK
 from quern.plans.registry import register
 
 ROLLOUTS = """
@@ -260,8 +261,7 @@ def _(spark, d):
 @_query("AGG-28", "SELECT role, round(avg(CASE WHEN contains(lower(text), 'the') THEN 1.0 ELSE 0.0 END), 5)::DOUBLE AS score FROM conversations GROUP BY 1")
 def _(spark, d):
     c = spark.read.parquet(f"{d}/conversations.parquet")
-    hit = F.contains(F.lower("text"), F.lit("the"))
-    return c.groupBy("role").agg(_r(F.avg(F.when(hit, 1.0).otherwise(0.0))).alias("score"))
+    return LK.share_by(c, "role", F.contains(F.lower("text"), F.lit("the"))).select("role", _r("score").alias("score"))
 
 
 @_query("AGG-31", ROLLOUTS + 'SELECT "group", round(exp(-pow(var_pop(coalesce(ok, 0)) - 0.25, 2) / 0.02), 5) AS reward FROM r GROUP BY 1')
@@ -277,9 +277,8 @@ def _(spark, d):
 
 @_query("AGG-01", ROLLOUTS + """SELECT "group", string_agg(coalesce(ok::INT::VARCHAR, '-'), '' ORDER BY row_idx) AS scores FROM r GROUP BY 1""")
 def _(spark, d):
-    pairs = F.sort_array(F.collect_list(F.struct("row_idx", "ok")))
-    marks = F.transform(pairs, lambda x: F.coalesce(x["ok"].cast("int").cast("string"), F.lit("-")))
-    return rollouts(spark, d).groupBy("group").agg(F.array_join(marks, "").alias("scores"))
+    listed = LK.in_order(rollouts(spark, d), "group", ["row_idx"], ["ok"])
+    return listed.select("group", LK.score_strip(F.col("ok")).alias("scores"))
 
 
 def _bootstrap(draws: int, digits: int) -> str:
@@ -334,13 +333,13 @@ def _(spark, d):
 @_query("FLT-16", "SELECT doc_id, CASE WHEN regexp_matches(source, '^src1') THEN 'math' WHEN regexp_matches(source, '[05]$') THEN 'mcq' ELSE 'general' END AS route FROM documents")
 def _(spark, d):
     x = spark.read.parquet(f"{d}/documents.parquet")
-    route = F.when(F.col("source").rlike("^src1"), "math").when(F.col("source").rlike("[05]$"), "mcq").otherwise("general")
-    return x.select("doc_id", route.alias("route"))
+    return x.select("doc_id", LK.route(F.col("source"), {"^src1": "math", "[05]$": "mcq"}, "general").alias("route"))
 
 
 @_query("JN-01", ROLLOUTS + "SELECT row_idx, doc_id, lang FROM r JOIN documents ON doc_id = doc")
 def _(spark, d):
-    return rollouts(spark, d).join(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang"), F.col("doc_id") == F.col("doc")).select("row_idx", "doc_id", "lang")
+    docs = spark.read.parquet(f"{d}/documents.parquet").withColumnRenamed("doc_id", "id").withColumn("doc_id", F.col("id"))
+    return LK.with_document(rollouts(spark, d), docs, "doc", "id", ["doc_id", "lang"]).select("row_idx", "doc_id", "lang")
 
 
 @_query("JN-03", ROLLOUTS + "SELECT row_idx, CASE WHEN ok IS NOT NULL THEN coalesce(o_totalprice, 0) ELSE 0 END AS reward FROM r LEFT JOIN orders ON o_orderkey = row_idx")
@@ -352,26 +351,25 @@ def _(spark, d):
 
 @_query("JN-04", ROLLOUTS + 'SELECT "group", arg_min(class, row_idx) AS class FROM r GROUP BY 1')
 def _(spark, d):
-    return rollouts(spark, d).groupBy("group").agg(F.min_by("class", "row_idx").alias("class"))
+    return LK.first_value(rollouts(spark, d), "group", "class", "row_idx")
 
 
 @_query("JN-05", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
 def _(spark, d):
     c, o = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("customer", "orders"))
-    return c.select("c_custkey").join(o, F.col("c_custkey") == F.col("o_custkey"), "left_anti")
+    return LK.outside(c.select("c_custkey"), o, "c_custkey", "o_custkey")
 
 
 @_query("JN-07", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
 def _(spark, d):
     c, o = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("customer", "orders"))
-    return c.select("c_custkey").join(o, F.col("c_custkey") == F.col("o_custkey"), "left_semi")
+    return LK.inside(c.select("c_custkey"), o, "c_custkey", "o_custkey")
 
 
 @_query("JN-02", ROLLOUTS + ", g AS (SELECT doc, count(*) AS n FROM r WHERE ok = 1 GROUP BY 1) SELECT doc_id, coalesce(n, 0) AS n FROM documents LEFT JOIN g ON doc = doc_id")
 def _(spark, d):
-    g = rollouts(spark, d).where("ok = 1").groupBy("doc").count()
-    x = spark.read.parquet(f"{d}/documents.parquet").join(g, F.col("doc") == F.col("doc_id"), "left")
-    return x.select("doc_id", F.coalesce("count", F.lit(0)).alias("n"))
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id")
+    return LK.counted(docs, rollouts(spark, d).where("ok = 1"), "doc_id", "doc")
 
 
 @_query("RWD-05", "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), z AS (SELECT v AS w FROM e WHERE vec_id = 0) SELECT vec_id, round(list_dot_product(v, w), 4) + 0.0 AS dot, round(list_cosine_similarity(v, w), 4) + 0.0 AS cosine FROM e, z")

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quern.functions.answers import over
 from quern.operators import balance as BA
 from quern.operators import filters as L
+from quern.operators import lookups as LK
 from quern.operators import sampling as M
 from quern.plans.data_queries import _query
 from quern.plans.queries import ROLLOUTS, rollouts
@@ -69,7 +71,7 @@ def _(spark, d):
 
 @_query("SMP-09", ROLLOUTS.rstrip() + ' SELECT "group", doc AS loop, count(ok) AS n, round(avg(ok), 5) + 0.0 AS accuracy FROM r GROUP BY 1, 2')
 def _(spark, d):
-    return rollouts(spark, d).groupBy("group", F.col("doc").alias("loop")).agg(F.count("ok").alias("n"), F.avg("ok").alias("accuracy"))
+    return LK.loop_accuracy(rollouts(spark, d), "group", "doc", "ok").select("group", "loop", "n", (F.round("accuracy", 5) + 0.0).alias("accuracy"))
 
 
 @_query("SMP-10", ORDERS + " SELECT id FROM o ORDER BY md5('7:' || id), id LIMIT 40")
@@ -140,15 +142,17 @@ def _(spark, d):
     return M.truncated(rollouts(spark, d), "row_idx", 7).select("row_idx")
 
 
-@_query("FLT-06", "SELECT unnest(['Top-Alpha', 'top 1', ' RandomOne ', 'random_12', 'none']) AS given, unnest(['top_alpha', 'top_one', 'random_one', 'random_12', 'none']) AS mode, unnest([NULL, 1, 1, 12, NULL])::BIGINT AS keep")
+@_query("FLT-06", """WITH n AS (SELECT n_nationkey AS k FROM nation) SELECT k, CASE k % 4 WHEN 0 THEN 'Top-Alpha' WHEN 1 THEN 'top ' || k WHEN 2 THEN ' RandomOne ' ELSE 'random_' || k END AS given,
+CASE k % 4 WHEN 0 THEN 'top_alpha' WHEN 1 THEN 'top_' || k WHEN 2 THEN 'random_one' ELSE 'random_' || k END AS mode, CASE k % 4 WHEN 1 THEN k WHEN 2 THEN 1 WHEN 3 THEN k END::BIGINT AS keep FROM n WHERE k <> 1""")
 def _(spark, d):
-    given = ["Top-Alpha", "top 1", " RandomOne ", "random_12", "none"]
-    return spark.createDataFrame([(g, M.filter_mode(g), M.keep_count(g)) for g in given], "given string, mode string, keep long")
+    given = "case n_nationkey % 4 when 0 then 'Top-Alpha' when 1 then concat('top ', n_nationkey) when 2 then ' RandomOne ' else concat('random_', n_nationkey) end"
+    n = spark.read.parquet(f"{d}/nation.parquet").where("n_nationkey <> 1").select(F.col("n_nationkey").alias("k"), F.expr(given).alias("given"))
+    return n.select("k", "given", over(M.filter_mode)(F.col("given")).alias("mode"), over(M.keep_count, "long")(F.col("given")).alias("keep"))
 
 
 @_query("FLT-07", 'SELECT o_orderpriority AS field, ceil(0.15 * count(*))::BIGINT AS keep FROM orders GROUP BY 1')
 def _(spark, d):
-    return orders(spark, d).groupBy("field").agg(F.ceil(0.15 * F.count(F.lit(1))).alias("keep"))
+    return LK.keep_shares(orders(spark, d), "field", 0.15)
 
 
 _AB = 'WITH a AS (SELECT DISTINCT o_custkey AS id FROM orders), b AS (SELECT DISTINCT user_id AS id FROM events)'
@@ -162,19 +166,19 @@ def _ids(spark, d):
 @_query("SET-02", ROLLOUTS.rstrip() + " SELECT row_idx, 0 AS loop FROM r WHERE doc < 5 UNION ALL SELECT row_idx, 1 FROM r WHERE doc >= 3")
 def _(spark, d):
     r = rollouts(spark, d)
-    return r.where("doc < 5").select("row_idx", F.lit(0).alias("loop")).unionByName(r.where("doc >= 3").select("row_idx", F.lit(1).alias("loop")))
+    return LK.by_loop([r.where("doc < 5").select("row_idx"), r.where("doc >= 3").select("row_idx")])
 
 
 @_query("SET-03", _AB + " SELECT id FROM a EXCEPT SELECT id FROM b")
 def _(spark, d):
     a, b = _ids(spark, d)
-    return a.join(b, "id", "left_anti")
+    return LK.outside(a, b, "id")
 
 
 @_query("SET-04", _AB + " SELECT id FROM a INTERSECT SELECT id FROM b")
 def _(spark, d):
     a, b = _ids(spark, d)
-    return a.join(b, "id", "left_semi")
+    return LK.inside(a, b, "id")
 
 
 @_query("SET-06", "SELECT conv_id, list(text ORDER BY turn, text) AS texts FROM (SELECT * FROM conversations WHERE conv_id % 2 = 0 UNION ALL SELECT * FROM conversations WHERE conv_id % 3 = 0) GROUP BY 1")
@@ -186,16 +190,13 @@ def _(spark, d):
 
 @_query("GRP-01", ROLLOUTS.rstrip() + ' SELECT "group", list(row_idx ORDER BY row_idx) AS rows FROM r GROUP BY 1')
 def _(spark, d):
-    return rollouts(spark, d).groupBy("group").agg(F.sort_array(F.collect_list("row_idx")).alias("rows"))
+    return LK.in_order(rollouts(spark, d), "group", ["row_idx"], ["row_idx"]).withColumnRenamed("row_idx", "rows")
 
 
 @_query("GRP-02", "SELECT c_custkey, CASE WHEN o IS NULL AND e IS NULL THEN 'neither' WHEN e IS NULL THEN 'dev_only' WHEN o IS NULL THEN 'gen_only' ELSE 'both' END AS label FROM customer LEFT JOIN (SELECT DISTINCT o_custkey AS o FROM orders) ON o = c_custkey LEFT JOIN (SELECT DISTINCT user_id AS e FROM events) ON e = c_custkey")
 def _(spark, d):
     a, b = _ids(spark, d)
-    c = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey")
-    both = c.join(a.withColumn("o", F.col("id")), F.col("c_custkey") == a["id"], "left").drop("id").join(b.withColumn("e", F.col("id")), F.col("c_custkey") == b["id"], "left")
-    o, e = F.col("o").isNull(), F.col("e").isNull()
-    return both.select("c_custkey", F.when(o & e, "neither").when(e, "dev_only").when(o, "gen_only").otherwise("both").alias("label"))
+    return LK.membership(spark.read.parquet(f"{d}/customer.parquet").select("c_custkey"), "c_custkey", a, b, ("dev", "gen"))
 
 
 @_query("PRJ-17", ORDERS + ", e AS (SELECT id, x AS epoch, row_number() OVER (PARTITION BY x ORDER BY md5('2:' || x || ':' || id), id) - 1 AS k FROM o, range(3) t(x)) SELECT id, epoch::INT AS epoch, k // 64 AS batch FROM e")
@@ -207,5 +208,6 @@ def _(spark, d):
 
 @_query("PRJ-18", "SELECT l_orderkey, list(l_partkey ORDER BY l_linenumber, l_partkey) AS parts, list(l_linenumber ORDER BY l_linenumber, l_partkey) AS numbers FROM lineitem GROUP BY 1")
 def _(spark, d):
-    x = spark.read.parquet(f"{d}/lineitem.parquet").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("r"))
-    return x.select("l_orderkey", F.col("r.l_partkey").alias("parts"), F.col("r.l_linenumber").alias("numbers"))
+    x = spark.read.parquet(f"{d}/lineitem.parquet")
+    listed = LK.in_order(x, "l_orderkey", ["l_linenumber", "l_partkey"], ["l_partkey", "l_linenumber"])
+    return listed.withColumnsRenamed({"l_partkey": "parts", "l_linenumber": "numbers"})

@@ -12,6 +12,7 @@ from quern.functions import grading as N
 from quern.functions import markdown as MD
 from quern.functions import questions as Q
 from quern.functions import strings as S
+from quern.operators import lookups as LK
 from quern.plans.data_queries import _query
 from quern.session import scratch_path
 from quern.sources import readers as IN
@@ -250,10 +251,9 @@ def _(spark, d):
 
 @_query("JSN-06", PARTS + " SELECT id, CASE WHEN id % 2 = 0 AND size % 2 = 0 THEN 'answer_type=' || type || ';unit=' || brand WHEN id % 2 = 0 THEN 'answer_type=' || type WHEN size % 2 = 0 THEN 'unit=' || brand END AS meta FROM p")
 def _(spark, d):
-    pairs = F.map_from_arrays(F.array(F.lit("answer_type"), F.lit("unit")), F.array(F.expr("if(id % 2 = 0, type, null)"), F.expr("if(size % 2 = 0, brand, null)")))
-    filled = F.map_filter(pairs, lambda _, v: v.isNotNull() & (v != ""))
-    shown = F.array_join(F.transform(F.map_entries(filled), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
-    return parts(spark, d).select("id", F.when(F.size(filled) > 0, shown).alias("meta"))
+    held = LK.filled({"answer_type": F.expr("if(id % 2 = 0, type, null)"), "unit": F.expr("if(size % 2 = 0, brand, null)")})
+    shown = F.array_join(F.transform(F.map_entries(held), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
+    return parts(spark, d).select("id", shown.alias("meta"))
 
 
 @_query("JSN-07", PARTS + " SELECT id, CASE WHEN size > 1 THEN size / 100 ELSE size END::DOUBLE AS fraction FROM p")
@@ -328,8 +328,8 @@ def _(spark, d):
 
 @_query("DOC-16", PARTS + " SELECT id, 'system:be brief|user:' || name AS shown FROM p")
 def _(spark, d):
-    messages = F.array(F.struct(F.lit("system").alias("role"), F.lit("be brief").alias("content")), F.struct(F.lit("user").alias("role"), F.col("name").alias("content")))
-    return parts(spark, d).select("id", F.array_join(F.transform(messages, lambda m: F.concat_ws(":", m["role"], m["content"])), "|").alias("shown"))
+    message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    return parts(spark, d).select("id", LK.shown(F.array(message("system", F.lit("be brief")), message("user", F.col("name")))).alias("shown"))
 
 
 @_query("PAR-01", PARTS + " SELECT id, 0 AS rank, brand AS prompt, name AS response FROM p UNION ALL SELECT id, 1, brand, type FROM p")
@@ -340,10 +340,9 @@ def _(spark, d):
 
 @_query("MSK-03", "SELECT conv_id, sum(CASE WHEN role = 'assistant' THEN length(coalesce(text, '')) ELSE 0 END)::BIGINT AS ones, sum(length(coalesce(text, '')))::BIGINT AS width FROM conversations GROUP BY 1")
 def _(spark, d):
-    c = spark.read.parquet(f"{d}/conversations.parquet")
-    turn = F.struct("turn", F.array_repeat((F.col("role") == "assistant").cast("int"), F.length(F.coalesce("text", F.lit("")))).alias("mask"))
-    mask = F.flatten(F.transform(F.sort_array(F.collect_list(turn)), lambda t: t["mask"]))
-    return c.groupBy("conv_id").agg(mask.alias("m")).select("conv_id", F.aggregate("m", F.lit(0).cast("long"), lambda a, x: a + x).alias("ones"), F.size("m").cast("long").alias("width"))
+    chats = LK.messages(spark.read.parquet(f"{d}/conversations.parquet"), "conv_id", "turn", "role", "text")
+    masks = chats.select("conv_id", LK.loss_mask(F.col("messages")).alias("m"))
+    return masks.select("conv_id", F.aggregate("m", F.lit(0).cast("long"), lambda a, x: a + x).alias("ones"), F.size("m").cast("long").alias("width"))
 
 
 def _round_trip(spark, d, df, ending: str):
