@@ -6,8 +6,9 @@ rows held out for that, and removes what they cover; the accepted rules become o
 
 Defined cases: a null or blank text has no words, so base_failed holds and it isn't kept; null ids are scored like any
 others; labels that are null or have no document are ignored, and a document with several labels counts as bad if one
-of them says so; without labels of both kinds there are no rules and base_failed alone decides. An empty table gives an
-empty result. Added columns whose names are taken get a trailing underscore.
+of them says so; without labels of both kinds there are no rules and base_failed alone decides. Equal gains go to the
+first statistic and threshold; repeated rows are rated alike, and very long texts are counted whole. The learner stops at MAX_RULES
+rules of MAX_LITERALS conditions each, which bounds the model and not the data. An empty table gives an empty result. Added columns whose names are taken get a trailing underscore.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from quern.session import materialise
 
 #: Labelled documents that rules are learned from, at most: those with the smallest hash of their id.
 MAX_LABELLED = 10_000
-#: Thresholds per statistic, at most: quantiles of the sample.
+#: Thresholds per statistic, at most, evenly spaced among the distinct values of the sample.
 THRESHOLDS = 64
 #: A rule must be right on this share of held-out rows that it covers, and cover so many rows in all.
 LEAST_PRECISION, LEAST_COVER = 0.9, 8
