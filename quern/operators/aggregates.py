@@ -85,11 +85,12 @@ def class_delta(df: DataFrame, question: str, cls: str, value: str, one: str, ot
 
 
 def masked_var(values: Column, mask: Column, unbiased: bool = True) -> Column:
+    """The variance of values with mask 1; null for none, or without bias for a single one."""
     total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
     n = total(mask)
-    mean = total(F.zip_with(values, mask, lambda v, m: v * m)) / n
-    var = total(F.zip_with(values, mask, lambda v, m: (v - mean) * (v - mean) * m)) / n
-    return var * n / (n - 1) if unbiased else var
+    mean = F.try_divide(total(F.zip_with(values, mask, lambda v, m: v * m)), n)
+    var = F.try_divide(total(F.zip_with(values, mask, lambda v, m: (v - mean) * (v - mean) * m)), n)
+    return F.try_divide(var * n, n - 1) if unbiased else var
 
 
 def bootstrap(df: DataFrame, key: str, value: str, draws: int = 1000, size: int = 8, seed: int = 42) -> DataFrame:

@@ -60,7 +60,7 @@ def rejection_mask(log_ratio: Column, mask: Column, upper: float, lower: float |
         return F.zip_with(log_ratio, mask, lambda x, m: F.when(inside(x), m).otherwise(0))
     total = F.aggregate(F.zip_with(log_ratio, mask, lambda x, m: x * m), F.lit(0.0), lambda a, x: a + x)
     if level == "geometric":
-        total = total / F.aggregate(mask, F.lit(0.0), lambda a, x: a + x)
+        total = F.try_divide(total, F.aggregate(mask, F.lit(0.0), lambda a, x: a + x))  # null, and all masked, without a token
     elif level != "sequence":
         raise ValueError(f"unknown level {level}")
     return F.transform(mask, lambda m: F.when(inside(total), m).otherwise(0))

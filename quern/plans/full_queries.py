@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
+from quern.functions import markdown as MD
 from quern.functions import strings as S
 from quern.functions.answers import over
 from quern.operators import advantages as A
@@ -12,9 +15,13 @@ from quern.operators import batch as B
 from quern.operators import checkpoints as CK
 from quern.operators import evaluation as E
 from quern.operators import filters as L
+from quern.operators import losses as O
+from quern.operators import registries as R
 from quern.plans.data_queries import _query
 from quern.plans.queries import ROLLOUTS, TOKENS, _per_token, _tokens, rollouts
 from quern.plans.text_queries import PARTS, _text, parts
+from quern.plans.token_queries import SQL as TOKEN_SQL
+from quern.plans.token_queries import tokens
 from quern.session import scratch_path
 from quern.sources import readers as IN
 
@@ -190,3 +197,52 @@ def _(spark, d):
     for name in [r.name for r in regions.select(names.alias("name")).collect()]:  # a folder each; there are five
         regions.where(names == name).write.json(f"{folder}/{name}")
     return spark.createDataFrame([(s,) for s in CK.discover(spark, folder)], "step long")
+
+
+# --- sources and extension points
+
+
+@_query("SRC-07", PARTS + """ SELECT id, 0 AS chunk, brand AS header, name AS page_content FROM p WHERE id <= 40 UNION ALL SELECT id, 1, brand || '/' || type, 'see ' || name FROM p WHERE id <= 40""")
+def _(spark, d):
+    path = scratch_path(spark, "markdown")
+    t = _text(spark, d, r"""concat('<span id="page-', id, '-0"></span># ', brand, '\n', name, '\n## ', type, '\nsee ', name)""").where("id <= 40")
+    t.select("id", "text").write.partitionBy("id").text(path)  # a folder of one text a document
+    return MD.chunk(IN.texts(spark, path, "id"), "text", "id", least=0).select(F.col("key").alias("id"), "chunk", F.array_join(F.map_values("headers"), "/").alias("header"), "page_content")
+
+
+@_query("JN-12", _R + " SELECT a.row_idx, a.score, a.length, b.class FROM r a JOIN r b ON b.row_idx = a.row_idx")
+def _(spark, d):
+    r = rollouts(spark, d)
+    return B.union_columns(r.select("row_idx", "score", "length"), r.select("row_idx", "class", "length"))
+
+
+@_query("UDF-01", PARTS + """, w AS (SELECT id, list_distinct(string_split(lower(name), ' ')) AS a, list_distinct(string_split(lower(name || ' ' || brand), ' ')) AS b FROM p)
+SELECT id, round(len(list_intersect(a, b)) / greatest(len(list_distinct(list_concat(a, b))), 1), 5) + 0.0 AS reward FROM w""")
+def _(spark, d):
+    rule = R.from_file(str(Path(__file__).with_name("own_reward.py")), "score")
+    return parts(spark, d).select("id", rule(F.upper("name"), F.concat_ws(" ", "name", "brand")).alias("reward"))
+
+
+@A.estimator("over_worst")
+def _over_worst(df, score="score", group="group"):
+    """A row's score over its group's least."""
+    least = df.groupBy(F.col(group).alias("_group")).agg(F.min(score).alias("_least"))
+    joined = df.join(least, F.col(group).eqNullSafe(F.col("_group")))
+    return joined.select(*df.columns, (F.col(score) - F.col("_least")).alias("advantage"))
+
+
+@_query("UDF-06", _R + ' SELECT row_idx, round(score - min(score) OVER (PARTITION BY "group"), 5) + 0.0 AS advantage FROM r')
+def _(spark, d):
+    return A.estimate("over_worst", rollouts(spark, d)).select("row_idx", "advantage")
+
+
+@O.register_policy_loss("weighted_log")
+def _weighted_log(tokens, weight=1.0):
+    """The plain policy gradient with a weight."""
+    return tokens.withColumn("loss", -weight * F.col("adv") * F.col("new"))
+
+
+@_query("UDF-07", TOKEN_SQL.rstrip() + " SELECT row_idx, round(sum(-0.5 * adv * new * mask) / nullif(sum(mask), 0), 5) + 0.0 AS loss FROM t GROUP BY 1")
+def _(spark, d):
+    lossy = O.policy_loss("weighted_log", tokens(spark, d), weight=0.5)
+    return lossy.groupBy("row_idx").agg(F.try_divide(F.sum(F.col("loss") * F.col("mask")), F.sum("mask")).alias("loss"))

@@ -269,10 +269,9 @@ def _(spark, d):
     return G.spice(rollouts(spark, d), "group", "ok").select("group", _r("reward").alias("reward"))
 
 
-@_query("AGG-30", TOKENS + "SELECT row_idx, round(CASE WHEN sum(mask) > 1 THEN var_samp(reward) FILTER (mask = 1) END, 4) + 0.0 AS variance FROM t GROUP BY 1 HAVING sum(mask) > 1")
+@_query("AGG-30", TOKENS + "SELECT row_idx, round(CASE WHEN sum(mask) > 1 THEN var_samp(reward) FILTER (mask = 1) END, 4) + 0.0 AS variance FROM t GROUP BY 1")
 def _(spark, d):
-    t = _tokens(spark, d).where(F.aggregate("mask", F.lit(0), lambda a, x: a + x) > 1)
-    return t.select("row_idx", (F.round(G.masked_var(F.col("rewards"), F.col("mask")), 4) + 0.0).alias("variance"))
+    return _tokens(spark, d).select("row_idx", (F.round(G.masked_var(F.col("rewards"), F.col("mask")), 4) + 0.0).alias("variance"))
 
 
 @_query("AGG-01", ROLLOUTS + """SELECT "group", string_agg(coalesce(ok::INT::VARCHAR, '-'), '' ORDER BY row_idx) AS scores FROM r GROUP BY 1""")

@@ -78,6 +78,15 @@ def _(spark, d):
     return spark.read.schema(kept.schema).parquet(path).select("question", "loop", "mean", "history", "status")
 
 
+@_query("SRC-12-growing", ROLLOUTS + "SELECT row_idx, score FROM r WHERE score > 10")
+def _(spark, d):
+    r, files = rollouts(spark, d).select("row_idx", "score"), scratch_path(spark, "arriving")
+    prepared = lambda rows: rows.where("score > 10")
+    r.where("row_idx % 2 = 1").repartition(5).write.parquet(files)
+    stream = loop.arriving(spark, files, "row_idx long, score double", files=2)
+    return loop.grown(prepared(r.where("row_idx % 2 = 0")), stream, prepared, scratch_path(spark, "grown"), scratch_path(spark, "checkpoint"))
+
+
 @_query("SNK-08-bytes", ROLLOUTS + "SELECT row_idx, score FROM r")
 def _(spark, d):
     files = scratch_path(spark, "arriving")

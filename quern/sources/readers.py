@@ -111,3 +111,12 @@ def batch_results(results: DataFrame, work: DataFrame, key: str = "custom_id") -
 def capped(questions: DataFrame, most: int | None) -> DataFrame:
     """The first questions of a benchmark in the order of its file; all of them without a number over 0."""
     return questions if not most or most <= 0 else questions.limit(most)
+
+
+def texts(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """(key, text) of text files, one a document, whose folders are named by key; the anchors of pages go.
+
+    Pickled documents are not read: what they hold is a program.
+    """
+    whole = spark.read.text(path, wholetext=True)
+    return whole.select(key, F.regexp_replace("value", r'<span id="page-\d+-\d+"></span>', "").alias("text"))

@@ -63,3 +63,10 @@ def track(metrics: DataFrame, step: int | str, path: str) -> None:
 def windowed(stream: DataFrame, time: str, key: str, value: str, width: str, late: str) -> DataFrame:
     """Rows and sum by key and window of time; rows later than the watermark are left out."""
     return stream.withWatermark(time, late).groupBy(F.window(time, width).alias("w"), key).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
+
+
+def grown(base: DataFrame, stream: DataFrame, step: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> DataFrame:
+    """A dataset with the rows that a stream has brought so far, each batch prepared by the step that the dataset went through."""
+    run(stream, [once(path, step)], checkpoint)
+    more = base.sparkSession.read.schema(base.schema).parquet(f"{path}/batch=*")
+    return base.unionByName(more)
