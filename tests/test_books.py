@@ -213,3 +213,11 @@ def test_volumes(spark):
     # A section bears the chapter of the headings before it, so "2" of chapter 2 stands under chapter 1.
     assert sorted((r.chapter, r.num, r.question, r.answer) for r in pairs.collect()) == [("1", "1", "one?", "told a"), ("1", "2", "two?", "told b")]
     assert {r.book: (r.problems, r.answer_sections, r.unmatched) for r in stats.collect()} == {"x": (2, 3, 0), "y": (2, 0, 2), "z": (0, 3, 0)}
+
+
+def test_glued_numbers_of_four_digits_follow_their_item():
+    text = "999. Find a. 1000. Find b. 1001. Find c, of 1999. The year 2001. And more.\n5. Go (on) 1002. Not next.\nProblem 1998: So it was. 1999. Next (1) 2000. Last."
+    assert K.numbered_items(text.splitlines()) == [
+        ("999", "Find a."), ("1000", "Find b."), ("1001", "Find c, of 1999. The year 2001. And more."), ("5", "Go (on) 1002. Not next."),
+        ("1998", "So it was."), ("1999", "Next (1)"), ("2000", "Last."),
+    ]
