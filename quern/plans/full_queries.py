@@ -173,7 +173,7 @@ def _(spark, d):
 @_query("SRC-05-capped", PARTS + " SELECT id, name FROM (SELECT *, row_number() OVER (ORDER BY id) AS k FROM p) WHERE k <= 25")
 def _(spark, d):
     path = scratch_path(spark, "questions")
-    parts(spark, d).select("id", "name").orderBy("id").coalesce(1).write.json(path)
+    parts(spark, d).select("id", "name").orderBy("id").write.json(path)  # sorted parts, named in order
     return IN.capped(spark.read.schema("id long, name string").json(path), 25)
 
 

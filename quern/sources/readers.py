@@ -109,8 +109,15 @@ def batch_results(results: DataFrame, work: DataFrame, key: str = "custom_id") -
 
 
 def capped(questions: DataFrame, most: int | None) -> DataFrame:
-    """The first questions of a benchmark in the order of its file; all of them without a number over 0."""
-    return questions if not most or most <= 0 else questions.limit(most)
+    """The first questions of a benchmark, as read from its files, in their order; all of them without a number over 0.
+
+    A file may be read in several splits, which a limit alone would take as they come.
+    """
+    if not most or most <= 0:
+        return questions
+    place = [F.col(f"_metadata.{c}").alias(f"_{c}") for c in ("file_path", "file_block_start")]
+    placed = questions.select("*", *place, F.monotonically_increasing_id().alias("_row"))
+    return placed.orderBy("_file_path", "_file_block_start", "_row").limit(most).select(*questions.columns)
 
 
 def texts(spark: SparkSession, path: str, key: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quern.plans import registry
 from quern.plans import text_queries as _texts  # noqa: F401
+from quern.sources import readers as IN
 
 
 def _agrees(spark, folder, name):
@@ -29,3 +30,14 @@ def parts(spark, tmp_path_factory):
 def test_large_ids(spark, parts):
     got, want = _agrees(spark, parts, "SCR-07")
     assert got == want and {same for _, same in want} == {True, False, None}
+
+def test_capped_in_the_order_of_the_files(spark, tmp_path):
+    path = str(tmp_path / "questions")
+    for first, rows in ((0, 30), (30, 3000)):  # Spark reads the largest file first
+        spark.range(first, first + rows).coalesce(1).write.mode("append").json(f"{path}/{first:03}")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        found = IN.capped(spark.read.schema("id long").option("recursiveFileLookup", "true").json(path), 100)
+        assert found.columns == ["id"] and sorted(r.id for r in found.collect()) == [*range(100)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
