@@ -1,9 +1,13 @@
 """Queries over tables whose keys go beyond those of the test data."""
 
+import hashlib
+import statistics
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from quern.operators import aggregates as G
 from quern.plans import registry
 from quern.plans import text_queries as _texts  # noqa: F401
 from quern.sources import readers as IN
@@ -41,3 +45,32 @@ def test_capped_in_the_order_of_the_files(spark, tmp_path):
         assert found.columns == ["id"] and sorted(r.id for r in found.collect()) == [*range(100)]
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def _drawn(rows, draws, size, seed):
+    """Mean and deviation of each group by a plain loop."""
+    out = {}
+    for g, values in rows.items():
+        ordered = sorted(values)
+        pick = lambda d, j, n=len(values): int(hashlib.md5(f"{seed}:{d}:{j}".encode()).hexdigest()[:13], 16) % n
+        means = [sum(ordered[pick(d, j)] for j in range(1, size + 1)) / size for d in range(1, draws + 1)]
+        out[g] = (statistics.fmean(means), statistics.pstdev(means))
+    return out
+
+
+def test_bootstrap_of_small_and_large_groups(spark):
+    rows = {g: [(7 * g + k * k) % 101 + 0.25 for k in range(n)] for g, n in enumerate((1, 2, 12, 13, 400))}
+    df = spark.createDataFrame([(g, x) for g, xs in rows.items() for x in xs], "g long, x double")
+    made = G.bootstrap(df, "g", "x", draws=4, size=3, seed=9)
+    want = _drawn(rows, 4, 3, 9)
+    got = {r.g: (r["mean"], r["std"]) for r in made.collect()}
+    assert got.keys() == want.keys()
+    assert all(got[g] == pytest.approx(want[g]) for g in want)
+
+
+def test_bootstrap_sends_no_table_that_grows(spark):
+    """The picks, which Spark takes for small, are not broadcast; a group of few rows makes no row per pick."""
+    df = spark.range(4000).selectExpr("id % 500 AS g", "cast(id AS double) AS x")
+    plan = G.bootstrap(df, "g", "x", draws=50)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert len(joins) == 3 and sum("rightHint=(strategy=broadcast)" in j for j in joins) == 2 and sum("leftHint=(strategy=merge)" in j for j in joins) == 1
