@@ -37,12 +37,13 @@ SLICE, OUT_ROWS = 256, 2048
 FIELDS = pa.schema(
     [
         ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()),
-        ("sequence_id", pa.int64()), ("offset", pa.int64()), ("open", pa.bool_()),
+        ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("open", pa.bool_()),
     ]
 )
-SCHEMA = "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long, open boolean"
+SCHEMA = "doc_id long, piece int, start long, length long, ids binary, ids_crc32 long, sequence_id long, offset long, open boolean"
 
-Piece = tuple[int | None, int, int, int, bytes]
+#: Document, number, start, length, ids, and their checksum as unsigned 32-bit numbers.
+Piece = tuple[int | None, int, int, int, bytes, int]
 
 
 class Bins:
@@ -128,7 +129,7 @@ def _first(tokenizer: str, capacity: int, most: int):
                     ids += end
                     for k, start in enumerate(range(0, len(ids), 2 * capacity)):
                         own = ids[start : start + 2 * capacity]
-                        yield doc, k, start // 2, len(own) // 2, own
+                        yield doc, k, start // 2, len(own) // 2, own, zlib.crc32(np.frombuffer(own, "<u2").astype("<u4").tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _packed(pieces(batches), capacity, most, 0)
@@ -138,7 +139,7 @@ def _first(tokenizer: str, capacity: int, most: int):
 
 def _again(capacity: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = (row for batch in batches for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True))
+        pieces = (row for batch in batches for row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True))
         return _packed(pieces, capacity, most, 1)
 
     return run
@@ -152,7 +153,11 @@ def pack(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids (little-endian unsigned 16-bit), sequence_id, offset."""
+    """One row per piece: doc_id, piece, start, length, ids (little-endian unsigned 16-bit), ids_crc32 (of them as 32-bit ones), sequence_id, offset.
+
+    The checksums come with the pieces: a second function over the result would start further Python workers, and each
+    worker that gets a text later remembers words of its own.
+    """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     first = materialise(rows.mapInArrow(_first(tokenizer, capacity, open_bins), SCHEMA), "best-fit")
     still_open = first.where("open")
@@ -163,16 +168,6 @@ def pack(
     return first.where("not open").unionByName(again).drop("open")
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids = batch.column(4)
-        crc = [zlib.crc32(np.frombuffer(x.as_buffer(), "<u2").astype("<u4").tobytes()) for x in ids]
-        columns = [batch.column(i) for i in range(7) if i != 4] + [pa.array(crc, pa.int64())]
-        yield pa.record_batch(columns, names=["doc_id", "piece", "start", "length", "sequence_id", "offset", "ids_crc32"])
-
-
 def op11_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document with its place and the checksum of its ids as unsigned 32-bit numbers."""
-    pieces = pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    schema = "doc_id long, piece int, start long, length long, sequence_id long, offset long, ids_crc32 long"
-    return pieces.mapInArrow(_digests, schema)
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("ids")

@@ -261,3 +261,24 @@ def test_search_of_empty_tables(spark):
     assert search.search(docs.limit(0), items).count() == 0
     assert search.search(docs, items.limit(0)).count() == 0
     assert search.search(docs, items).collect()[0].asDict() == {"item_id": 1, "rank": 1, "doc_id": 1, "score": 2 * 287 * (1_000_000_000 // (1000 + 800))}
+
+
+def test_best_fit_starts_one_python_worker_a_task(spark):
+    from quern.llm.best_fit import op11_best_fit
+
+    plan = op11_best_fit(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1  # the second round's; the first is written before
+
+
+def test_remembered_words_are_bounded():
+    from quern.llm._words import LowerWords, words_of
+    from quern.llm.packing import TOKENIZER, encoder
+
+    assert words_of(LowerWords, "word_bpe_49k.json").most_words <= 500_000
+    encode = encoder(TOKENIZER)
+    before, encode.most_words = encode.most_words, 100
+    texts = [" ".join(f"w{i}x{k}" for k in range(80)) for i in range(6)]
+    small = [encode([t])[0] for t in texts]
+    assert len(encode) <= 100 + 80
+    encode.most_words = before
+    assert small == encode(texts)
