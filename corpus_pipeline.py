@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from quern.llm import exact_dedup, mixing, near_dedup, packing, quality
 from quern.session import materialise
 
+#: Words that a Python worker remembers in packing: workers of the stages before it hold memory of their own.
+PACK_WORDS = 200_000
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"))
@@ -30,7 +33,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    return packing.pack(docs, remembered=PACK_WORDS)
 
 
 STAGES = [("quality_rules", quality_rules), ("exact_dedup", exact), ("near_dedup", near), ("mixing", mix), ("packing", pack)]

@@ -67,14 +67,14 @@ class Encoder(dict):
         self.line_end = ranks[b"\n"]
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.new: list[str] = []
-        self.chars = 0
+        self.chars, self.most_words = 0, CACHE_WORDS
 
     def __missing__(self, word: str) -> bytes:
         self.new.append(word)
         return b""
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        if len(self) > CACHE_WORDS or self.chars > CACHE_CHARS:
+        if len(self) > self.most_words or self.chars > CACHE_CHARS // CACHE_WORDS * self.most_words:
             self.clear()
             self.chars = 0
         split = []
@@ -284,9 +284,10 @@ def plan(totals: dict[str, int], weights: dict[str, float] | None = None, window
     return Plan(outer, {s: q for q, x in enumerate(parts) for s in x}, inner)
 
 
-def _tokenize(tokenizer: str):
+def _tokenize(tokenizer: str, remembered: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, before = encoder(tokenizer), {}
+        encode.most_words = remembered
         end = np.array([END_ID], "<u2").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
@@ -333,8 +334,12 @@ def pack(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    remembered: int = CACHE_WORDS,
 ) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+
+    A Python worker remembers the ids of so many words: with fewer, it takes less memory and encodes more words anew.
+    """
     key = F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("null"))
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
@@ -343,7 +348,7 @@ def pack(
         F.col(text_col).alias("text"),
     )
     schema = "doc_id long, part long, queue string, before long, n long, ids binary"
-    tokens = materialise(rows.mapInArrow(_tokenize(tokenizer), schema), "pack-tokens")
+    tokens = materialise(rows.mapInArrow(_tokenize(tokenizer, remembered), schema), "pack-tokens")
     per_part = materialise(tokens.groupBy("queue", "part").agg(F.sum("n").alias("n")), "pack-parts")
     totals = dict(per_part.groupBy("queue").agg(F.sum("n").alias("n")).collect())  # a row per source
     shares = None if weights is None else {f"s{k}": float(w) for k, w in weights.items()}
