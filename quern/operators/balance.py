@@ -77,23 +77,30 @@ def zigzag(work: list[int], own: list[int]) -> list[int]:
     return order[::2] + order[1::2][::-1]
 
 
+def _dealt(deal: Callable[[list[int]], list[list[int]]]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in batches:
+            for number, rows in zip(table.column(0), table.column(1), strict=True):
+                keys, work = (rows.values.field(f) for f in ("key", "work"))
+                parts = deal(work.to_pylist())
+                at = pa.array([i for own in parts for i in own], pa.int64())
+                part, place = (pa.array(x, t) for x, t in zip(zip(*[(p, k) for p, own in enumerate(parts) for k in range(len(own))], strict=True), (pa.int32(), pa.int64()), strict=True))
+                yield pa.record_batch([pa.repeat(number, len(at)), keys.take(at), part, place], names=["batch", "key", "part", "place"])
+
+    return run
+
+
 def by_batch(df: DataFrame, batch: str, key: str, work: str, deal: Callable[[list[int]], list[list[int]]]) -> DataFrame:
     """(batch, key, part, place): each batch, in order of key, dealt by a rule from work to lists of items by part.
 
-    A batch is gathered as one row of keys and work, so it must fit a task; a null key or null work is an error of the rule.
+    A batch is gathered as one row of keys and work, so it must fit a task, which unpacks one batch after the other; a null key
+    or null work is an error of the rule.
     """
     listed = df.groupBy(F.col(batch).cast("long").alias("batch")).agg(
         F.sort_array(F.collect_list(F.struct(F.col(key).cast("long").alias("key"), F.col(work).cast("long").alias("work")))).alias("rows")
     )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in batches:
-            for number, rows in zip(table.column(0).to_pylist(), table.column(1).to_pylist(), strict=True):
-                parts = deal([r["work"] for r in rows])
-                flat = [(number, rows[i]["key"], part, place) for part, own in enumerate(parts) for place, i in enumerate(own)]
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*flat, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["batch", "key", "part", "place"])
-
-    return listed.mapInArrow(run, "batch long, key long, part int, place long")
+    return listed.mapInArrow(_dealt(deal), "batch long, key long, part int, place long")
 
 
 def balanced(df: DataFrame, batch: str, key: str, work: str, parts: int, equal_size: bool = True) -> DataFrame:

@@ -55,30 +55,34 @@ def examples(df: DataFrame, key: str, k: int, seed: int) -> DataFrame:
     return wanted.join(placed.select("at", F.col(key).alias("example")), "at").select(key, "example", "place")
 
 
+def _nearest_in(ids: np.ndarray, matrix: np.ndarray, k: int, block: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top_s, top_k = np.full((len(ids), 0), 0.0), np.full((len(ids), 0), 0, dtype="int64")
+        # a batch of Spark's may hold 10,000 rows, each of which has a place for every query of the block
+        for batch in (b.slice(at, block) for b in batches for at in range(0, b.num_rows, block)):
+            names = batch.column(0).to_numpy(zero_copy_only=False).astype("int64")
+            found = matrix @ _unit(np.array(batch.column(1).to_pylist(), dtype="float64")).T
+            s, n = np.hstack([top_s, found]), np.hstack([top_k, np.tile(names, (len(ids), 1))])
+            order = np.lexsort((n, -s), axis=1)[:, :k]
+            top_s, top_k = np.take_along_axis(s, order, 1), np.take_along_axis(n, order, 1)
+        width = top_s.shape[1]
+        yield pa.RecordBatch.from_pydict({"query": np.repeat(ids, width), "match": top_k.ravel(), "similarity": top_s.ravel()})
+
+    return run
+
+
 def nearest(corpus: DataFrame, queries: DataFrame, key: str, vector: str, k: int, block: int = 1024) -> DataFrame:
     """(query, match, similarity, rank): each query's k rows of most cosine similarity, ties by key.
 
-    A block of queries goes to all partitions of the corpus; each keeps k a query, and these few meet. No pair of
-    rows is ever made. Vectors without length have similarity 0; nulls match nothing.
+    A block of queries goes to all partitions of the corpus, which look at as many rows at once and keep k a query; these few
+    meet. No pair of rows is ever made. Vectors without length have similarity 0; nulls match nothing.
     """
     spark, out = corpus.sparkSession, None
     asked = number_rows(queries.where(F.col(vector).isNotNull()).select(key, vector), [key], "at")
     for start in range(0, asked.count(), block):
         rows = asked.where(F.col("at").between(start, start + block - 1)).collect()  # at most a block
         ids, matrix = np.array([r[0] for r in rows], dtype="int64"), _unit(np.array([r[1] for r in rows], dtype="float64"))
-
-        def best(batches: Iterator[pa.RecordBatch], ids=ids, matrix=matrix) -> Iterator[pa.RecordBatch]:
-            top_s, top_k = np.full((len(ids), 0), 0.0), np.full((len(ids), 0), 0, dtype="int64")
-            for batch in batches:
-                names = batch.column(0).to_numpy(zero_copy_only=False).astype("int64")
-                found = matrix @ _unit(np.array(batch.column(1).to_pylist(), dtype="float64")).T
-                s, n = np.hstack([top_s, found]), np.hstack([top_k, np.tile(names, (len(ids), 1))])
-                order = np.lexsort((n, -s), axis=1)[:, :k]
-                top_s, top_k = np.take_along_axis(s, order, 1), np.take_along_axis(n, order, 1)
-            width = top_s.shape[1]
-            yield pa.RecordBatch.from_pydict({"query": np.repeat(ids, width), "match": top_k.ravel(), "similarity": top_s.ravel()})
-
-        part = corpus.where(F.col(vector).isNotNull()).select(F.col(key).cast("long"), vector).mapInArrow(best, "query long, match long, similarity double")
+        part = corpus.where(F.col(vector).isNotNull()).select(F.col(key).cast("long"), vector).mapInArrow(_nearest_in(ids, matrix, k, block), "query long, match long, similarity double")
         out = part if out is None else out.unionByName(part)
     if out is None:
         return spark.createDataFrame([], "query long, match long, similarity double, rank int")

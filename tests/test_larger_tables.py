@@ -2,12 +2,17 @@
 
 import hashlib
 import statistics
+import tracemalloc
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quern.operators import aggregates as G
+from quern.operators import balance as B
+from quern.operators import judging as J
 from quern.plans import registry
 from quern.plans import text_queries as _texts  # noqa: F401
 from quern.sources import readers as IN
@@ -74,3 +79,30 @@ def test_bootstrap_sends_no_table_that_grows(spark):
     plan = G.bootstrap(df, "g", "x", draws=50)._jdf.queryExecution().optimizedPlan().toString()
     joins = [line for line in plan.splitlines() if "Join" in line]
     assert len(joins) == 3 and sum("rightHint=(strategy=broadcast)" in j for j in joins) == 2 and sum("leftHint=(strategy=merge)" in j for j in joins) == 1
+
+
+def _peak_mb(run, batch):
+    """The most that a function over a batch holds at a time, and its rows."""
+    tracemalloc.start()
+    rows = sum(out.num_rows for out in run(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    return peak, rows
+
+
+def test_batches_are_unpacked_one_by_one():
+    one = [{"key": i, "work": i % 7} for i in range(512)]
+    batch = pa.record_batch([pa.array(range(400)), pa.array([one] * 400)], names=["batch", "rows"])
+    peak, rows = _peak_mb(B._dealt(lambda work: B.greedy(work, 8, True)), batch)
+    assert rows == 400 * 512 and peak < 10
+
+
+def test_nearest_looks_at_blocks_of_a_batch():
+    vectors = np.random.default_rng(1).standard_normal((5000, 8))
+    batch = pa.record_batch([pa.array(range(5000)), pa.array(vectors.tolist())], names=["key", "v"])
+    unit = J._unit(vectors)
+    peak, rows = _peak_mb(J._nearest_in(np.arange(256), unit[:256], 3, 256), batch)
+    assert rows == 3 * 256 and peak < 12
+    out = next(J._nearest_in(np.arange(4), unit[:4], 3, 256)(iter([batch])))
+    want = np.argsort(-(unit[:4] @ unit.T), axis=1)[:, :3]
+    assert out.column("match").to_pylist() == want.ravel().tolist()
