@@ -7,11 +7,14 @@ known. Of equal keys the first row counts.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from itertools import islice
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.answers import over
-from quern.functions.books import ROWS, book_rows, volume_rows
+from quern.functions.books import ROW, Row, book_rows, volume_rows
 from quern.functions.competition import has_figure
 from quern.functions.strings import noninformative
 from quern.session import materialise
@@ -21,23 +24,40 @@ KEY = ("chapter", "label", "num")
 NONE = "∅"
 #: Least pairs of a compendium that are taken for one.
 LEAST_YEARLY = 10
+#: Rows of a book that leave Python together.
+OUT_ROWS = 4096
 STATS = ("exercise_sections", "answer_sections", "problems", "answers", "matched", "dropped_figure", "dropped_noninformative", "unmatched", "inline", "papers")
 
 
 def read_books(docs: DataFrame, book: str, text: str) -> DataFrame:
     """The rows of each book with their place: book, place, role, chapter, label, num, body, question, answer."""
-    return _placed(docs, book, over(book_rows, ROWS)(F.col(text)))
+    return _placed(docs, book, text, book_rows)
 
 
 def read_volumes(docs: DataFrame, book: str, problems: str, solutions: str) -> DataFrame:
     """The same of books in two volumes, the second of which is all answers."""
-    first, second = (_placed(docs, book, over(lambda t, s=s: volume_rows(t, s), ROWS)(F.col(c))) for c, s in ((problems, False), (solutions, True)))
+    first, second = (_placed(docs, book, c, lambda t, s=s: volume_rows(t, s)) for c, s in ((problems, False), (solutions, True)))
     return first.unionByName(second)
 
 
-def _placed(docs: DataFrame, book: str, rows: Column) -> DataFrame:
-    found = docs.select(F.col(book).alias("book"), F.posexplode(rows).alias("place", "row"))
-    return found.select("book", "place", "row.*")
+def _placed(docs: DataFrame, book: str, text: str, rows: Callable[[str | None], Iterator[Row]]) -> DataFrame:
+    slim = docs.select(F.col(book).alias("book"), F.col(text).cast("string").alias("text"))
+    return slim.mapInArrow(_read(rows), f"book {slim.schema['book'].dataType.simpleString()}, place int, " + ", ".join(f"{c} string" for c in ROW))
+
+
+def _read(rows: Callable[[str | None], Iterator[Row]]):
+    """Books one by one; their rows leave in batches of OUT_ROWS."""
+    kinds = (pa.int32(), *[pa.string()] * len(ROW))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for book, text in zip(batch.column(0), batch.column(1), strict=True):
+                placed = ((place, *row) for place, row in enumerate(rows(text.as_py())))
+                while some := [*islice(placed, OUT_ROWS)]:
+                    columns = [pa.array(c, t) for c, t in zip(zip(*some, strict=True), kinds, strict=True)]
+                    yield pa.record_batch([pa.repeat(book, len(some)), *columns], names=["book", "place", *ROW])
+
+    return run
 
 
 def _first(rows: DataFrame, *values: str) -> DataFrame:

@@ -1,5 +1,8 @@
 """Books: outlines, items, layouts and pairs, by worked cases."""
 
+import tracemalloc
+
+import pyarrow as pa
 import pytest
 
 from quern.functions import books as K
@@ -221,3 +224,13 @@ def test_glued_numbers_of_four_digits_follow_their_item():
         ("999", "Find a."), ("1000", "Find b."), ("1001", "Find c, of 1999. The year 2001. And more."), ("5", "Go (on) 1002. Not next."),
         ("1998", "So it was."), ("1999", "Next (1)"), ("2000", "Last."),
     ]
+
+
+def test_books_of_a_batch_are_read_one_by_one():
+    text = "# Chapter 1\n## Problems\n" + "\n".join(f"{i}. Find part {i} of the whole." for i in range(1, 1001))
+    batch = pa.record_batch([pa.array([f"b{i}" for i in range(40)]), pa.array([text] * 40)], names=["book", "text"])
+    tracemalloc.start()
+    rows = sum(out.num_rows for out in P._read(lambda t: K.volume_rows(t, False))(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert rows == 40 * 1001 and peak < 4
