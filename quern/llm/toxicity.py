@@ -42,7 +42,8 @@ PREFIXES = (3, 4, 5, 6)
 EPOCHS, RATE, RIDGE = 100, 0.1, 1e-3
 #: Tokens on either side of one with features whose marginals are computed too.
 REACH = 2
-CACHE_WORDS = 500_000
+#: Tokens whose weights, and whose features, a Python worker remembers.
+CACHE_WORDS, CACHE_FEATURES = 200_000, 1 << 14
 _STRIP = "\"'()[]{}<>.,;:!?*_-#%&$|/\\«»“”„‚‘’…¡¿"
 
 
@@ -56,7 +57,7 @@ def features(token: str) -> tuple[str, ...]:
     return _features(token) if len(token) <= 64 else _features.__wrapped__(token)
 
 
-@functools.lru_cache(1 << 18)
+@functools.lru_cache(CACHE_FEATURES)
 def _features(token: str) -> tuple[str, ...]:
     word = token.lower().strip(_STRIP)
     if not word:

@@ -282,3 +282,9 @@ def test_remembered_words_are_bounded():
     assert len(encode) <= 100 + 80
     encode.most_words = before
     assert small == encode(texts)
+
+
+def test_toxicity_remembers_few_features():
+    from quern.llm import toxicity
+
+    assert toxicity._features.cache_info().maxsize <= 1 << 14 and toxicity.CACHE_WORDS <= 200_000
