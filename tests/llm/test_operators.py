@@ -339,3 +339,28 @@ def test_edits_without_common_ends(spark):
         for r in compared:
             within = r["d"] <= r["allowed"]
             assert (r["edits"] == r["d"] if exact else r["d"] <= r["edits"] <= r["allowed"]) if within else r["edits"] == -1
+
+
+def test_line_signatures_stay_where_their_texts_are(spark):
+    """A signature holds 80 bytes of numbers, not its keys, and is made without a shuffle of its sums and minima."""
+    lines = [" ".join(_words(n, 5 + n)) for n in range(40)] + ["ab", "Ä b\u00e7"]
+    texts = spark.createDataFrame([(i, len(x), x) for i, x in enumerate(lines)], "cid long, n_chars int, norm string").repartition(4, "cid")
+    for grams in line_dedup._grams(texts):
+        made = line_dedup._slim(line_dedup.signatures(grams))
+        assert made.columns == ["cid", "kind", "n_chars", "sim", *[f"p{i}" for i in range(line_dedup.BINS // 2)]]
+        assert made._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1  # that of the texts
+        hashes = {}
+        for r in grams.collect():
+            hashes.setdefault(r.cid, []).append(r.h)
+        for r in made.collect():
+            own = hashes[r.cid]
+            sim = sum(1 << i for i in range(64) if 2 * sum(h >> i & 1 for h in own) > len(own))
+            least = [min(h ^ (((i << 60) ^ (i * 0x9E3779B97F4A7)) - (1 << 64 if i >= 8 else 0)) for h in own) & line_dedup.HALF for i in range(line_dedup.BINS)]
+            assert r.sim & (1 << 64) - 1 == sim
+            assert [x >> s & line_dedup.HALF for x in (r[f"p{i}"] for i in range(line_dedup.BINS // 2)) for s in (0, 32)] == least
+
+
+def test_normal_form_of_lines(spark):
+    texts = [" A  b\tc ", "\u00c4\x0b\x0cB", "a b", "\r", "", None, "x\u00a0 y", "a \t"]
+    got = [r.n for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(line_dedup.normalise(F.col("t")).alias("n")).collect()]
+    assert got == ["a b c", "\u00e4 b", "a b", "", "", None, "x\u00a0 y", "a"]
