@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 ROWS_A_PARTITION = 10_000
+#: Most partitions of a table: beyond, each gets more rows. Rows of a Parquet file that are held at a time.
+MOST_PARTITIONS, HELD_ROWS = 1000, 4096
 
 
 class Range(InputPartition):
@@ -28,6 +30,7 @@ class Range(InputPartition):
 
 
 def _ranges(first: int, last: int, size: int) -> list[Range]:
+    size = max(size, -(-(last - first) // MOST_PARTITIONS))
     return [Range(at, min(at + size, last)) for at in range(first, last, size)]
 
 
@@ -71,7 +74,10 @@ class _StreamReader(DataSourceStreamReader):
 
 
 class ParquetRows:
-    """Rows of some columns of a Parquet file by number; a row group is held at a time."""
+    """Rows of some columns of a Parquet file by number.
+
+    A row group is read in batches, and only the batch with the wanted row becomes Python's rows; rows in order read each once.
+    """
 
     def __init__(self, options: dict[str, str]):
         fs, path = pyarrow.fs.FileSystem.from_uri(options["path"])
@@ -79,16 +85,27 @@ class ParquetRows:
         sizes = [self.file.metadata.row_group(g).num_rows for g in range(self.file.num_row_groups)]
         self.starts = [sum(sizes[:g]) for g in range(len(sizes))]
         self.rows, self.group, self.held = sum(sizes), -1, []
+        self.first = self.next = 0
 
     def __len__(self) -> int:
         return self.rows
 
     def __getitem__(self, i: int) -> tuple:
+        if not 0 <= i < self.rows:
+            raise IndexError(i)
+        if not self.first <= i < self.first + len(self.held):
+            self._hold(i)
+        return self.held[i - self.first]
+
+    def _hold(self, i: int) -> None:
         group = bisect.bisect_right(self.starts, i) - 1
-        if self.group != group:
-            table = self.file.read_row_group(group, columns=self.columns)
-            self.group, self.held = group, list(zip(*(table.column(c).to_pylist() for c in self.columns), strict=True))
-        return self.held[i - self.starts[group]]
+        if self.group != group or i < self.next:
+            self.group, self.next = group, self.starts[group]
+            self.batches = self.file.iter_batches(HELD_ROWS, row_groups=[group], columns=self.columns)
+        while self.next <= i:
+            batch = next(self.batches)
+            self.first, self.next = self.next, self.next + batch.num_rows
+        self.held = list(zip(*(batch.column(c).to_pylist() for c in self.columns), strict=True))
 
 
 def load_class(path: str, name: str) -> type:

@@ -178,3 +178,24 @@ def test_dataset_class_as_a_stream(spark, tmp_path):
     rows = [r.q for r in spark.read.parquet(path).collect()]
     assert sorted(rows) == [*range(12), *range(100, 107)]
     assert (tmp_path / "rows.jsonl.done").read_text() in ("12", "19")
+
+
+def test_rows_of_a_parquet_file_are_held_in_part(tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    pq.write_table(pa.table({"z": range(30_000), "a": [f"x{i}" for i in range(30_000)]}), tmp_path / "t.parquet", row_group_size=20_000)
+    rows = D.ParquetRows({"path": f"file://{tmp_path}/t.parquet", "columns": "a,z"})
+    assert len(rows) == 30_000
+    for i in (0, 19_999, 20_000, 5_000, 5_001, 4_096, 4_095, 29_999, 7):
+        assert rows[i] == (f"x{i}", i)
+        assert len(rows.held) <= D.HELD_ROWS
+    with pytest.raises(IndexError):
+        rows[30_000]
+
+
+def test_ranges_are_no_more_than_tasks_can_bear():
+    for n in (0, 1, 26, 54_000_000):
+        ranges = D._ranges(0, n, 4000)
+        assert len(ranges) <= D.MOST_PARTITIONS
+        assert [r.first for r in ranges] + [n] == [0] * bool(n) + [r.last for r in ranges] + [n] * (not n)
