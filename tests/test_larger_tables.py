@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quern.operators import aggregates as G
 from quern.operators import balance as B
 from quern.operators import judging as J
+from quern.plans import judging_queries as _judging  # noqa: F401
 from quern.plans import registry
 from quern.plans import text_queries as _texts  # noqa: F401
 from quern.sources import readers as IN
@@ -106,3 +107,22 @@ def test_nearest_looks_at_blocks_of_a_batch():
     out = next(J._nearest_in(np.arange(4), unit[:4], 3, 256)(iter([batch])))
     want = np.argsort(-(unit[:4] @ unit.T), axis=1)[:, :3]
     assert out.column("match").to_pylist() == want.ravel().tolist()
+
+
+@pytest.mark.parametrize("name", ["DOC-01", "STR-15", "STR-16", "STR-20", "SCR-08"])
+def test_rules_in_python_do_not_stay_in_the_split_of_a_small_file(spark, name):
+    """A file of one row group is one task's, so rows are dealt before the rules run."""
+    plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.splitlines()
+    rule = next(i for i, x in enumerate(lines) if "MapInArrow" in x or "ArrowEvalPython" in x)
+    assert any("RepartitionByExpression" in x for x in lines[rule:])
+
+
+def test_chunks_leave_in_batches(spark):
+    from quern.functions import markdown as MD
+
+    df = spark.range(0, 300, 1, 1).selectExpr("id", "if(id % 3 = 0, null, concat('# h\\n', id, '\\n## g\\nb', chr(9), 'c')) as text")
+    chunks = MD.chunk(df, "text", "id", least=0)
+    assert [(r.key, r.chunk, r.headers, r.page_content) for r in chunks.orderBy("key", "chunk").collect()] == [
+        x for i in range(300) if i % 3 for x in ((i, 0, {"Header 1": "h"}, str(i)), (i, 1, {"Header 1": "h", "Header 2": "g"}, "bc"))
+    ]
