@@ -341,6 +341,35 @@ def test_edits_without_common_ends(spark):
             assert (r["edits"] == r["d"] if exact else r["d"] <= r["edits"] <= r["allowed"]) if within else r["edits"] == -1
 
 
+def test_edits_of_long_lines_between_common_places(spark):
+    """Edits between places where both lines say the same are never fewer than they are, and seldom more where lines may match."""
+    import random
+
+    from quern.llm import line_dedup
+
+    deal, rows = random.Random(7), []
+    vocabulary = _words(7, 400) + ["\u00e9t\u00e9", "\u00df", "\u4e2d\u6587", "\U0001f600x"]
+    for n, rate in [(n, r) for n in (22, 60, 200) for r in (0.02, 0.1, 0.2, 0.3, 1)] * 4:
+        a = [str(deal.choice(vocabulary)) for _ in range(n)]
+        b = [x for w in a for x in ([w] if deal.random() > rate else deal.choice([[], [str(deal.choice(vocabulary))], [w, str(deal.choice(vocabulary))]]))]
+        rows.append((2 * len(rows), 2 * len(rows) + 1, " ".join(a), " ".join(b)))
+    pairs = spark.createDataFrame([r[:2] for r in rows], "a long, b long")
+    texts = spark.createDataFrame([x for r in rows for x in ((r[0], r[2]), (r[1], r[3]))], "uid long, norm string")
+    whole = spark.createDataFrame(rows, "a long, b long, s string, t string").selectExpr("*", "levenshtein(s, t) as d")
+    both = whole.withColumn("most", F.floor(F.greatest(F.length("s"), F.length("t")) * 0.2).cast("int"))
+    near = 0
+    for r in both.withColumn("n", line_dedup._by_places(F.col("s"), F.col("t"), F.col("most"))).collect():
+        assert r.n >= r.d or r.n > r.most
+        near += r.d <= r.most and r.n <= 1.1 * r.d + 3
+    found = line_dedup._compared(pairs, texts).join(whole, ["a", "b"]).collect()
+    for r in found:
+        assert r.d <= r.edits <= r.allowed if r.d <= r.allowed else r.edits == -1, (r.d, r.edits, r.allowed)
+    hits = [r for r in found if r.d <= r.allowed]
+    assert len(found) == len(rows) and len(hits) > 20 and near > 0.9 * len(hits)
+    for r in line_dedup._compared(pairs, texts, 2, exact=True).join(whole, ["a", "b"]).collect():
+        assert r.edits == (r.d if r.d <= 2 * r.allowed else -1)
+
+
 def test_line_signatures_stay_where_their_texts_are(spark):
     """A signature holds 80 bytes of numbers, not its keys, and is made without a shuffle of its sums and minima."""
     lines = [" ".join(_words(n, 5 + n)) for n in range(40)] + ["ab", "Ä b\u00e7"]
