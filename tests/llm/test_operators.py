@@ -393,3 +393,25 @@ def test_normal_form_of_lines(spark):
     texts = [" A  b\tc ", "\u00c4\x0b\x0cB", "a b", "\r", "", None, "x\u00a0 y", "a \t"]
     got = [r.n for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(line_dedup.normalise(F.col("t")).alias("n")).collect()]
     assert got == ["a b c", "\u00e4 b", "a b", "", "", None, "x\u00a0 y", "a"]
+
+
+def test_lines_are_compared_in_bounded_batches(spark, monkeypatch):
+    """No table of texts holds more lines than a batch of pairs has, and all pairs are compared as at once."""
+    from quern.session import materialise
+
+    pairs = materialise(spark.range(0, 400, 2, 2).selectExpr("id as a", "id + 1 as b"), "pairs")
+    texts = materialise(spark.range(0, 400, 1, 3).selectExpr("id as uid", "concat(repeat('a', int(id % 40)), 'bcd', id) as norm"), "texts")
+    at_once = sorted(line_dedup._compared(pairs, texts).collect())
+    assert len(at_once) == 200
+    sizes = []
+
+    def noted(df, name):
+        out = materialise(df, name)
+        sizes.extend([out.count()] if name == "line-texts" else [])
+        return out
+
+    monkeypatch.setattr(line_dedup, "materialise", noted)
+    monkeypatch.setattr(line_dedup, "FEW_PAIRS", 50, raising=False)
+    assert sorted(line_dedup._compared(pairs, texts).collect()) == at_once
+    # batches are dealt by hash, so one may be a little larger
+    assert len(sizes) == 4 and sum(sizes) == 400 and max(sizes) < 200
