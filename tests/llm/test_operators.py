@@ -415,3 +415,16 @@ def test_lines_are_compared_in_bounded_batches(spark, monkeypatch):
     assert sorted(line_dedup._compared(pairs, texts).collect()) == at_once
     # batches are dealt by hash, so one may be a little larger
     assert len(sizes) == 4 and sum(sizes) == 400 and max(sizes) < 200
+
+
+def test_pairs_of_open_buckets_come_in_bounded_batches(spark, monkeypatch):
+    """A large bucket is split too; together the batches have each pair of different components once."""
+    rows = [(key, (cid, 100), cid // 2, 10 * key) for key in range(3) for cid in range(10 * key, 10 * key + 30)]
+    placed = spark.createDataFrame(rows, "key long, me struct<cid: long, n_chars: int>, component long, main long")
+    labels = spark.createDataFrame([(cid, cid // 2) for cid in range(50)], "node long, component long")
+    seen = spark.createDataFrame([], "a long, b long, allowed int, edits int")
+    monkeypatch.setattr(line_dedup, "FEW_PAIRS", 200, raising=False)
+    batches = [sorted(batch.collect()) for batch in line_dedup._cross(placed, labels, seen, 200)]
+    assert len(batches) > 3 and max(map(len, batches)) < 600
+    of = [range(10 * key, 10 * key + 30) for key in range(3)]
+    assert sorted(tuple(x) for batch in batches for x in batch) == sorted({(x, y) for r in of for x in r for y in r if x < y and x // 2 != y // 2})
